@@ -69,6 +69,15 @@ def suffix(path: Column) -> Column:
     return F.lower(F.regexp_extract(file_name(path), r"[^.](\.[^.]+)$", 1))
 
 
+def files_where(files: DataFrame, condition: Column) -> DataFrame:
+    """Files of one kind, with the content of all others blanked as well as filtered out.
+
+    Parsing may raise, and Catalyst may evaluate it before a filter it was written after. On null
+    content it has nothing to raise about.
+    """
+    return files.withColumn("content", F.when(condition, F.col("content"))).filter(condition)
+
+
 def classify_exports(files: DataFrame) -> DataFrame:
     """Source of every file by extension and by markers in its first 500 characters."""
     head = F.left("content", F.lit(500))
@@ -338,7 +347,8 @@ def read_gemini(files: DataFrame, on_error: str = "raise") -> DataFrame:
     parsed = files.select(
         "path", F.col("path").alias("conv_id"), F.lit("").alias("title"),
         F.from_json("content", _GEMINI_EXPORT, {"mode": "FAILFAST"})["appActivity"].alias("items"),
-    ).filter(_demand(F.col("items").isNotNull(), "Expected 'appActivity' key", on_error))
+        F.col("content").isNull().alias("absent"),
+    ).filter(_demand(F.col("items").isNotNull() | F.col("absent"), "Expected 'appActivity' key", on_error))
     turns = F.flatten(
         F.transform("items", lambda i: F.array(turn(i, "requestBody", "user"), turn(i, "responseBody", "assistant")))
     )
@@ -347,8 +357,9 @@ def read_gemini(files: DataFrame, on_error: str = "raise") -> DataFrame:
 
 def _perplexity_conversations(files: DataFrame, on_error: str) -> DataFrame:
     parsed = files.select(
-        "path", F.from_json("content", _PERPLEXITY_EXPORT, {"mode": "FAILFAST"})["conversations"].alias("convs")
-    ).filter(_demand(F.col("convs").isNotNull(), "Expected 'conversations' key", on_error))
+        "path", F.from_json("content", _PERPLEXITY_EXPORT, {"mode": "FAILFAST"})["conversations"].alias("convs"),
+        F.col("content").isNull().alias("absent"),
+    ).filter(_demand(F.col("convs").isNotNull() | F.col("absent"), "Expected 'conversations' key", on_error))
     return parsed.select("path", F.explode("convs").alias("conv")).select(
         "path",
         F.coalesce("conv.id", F.lit("")).alias("conv_id"),
@@ -391,11 +402,10 @@ def list_conversations(files: DataFrame) -> DataFrame:
 
     Gemini exports have no listing. JSONL files come as whole files here.
     """
-    claude = files.filter("source = 'claude'")
-    is_jsonl = suffix(F.col("path")) == ".jsonl"
-    as_objects = _claude_conversations(claude.filter(suffix(F.col("path")) == ".json")).select("path", "conv")
+    source, kind = F.col("source"), suffix(F.col("path"))
+    as_objects = _claude_conversations(files_where(files, (source == "claude") & (kind == ".json"))).select("path", "conv")
     as_lines = (
-        claude.filter(is_jsonl)
+        files_where(files, (source == "claude") & (kind == ".jsonl"))
         .select("path", F.explode(F.split("content", "\n")).alias("line"))
         .filter(T.strip(F.col("line")) != "")
         .select("path", F.from_json("line", _CLAUDE_CONVERSATION, {"mode": "FAILFAST"}).alias("conv"))
@@ -407,11 +417,11 @@ def list_conversations(files: DataFrame) -> DataFrame:
         F.coalesce("conv.created_at", F.lit("")).alias("date"),
     )
     created = F.col("create_time")
-    chatgpt_rows = _chatgpt_conversations(files.filter("source = 'chatgpt'")).select(
+    chatgpt_rows = _chatgpt_conversations(files_where(files, source == "chatgpt")).select(
         F.lit("chatgpt").alias("source"), "path", "conv_id", "title",
         F.when(T.is_blank(created) | (created.try_cast("double") == 0), "").otherwise(T.unix_to_iso(created)).alias("date"),
     )
-    perplexity_rows = _perplexity_conversations(files.filter("source = 'perplexity'"), "skip").select(
+    perplexity_rows = _perplexity_conversations(files_where(files, source == "perplexity"), "skip").select(
         F.lit("perplexity").alias("source"), "path", "conv_id", "title",
         F.coalesce(F.get("raw", F.lit(0))["timestamp"], F.lit("")).alias("date"),
     )
@@ -459,12 +469,13 @@ def read_exports(files: DataFrame, readers: dict[str, Callable[..., DataFrame]]
     table = FILE_READERS if readers is None else readers
     parts = []
     for source, reader in table.items():
-        own = kinds.filter(F.col("source") == source)
+        mine = F.col("source") == source
         if source == "claude":
-            lines = own.filter(kind == ".jsonl").select("path", F.explode(F.split("content", "\n")).alias("line"))
-            parts += [read_claude_markdown(own.filter(kind == ".md")), read_claude_jsonl(lines)]
-            own = own.filter(kind == ".json")
-        parts.append(reader(own))
+            lines = files_where(kinds, mine & (kind == ".jsonl"))
+            lines = lines.select("path", F.explode(F.split("content", "\n")).alias("line"))
+            parts += [read_claude_markdown(files_where(kinds, mine & (kind == ".md"))), read_claude_jsonl(lines)]
+            mine = mine & (kind == ".json")
+        parts.append(reader(files_where(kinds, mine)))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
