@@ -1,4 +1,4 @@
 """All query modules; importing this fills the registry."""
 
-from threadloom.plans import exports, extraction  # noqa: F401
+from threadloom.plans import exports, extraction, sessions  # noqa: F401
 from threadloom.plans.registry import ORACLES, QUERIES  # noqa: F401
