@@ -168,3 +168,18 @@ class Lexicon:
 
 
 DEFAULT_LEXICON = Lexicon()
+
+
+# ---- Fixed values: source-file extensions and patterns. ------------------------------------------
+
+PYTHON_EXTENSIONS = (".py",)
+SCRIPT_EXTENSIONS = (".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs")
+
+SCRIPT_EXPORT = (
+    r"(?Udm)^export\s+(?:default\s+)?(?:async\s+)?"
+    r"(?:function|class|const|let|var|interface|type|enum)\s+(\w+)"
+)
+
+SCRIPT_IMPORT = r"""(?Udm)^import\s+(?:.+?\s+from\s+)?['"]([^'"]+)['"]"""
+
+# ---- End of fixed values. ------------------------------------------------------------------------
