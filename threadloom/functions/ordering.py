@@ -19,13 +19,9 @@ def ord_of(
 ) -> Column:
     """Sort key of an extracted item: session, message, kind, keyword, place in the message."""
 
-    def big(value: Column | int, name: str) -> Column:
-        column = F.lit(value) if isinstance(value, int) else value
-        return column.cast("bigint").alias(name)
-
-    return F.struct(
-        big(src, "src"), big(seq, "seq"), big(sub, "sub"), big(kw, "kw"), big(pos, "pos")
-    )
+    parts = {"src": src, "seq": seq, "sub": sub, "kw": kw, "pos": pos}
+    columns = [(F.lit(v) if isinstance(v, int) else v).cast("bigint").alias(n) for n, v in parts.items()]
+    return F.struct(*columns).cast(ORD_TYPE)
 
 
 def _same(left: str, right: str, names: Sequence[str]) -> Column:
@@ -45,11 +41,11 @@ def _offsets(counts: DataFrame, keys: list[str], levels: list[str]) -> DataFrame
     coarse = counts.groupBy(*outer).agg(F.sum("_n").alias("_n"))
     base = _offsets(coarse, keys, levels[:-1]).withColumnRenamed("_before", "_base")
     return (
-        inside.alias("i")
-        .join(base.alias("b"), _same("i", "b", outer))
+        inside.alias("_inside")
+        .join(base.alias("_outer"), _same("_inside", "_outer", outer))
         .select(
-            *[F.col(f"i.{c}") for c in outer + [last]],
-            (F.col("i._before") + F.col("b._base")).alias("_before"),
+            *[F.col(f"_inside.{c}") for c in outer + [last]],
+            (F.col("_inside._before") + F.col("_outer._base")).alias("_before"),
         )
     )
 
@@ -75,11 +71,11 @@ def number_rows(
     inside = Window.partitionBy(*keys, *levels).orderBy(*order)
     return (
         bucketed.withColumn("_rank", F.row_number().over(inside))
-        .alias("r")
-        .join(offsets.alias("o"), _same("r", "o", keys + levels))
+        .alias("_ranked")
+        .join(offsets.alias("_shift"), _same("_ranked", "_shift", keys + levels))
         .select(
-            *[F.col(f"r.{c}") for c in df.columns],
-            (F.col("r._rank") + F.col("o._before")).cast("bigint").alias(name),
+            *[F.col(f"_ranked.{c}") for c in df.columns],
+            (F.col("_ranked._rank") + F.col("_shift._before")).cast("bigint").alias(name),
         )
     )
 

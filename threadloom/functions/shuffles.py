@@ -74,10 +74,10 @@ def contained_tokens(
     wanted = tokens.filter(F.length("token") >= shortest).withColumn(
         "gram", F.left("token", F.least(F.length("token"), F.lit(longest)))
     )
-    t, g = wanted.alias("t"), grams.alias("g")
+    t, g = wanted.alias("_wanted"), grams.alias("_grams")
     hit = (
-        (F.col(f"t.{key}") == F.col(f"g.{key}"))
-        & (F.col("t.gram") == F.col("g.gram"))
-        & ((F.length("t.token") < longest) | F.col("g.run").contains(F.col("t.token")))
+        (F.col(f"_wanted.{key}") == F.col(f"_grams.{key}"))
+        & (F.col("_wanted.gram") == F.col("_grams.gram"))
+        & ((F.length("_wanted.token") < longest) | F.col("_grams.run").contains(F.col("_wanted.token")))
     )
     return t.join(g, hit, "left_semi").drop("gram")
