@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from threadloom.functions import text as T
 from threadloom.functions.ordering import number_rows, ord_buckets, ord_of
+from threadloom.functions.shuffles import cut_lineage
 
 LINES_PER_PART = 50_000
 
@@ -154,6 +155,7 @@ def context_flags(items: DataFrame, keys: Sequence[str]) -> DataFrame:
 def document_lines(items: DataFrame, layout: Sequence[Fixed | Listed] = KNOWLEDGE_BASE, keys: Sequence[str] = ("project_id",)) -> DataFrame:
     """(keys, rel_path, place, ord, pos, line) of every document of every context."""
     keys = list(keys)
+    items = cut_lineage(items)  # read three times below
 
     def fixed(block: Fixed) -> list[Column]:
         present = F.lit(True)
@@ -183,6 +185,7 @@ def document_lines(items: DataFrame, layout: Sequence[Fixed | Listed] = KNOWLEDG
 def assemble_documents(lines: DataFrame, keys: Sequence[str] = ("project_id",), lines_per_part: int = LINES_PER_PART) -> DataFrame:
     """(keys, rel_path, part, body): lines in order, joined by line breaks."""
     group = [*keys, "rel_path"]
+    lines = cut_lineage(lines)  # counted, then numbered
     numbered = number_rows(lines, group, ["place", "ord", "pos"], [F.col("place"), *ord_buckets()], "_n")
     part = F.floor((F.col("_n") - 1) / lines_per_part).cast("int").alias("part")
     listed = F.array_sort(F.collect_list(F.struct("_n", "line")))
@@ -209,8 +212,7 @@ def context_json_lines(
 ) -> DataFrame:
     """Lines of one JSON document per context, to be put together by ``assemble_documents``."""
     keys = list(keys)
-    numbered = number_rows(items, [*keys, "section"], ["ord"], ord_buckets(), "_n")
-    contexts = context_flags(items, keys).withColumn("ord", ord_of())
+    items = cut_lineage(items)  # read three times below
     text = F.to_json(F.array("text"))
     quoted = F.substr(text, F.lit(2), F.length(text) - 2)
     entry = F.to_json(F.create_map("label", "text"))
@@ -222,26 +224,24 @@ def context_json_lines(
         "non_goals": ("non_goal", quoted),
         "open_questions": ("open_question", quoted),
     }
-    parts = []
+    goal = F.to_json(F.array("_goal_text"))
+    frame, listed = [], []
     for i, name in enumerate(fields):
         comma = "," if i + 1 < len(fields) else "}"
         start = "{" if i == 0 else ""
         if name == "goal":
-            goal = F.to_json(F.array("_goal_text"))
             line = F.concat(F.lit(f'{start}"goal":'), F.substr(goal, F.lit(2), F.length(goal) - 2), F.lit(comma))
-            parts.append(_json_lines(contexts, keys, doc, 3 * i, line))
+            frame.append(_line(doc, 3 * i, 0, line, F.lit(True)))
             continue
         section, shown = forms[name]
         opening, closing = "{}" if name == "tech_stack" else "[]"
-        parts += [
-            _json_lines(contexts, keys, doc, 3 * i, F.lit(f'{start}"{name}":{opening}')),
-            _json_lines(numbered.filter(F.col("section") == section), keys, doc, 3 * i + 1, _comma(shown)),
-            _json_lines(contexts, keys, doc, 3 * i + 2, F.lit(closing + comma)),
-        ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+        frame.append(_line(doc, 3 * i, 0, F.lit(f'{start}"{name}":{opening}'), F.lit(True)))
+        frame.append(_line(doc, 3 * i + 2, 0, F.lit(closing + comma), F.lit(True)))
+        listed.append(_line(doc, 3 * i + 1, 0, _comma(shown), F.col("section") == section))
+    numbered = number_rows(items, [*keys, "section"], ["ord"], ord_buckets(), "_n")
+    lines = context_flags(items, keys).select(*keys, ord_of().alias("ord"), F.explode(F.array(*frame)).alias("l"))
+    lines = lines.unionByName(numbered.select(*keys, "ord", F.coalesce(*listed).alias("l")))
+    return lines.filter("l IS NOT NULL").select(*keys, "l.rel_path", "l.place", "ord", "l.pos", "l.line")
 
 
 def export_context_json(items: DataFrame, keys: Sequence[str] = ("project_id",)) -> DataFrame:

@@ -26,73 +26,85 @@ _CHECK = r"^(?U)\s*-\s*\[([xX ])\]\s+(.+)$"
 # ---- End of fixed values. ------------------------------------------------------------------------
 
 
-def _rows(docs: DataFrame, key: str, name: str, found: Column, section: str | Column, unless: str | None = None) -> DataFrame:
-    """Items of one document; ``found`` is an array of structs with any of label, text, detail, ...."""
-    own = docs.filter(F.col("rel_path") == name)
-    if unless:
-        own = own.filter(~F.col("body").contains(unless))
-    rows = own.select(key, F.posexplode(found).alias("pos", "i"))
-    fields = {"label": F.lit(""), "text": F.lit(""), "detail": F.lit(""), "priority": F.lit(""), "done": F.lit(False)}
-    present = rows.schema["i"].dataType.fieldNames()
-    chosen = [F.col(f"i.{f}").alias(f) if f in present else default.alias(f) for f, default in fields.items()]
-    kind = F.col("i.section") if "section" in present else F.lit(section)
-    return rows.select(key, kind.alias("section"), ord_of(seq=F.col("pos")).alias("ord"), *chosen)
-
-
-def _matches(pattern: str, group: int = 1, c: str = "body") -> Column:
-    return F.regexp_extract_all(c, F.lit(pattern), F.lit(group))
+_ITEMS = "array<struct<section:string,label:string,text:string,detail:string,priority:string,done:boolean>>"
 
 
-def read_knowledge_base(docs: DataFrame, key: str = "project_id") -> DataFrame:
-    """Items of saved documents (key, rel_path, body)."""
-    sections = F.split("body", r"(?m)^## ")
-    body_after = F.transform(
-        F.filter(sections, lambda s: s.startswith("Goal") & s.contains("\n")), lambda s: T.strip(F.regexp_replace(s, r"\A[^\n]*\n", ""))
+def _item(section: str | Column, text: Column, label: Column | None = None, detail: Column | None = None, priority: Column | None = None, done: Column | None = None) -> Column:
+    def given(c: Column | None, name: str) -> Column:
+        return (F.lit("") if c is None else c).alias(name)
+
+    return F.struct(
+        (F.lit(section) if isinstance(section, str) else section).alias("section"), given(label, "label"), text.alias("text"), given(detail, "detail"),
+        given(priority, "priority"), (F.lit(False) if done is None else done).alias("done"),
     )
-    goal = F.transform(F.slice(body_after, 1, 1), lambda g: F.struct(g.alias("text")))
 
-    blocks = F.split("body", _ADR)
 
+def _matches(pattern: str, group: int = 1, c: Column | str = "body") -> Column:
+    return F.regexp_extract_all(c, F.lit(pattern), F.lit(group))
+
+
+def _read_goal(sections: Column) -> Column:
+    found = F.filter(sections, lambda s: s.startswith("Goal") & s.contains("\n"))
+    return F.transform(F.slice(found, 1, 1), lambda s: _item("goal", T.strip(F.regexp_replace(s, r"\A[^\n]*\n", ""))))
+
+
+def _read_stack() -> Column:
+    """Each entry at its first place with its last value."""
+    rows = F.zip_with(_matches(_TECH, 1), _matches(_TECH, 2), lambda n, v: _item("tech_stack", T.strip(v), label=F.lower(T.strip(n))))
+    names = F.array_distinct(F.transform(rows, lambda r: r["label"]))
+    return F.transform(names, lambda n: F.element_at(F.filter(rows, lambda r: r["label"] == n), -1))
+
+
+def _read_decisions(blocks: Column) -> Column:
     def decision(topic: Column, i: Column) -> Column:
         block = F.get(blocks, i + 1)
         text, why = T.strip(F.regexp_extract(block, _DECISION, 1)), T.strip(F.regexp_extract(block, _RATIONALE, 1))
-        return F.struct(
-            T.strip(topic).alias("label"), F.when(text == "_No decision recorded._", "").otherwise(text).alias("text"),
-            F.when(why == "_No rationale recorded._", "").otherwise(why).alias("detail"),
+        return _item(
+            "decision", F.when(text == "_No decision recorded._", "").otherwise(text), label=T.strip(topic),
+            detail=F.when(why == "_No rationale recorded._", "").otherwise(why),
         )
 
+    return F.transform(_matches(_ADR), decision)
+
+
+def _read_tasks() -> Column:
     def task(line: Column) -> Column:
-        return F.struct(
-            T.strip(F.regexp_extract(line, _TASK, 2)).alias("text"), F.when(F.regexp_extract(line, _TASK, 3) != "", "high").otherwise("medium").alias("priority"),
-            (F.lower(F.regexp_extract(line, _TASK, 1)) == "x").alias("done"),
-        )
+        priority = F.when(F.regexp_extract(line, _TASK, 3) != "", "high").otherwise("medium")
+        return _item("task", T.strip(F.regexp_extract(line, _TASK, 2)), priority=priority, done=F.lower(F.regexp_extract(line, _TASK, 1)) == "x")
+
+    return F.transform(_matches(_TASK, 0), task)
 
+
+def _read_constraints(sections: Column) -> Column:
     def listed(section: Column) -> Column:
         kind = F.when(section.startswith("Constraints"), "constraint").when(section.startswith("Non-goals"), "non_goal")
-        found = F.transform(
-            F.regexp_extract_all(section, F.lit(_ITEM), F.lit(1)), lambda t: F.struct(kind.alias("section"), T.strip(t).alias("text"))
-        )
-        return F.when(kind.isNotNull(), found).otherwise(F.array().cast("array<struct<section:string,text:string>>"))
-
-    tech_names, tech_values = _matches(_TECH, 1), _matches(_TECH, 2)
-    tech = F.zip_with(tech_names, tech_values, lambda n, v: F.struct(F.lower(T.strip(n)).alias("label"), T.strip(v).alias("text")))
-    stack = _rows(docs, key, "context/architecture.md", tech, "tech_stack")
-    last = stack.groupBy(key, "section", "label").agg(
-        F.min("ord").alias("ord"), F.max_by(F.struct("text", "detail", "priority", "done"), "ord").alias("r")
-    ).select(key, "section", "ord", "label", "r.*")
-    questions = F.transform(_matches(_QUESTION), lambda q: F.struct(T.strip(q).alias("text")))
-    parts = [
-        _rows(docs, key, "context/overview.md", goal, "goal"),
-        last,
-        _rows(docs, key, "context/decisions.md", F.transform(_matches(_ADR), decision), "decision", unless="_No decisions extracted"),
-        _rows(docs, key, "context/constraints.md", F.flatten(F.transform(sections, listed)), "", unless="_No constraints or non-goals recorded._"),
-        _rows(docs, key, "context/risks.md", questions, "open_question", unless="_No open questions or risks recorded._"),
-        _rows(docs, key, "work/tasks.md", F.transform(_matches(_TASK, 0), task), "task"),
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.union(part.select(out.columns))
-    return out
+        found = F.transform(_matches(_ITEM, 1, section), lambda t: _item(kind, T.strip(t)))
+        return F.when(kind.isNotNull(), found).otherwise(F.array().cast(_ITEMS))
+
+    return F.flatten(F.transform(sections, listed))
+
+
+def read_knowledge_base(docs: DataFrame, key: str = "project_id") -> DataFrame:
+    """Items of saved documents (key, rel_path, body), in one scan and without a shuffle."""
+    path, body = F.col("rel_path"), F.col("body")
+    cut = docs.withColumns({"_sections": F.split("body", r"(?m)^## "), "_blocks": F.split("body", _ADR)})
+    questions = F.transform(_matches(_QUESTION), lambda q: _item("open_question", T.strip(q)))
+
+    def of(name: str, found: Column, unless: str | None = None) -> Column:
+        usable = path == name
+        return F.when(usable & ~body.contains(unless) if unless else usable, found.cast(_ITEMS))
+
+    found = F.coalesce(
+        of("context/overview.md", _read_goal(F.col("_sections"))),
+        of("context/architecture.md", _read_stack()),
+        of("context/decisions.md", _read_decisions(F.col("_blocks")), "_No decisions extracted"),
+        of("context/constraints.md", _read_constraints(F.col("_sections")), "_No constraints or non-goals recorded._"),
+        of("context/risks.md", questions, "_No open questions or risks recorded._"),
+        of("work/tasks.md", _read_tasks()),
+    )
+    return cut.select(key, F.posexplode(found).alias("pos", "i")).select(
+        key, "i.section", ord_of(seq=F.col("pos")).alias("ord"), "i.label", "i.text", "i.detail", "i.priority", "i.done"
+    )
 
 
 def read_backlog(docs: DataFrame, key: str = "project_id") -> DataFrame:
