@@ -72,7 +72,8 @@ MUST_SUBJECT = r"(?iU)\b(it|the\s+\w+|we|you|this|system|api|service|app)\s+must
 
 LIST_ITEM = r"(?Udm)^\s*(?:\d+[.)]\s+|[-*]\s+|Phase\s+\d+\s*[—\-–]\s*)(.+)$"
 
-QUESTION = r"(?Udm)[^.!?]*\?"
+# a question starts where a sentence does; saying so keeps the search linear
+QUESTION = r"(?Udm)(?<![^.!?])[^.!?]*+\?"
 
 OPEN_POINT = r"(?Udm)^(?:TBD|tbd|open question:|unclear:)\s*(.+)$"
 

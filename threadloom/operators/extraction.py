@@ -52,14 +52,14 @@ def match_lexicon(
 
     The lexicon is part of the plan, so matching needs neither a join nor a shuffle.
     """
-    low = F.lower("sentence")
+    low = F.col("_low")
     tests = [
         F.when(low.contains(word), F.struct(F.lit(category).alias("category"), F.lit(i).alias("kw_ord"), F.lit(word).alias("keyword")))
         for category, listed in lexicon.items()
         for i, word in enumerate(listed)
     ]
     return (
-        sentences.withColumn("hit", F.explode(F.array(*tests)))
+        sentences.withColumn("_low", F.lower("sentence")).withColumn("hit", F.explode(F.array(*tests)))
         .filter("hit IS NOT NULL")
         .select(*keys, "msg_seq", "sent_ord", "sentence", "hit.*")
     )
@@ -89,7 +89,7 @@ def _tech_key(low: Column, tech: dict) -> Column:
 
 
 def _sentence_candidates(lexicon: Lexicon, sections: Sequence[str]) -> list[Column]:
-    text, low, seq, pos = F.col("text"), F.lower("text"), F.col("seq"), F.col("pos")
+    text, low, seq, pos = F.col("text"), F.col("low"), F.col("seq"), F.col("pos")
 
     def at(kw: Column) -> Column:
         return ord_of(seq=seq, kw=kw, pos=pos)
@@ -115,9 +115,8 @@ def _sentence_candidates(lexicon: Lexicon, sections: Sequence[str]) -> list[Colu
     return out
 
 
-def _after_header(content: Column, headers: Sequence[str]) -> Column:
+def _after_header(content: Column, low: Column, headers: Sequence[str]) -> Column:
     """Content after the first occurrence of the first listed header that it holds."""
-    low = F.lower(content)
     cuts = [F.when(low.contains(h), F.substr(content, F.instr(low, h) + len(h))) for h in headers]
     return F.coalesce(*cuts, content)
 
@@ -130,8 +129,8 @@ def _numbered(texts: Column, kind: str, sub: int = 0) -> Column:
 
 
 def _fragments(lexicon: Lexicon, sections: Sequence[str]) -> Column:
-    """Array of the pieces of one message that candidates are made of."""
-    content = F.col("content")
+    """Array of the pieces of one message (content, and low in lower case) that candidates are made of."""
+    content, low = F.col("content"), F.col("low")
     nothing = F.array().cast("array<struct<kind:string,sub:int,pos:int,text:string>>")
     parts = []
     phrases: list[str] = []
@@ -144,12 +143,12 @@ def _fragments(lexicon: Lexicon, sections: Sequence[str]) -> Column:
         if section in sections:
             phrases += listed
     if phrases:  # the cheap test on the whole message saves the sentence split on most of them
-        parts.append(F.when(T.contains_any(F.lower(content), phrases), _numbered(T.sentences(content), "sentence")))
+        parts.append(F.when(T.contains_any(low, phrases), _numbered(T.sentences(content), "sentence")))
     if "goal" in sections:
         fallback = F.when(F.col("role") == "user", T.clean_goal(content, lexicon.goal_prefixes)).otherwise("")
         parts.append(_numbered(F.array(fallback), "fallback"))
     if "task" in sections:
-        listed = F.regexp_extract_all(_after_header(content, lexicon.task_headers), F.lit(LIST_ITEM), F.lit(1))
+        listed = F.regexp_extract_all(_after_header(content, low, lexicon.task_headers), F.lit(LIST_ITEM), F.lit(1))
         parts.append(_numbered(F.filter(F.transform(listed, T.strip), lambda t: t != ""), "task"))
     if "open_question" in sections:
         asked = F.transform(F.regexp_extract_all(content, F.lit(QUESTION), F.lit(0)), T.strip)
@@ -157,7 +156,6 @@ def _fragments(lexicon: Lexicon, sections: Sequence[str]) -> Column:
         opened = F.transform(F.regexp_extract_all(content, F.lit(OPEN_POINT), F.lit(0)), T.strip)
         parts.append(_numbered(opened, "question", 1))
     if "tech_stack" in sections and lexicon.tech:
-        low = F.lower(content)
         found = [
             F.when(
                 low.contains(word) & low.rlike(rf"(?U)\b\Q{word}\E\b"),
@@ -176,7 +174,7 @@ def _spanning_tech(messages: DataFrame, lexicon: Lexicon, keys: Sequence[str]) -
     Messages count as joined by one space, so such a name can only break at its own space. Only
     messages that end or start with half of a name leave a row here; ``seq`` must be gapless.
     """
-    low = F.lower("content")
+    low = F.col("low")
     halves = []
     for c, listed in enumerate(lexicon.tech.values()):
         for i, (word, shown) in enumerate(listed.items()):
@@ -193,7 +191,7 @@ def _spanning_tech(messages: DataFrame, lexicon: Lexicon, keys: Sequence[str]) -
             starts = low.startswith(right) & low.rlike(rf"(?U)\A\Q{right}\E\b")
             halves += [F.when(ends, half("left", F.col("seq") + 1)), F.when(starts, half("right", F.col("seq") + 0))]
     rows = (
-        messages.select(*keys, F.explode(F.array(*halves)).alias("h")).filter("h IS NOT NULL").select(*keys, "h.*")
+        messages.withColumn("low", F.lower("content")).select(*keys, F.explode(F.array(*halves)).alias("h")).filter("h IS NOT NULL").select(*keys, "h.*")
     )
     return (
         rows.groupBy(*keys, "at", "sub", "pos", "text")
@@ -210,11 +208,14 @@ def item_candidates(
     keys: Sequence[str] = ("conv_id",),
 ) -> DataFrame:
     """Candidate items of every message: (keys, section, key, first, last, text, label, priority)."""
-    pieces = messages.select(
+    # lower case is a column of its own: dozens of tests look at it, and each would compute it anew
+    lowered = messages.withColumn("low", F.lower("content"))
+    pieces = lowered.select(
         *keys, F.col("seq").cast("bigint").alias("seq"), "role", F.explode(_fragments(lexicon, sections)).alias("f")
     ).select(*keys, "seq", "role", "f.kind", "f.sub", "f.pos", "f.text")
     if "tech_stack" in sections and any(" " in w for listed in lexicon.tech.values() for w in listed):
         pieces = pieces.unionByName(_spanning_tech(messages, lexicon, keys))
+    pieces = pieces.withColumn("low", F.when(F.col("kind") == "sentence", F.lower("text")))
     kind, text = F.col("kind"), F.col("text")
     here = ord_of(seq=F.col("seq"), sub=F.col("sub"), pos=F.col("pos"))
     options = [F.when(kind == "sentence", c) for c in _sentence_candidates(lexicon, sections)]

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from threadloom.functions import text as T
 from threadloom.functions.ordering import top_rows
-from threadloom.functions.shuffles import contained_tokens, salted_lookup
+from threadloom.functions.shuffles import contained_tokens, cut_lineage, salted_lookup
 from threadloom.lexicons import CREATE_TOOLS, MODIFY_TOOLS, SESSION_DECISION
 from threadloom.sources.sessions import content_blocks, plain_text
 
@@ -31,21 +31,10 @@ def _fact(kind: str, key: Column, pos: Column, value: Column) -> Column:
     )
 
 
-def _entry_fields() -> list[Column]:
-    at, none = F.lit(0), F.lit("")
+def _used_tokens() -> Column:
     used = F.col("usage")
-    tokens = sum(
-        (F.coalesce(used[c], F.lit(0)) for c in ("cache_creation_input_tokens", "cache_read_input_tokens")),
-        F.coalesce(used["input_tokens"], F.lit(0)),
-    )
-    is_user, is_assistant = F.col("type") == "user", F.col("type") == "assistant"
-    return [
-        F.when(~T.is_blank(F.col("session_id")), _fact("session_id", none, at, F.col("session_id"))),
-        F.when(~T.is_blank(F.col("git_branch")), _fact("git_branch", none, at, F.col("git_branch"))),
-        F.when(is_user & ~T.is_blank(F.col("timestamp")), _fact("started_at", none, at, F.col("timestamp"))),
-        F.when(is_assistant & used.isNotNull(), _fact("usage", none, at, tokens)),
-        _fact("entry", none, at, F.col("type")),
-    ]
+    counts = [F.coalesce(used[c], F.lit(0)) for c in ("input_tokens", "cache_creation_input_tokens", "cache_read_input_tokens")]
+    return F.when((F.col("type") == "assistant") & used.isNotNull(), counts[0] + counts[1] + counts[2])
 
 
 def _read_blocks(content: Column) -> Column:
@@ -98,34 +87,45 @@ def _decision_facts(text: Column) -> Column:
 
 
 def session_facts(entries: DataFrame, keys: Sequence[str] = ("path",)) -> DataFrame:
-    """(keys, kind, key, first_at, last_at, first_value, last_value, n)."""
+    """(keys, kind, key, first_at, last_at, first_value, last_value, n, and the entry fields).
+
+    Every entry leaves one fact of kind ``entry``, which carries the fields of the session itself.
+    """
     nothing = F.array().cast("array<struct<kind:string,key:string,pos:int,value:string>>")
     content, blocks = F.col("content"), F.col("blocks")
     is_assistant = F.col("type") == "assistant"
     read = entries.select(
-        *keys, "seq", "type", "session_id", "git_branch", "timestamp", "usage",
+        *keys, "seq", _used_tokens().alias("tokens"), T.non_empty(F.col("session_id")).alias("session_id"), T.non_empty(F.col("git_branch")).alias("git_branch"),
+        F.when(F.col("type") == "user", T.non_empty(F.col("timestamp"))).alias("started_at"),
         F.when(is_assistant, plain_text(content)).alias("plain"),
         F.when(is_assistant, _read_blocks(content)).alias("blocks"),
     )
     spoken = F.transform(F.filter(blocks, lambda b: b["type"] == "text"), lambda b: b["text"])
     text = F.coalesce("plain", F.array_join(spoken, " "))
     parts = [
-        F.array(*_entry_fields()),
+        F.array(_fact("entry", F.lit(""), F.lit(0), F.lit(""))),
         F.coalesce(_tool_facts(blocks), nothing),
         F.coalesce(_decision_facts(text), nothing),
     ]
-    facts = read.select(*keys, "seq", F.explode(F.concat(*parts)).alias("f")).filter("f IS NOT NULL")
+    fields = ["session_id", "git_branch", "started_at", "tokens"]
+    facts = read.select(*keys, "seq", *fields, F.explode(F.concat(*parts)).alias("f")).filter("f IS NOT NULL")
+    is_entry = F.col("f.kind") == "entry"
     at = F.struct("seq", F.col("f.pos").alias("pos"))
-    return (
-        facts.select(*keys, "f.kind", "f.key", at.alias("at"), "f.value")
-        .groupBy(*keys, "kind", "key")
-        .agg(
-            F.min("at").alias("first_at"),
-            F.max("at").alias("last_at"),
-            F.min_by("value", "at").alias("first_value"),
-            F.max_by("value", "at").alias("last_value"),
-            F.count(F.lit(1)).alias("n"),
-        )
+    rows = facts.select(
+        *keys, "f.kind", "f.key", at.alias("at"), "f.value", *[F.when(is_entry, F.col(c)).alias(c) for c in fields]
+    )
+
+    def given(column: str) -> Column:
+        return F.when(F.col(column).isNotNull(), F.col("at"))
+
+    return rows.groupBy(*keys, "kind", "key").agg(
+        F.min("at").alias("first_at"),
+        F.max("at").alias("last_at"),
+        F.min_by("value", "at").alias("first_value"),
+        F.max_by("value", "at").alias("last_value"),
+        F.count(F.lit(1)).alias("n"),
+        *[F.min_by(c, given(c)).alias(c) for c in fields[:3]],
+        F.max_by("tokens", given("tokens")).alias("tokens"),
     )
 
 
@@ -154,17 +154,14 @@ def usage_percent(tokens: Column) -> Column:
 
 def context_usage(facts: DataFrame, keys: Sequence[str] = ("path",)) -> DataFrame:
     """Context share in percent by the last assistant entry that reports usage."""
-    tokens = F.col("last_value").cast("bigint")
-    return facts.filter("kind = 'usage'").select(*keys, usage_percent(tokens).alias("context_usage_pct"))
+    reported = facts.filter("kind = 'entry' AND tokens IS NOT NULL")
+    return reported.select(*keys, usage_percent(F.col("tokens")).alias("context_usage_pct"))
 
 
 def first_metadata(facts: DataFrame, keys: Sequence[str] = ("path",)) -> DataFrame:
     """First non-empty session id, start and branch; empty text where a session has none."""
-
-    def of(kind: str) -> Column:
-        return F.coalesce(F.max(F.when(F.col("kind") == kind, F.col("first_value"))), F.lit("")).alias(kind)
-
-    return facts.filter("key = ''").groupBy(*keys).agg(of("session_id"), of("started_at"), of("git_branch"))
+    fields = [F.coalesce(c, F.lit("")).alias(c) for c in ("session_id", "started_at", "git_branch")]
+    return facts.filter("kind = 'entry'").select(*keys, *fields)
 
 
 def match_plan_tasks(tasks: DataFrame, changes: DataFrame, key: str = "path") -> DataFrame:
@@ -207,6 +204,7 @@ def summarise_sessions(facts: DataFrame, plans: DataFrame | None = None, key: st
 
     ``plans`` is (key, ord, title, priority, done).
     """
+    facts = cut_lineage(facts)  # a small digest of the logs, read several times below
     listed = F.col("kind").isin("command", "decision")
     per_list = Window.partitionBy(key, "kind", F.when(listed, "").otherwise(F.col("key"))).orderBy("first_at")
     ranked = facts.withColumn("rank", F.row_number().over(per_list)).filter(F.col("rank") <= MAX_COMMANDS)
@@ -215,12 +213,10 @@ def summarise_sessions(facts: DataFrame, plans: DataFrame | None = None, key: st
         return F.max(F.when(F.col("kind") == kind, F.col(column)))
 
     summary = ranked.groupBy(key).agg(
-        F.coalesce(single("session_id", "first_value"), F.lit("")).alias("session_id"),
-        F.coalesce(single("started_at", "first_value"), F.lit("")).alias("started_at"),
-        F.coalesce(single("git_branch", "first_value"), F.lit("")).alias("git_branch"),
+        *[F.coalesce(F.max(c), F.lit("")).alias(c) for c in ("session_id", "started_at", "git_branch")],
         F.coalesce(single("action", "last_value"), F.lit("")).alias("last_action"),
-        usage_percent(single("usage", "last_value").cast("bigint")).alias("context_usage_pct"),
-        F.coalesce(F.max(F.when(F.col("kind") == "entry", F.col("n"))), F.lit(0)).alias("message_count"),
+        usage_percent(F.max("tokens")).alias("context_usage_pct"),
+        single("entry", "n").alias("message_count"),
         F.count_if(F.col("kind") == "change").alias("files_changed"),
         _in_order("command", MAX_COMMANDS, F.col("key")).alias("commands_run"),
         _in_order("decision", MAX_DECISIONS, F.col("key")).alias("decisions"),

@@ -45,7 +45,9 @@ def entry_type_filter(entries: DataFrame) -> DataFrame:
 
 def read_session_entries(lines: DataFrame) -> DataFrame:
     """Lines to entries; lines that are no JSON object are skipped. Other columns stay as they are."""
-    parsed = lines.withColumn("entry", F.from_json("line", ENTRY, {"mode": "PERMISSIVE"}))
+    # explode keeps the type filter above it; pushed down, the filter would parse every line again
+    entry = F.explode(F.array(F.from_json("line", ENTRY, {"mode": "PERMISSIVE"})))
+    parsed = lines.withColumn("entry", entry)
     kept = [c for c in lines.columns if c != "line"]
     entries = parsed.select(*kept, "entry.*")
     return entry_type_filter(
