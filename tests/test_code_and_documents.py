@@ -37,7 +37,8 @@ def index(spark, tmp_path_factory):
         path = root / name
         path.parent.mkdir(parents=True, exist_ok=True)
         path.write_bytes(content.encode())
-    return C.index_repository(S.read_tree(spark, str(root)), ["skip/*"])
+    assert S.read_tree(spark, str(root)).count() == len(PROJECT)
+    return C.index_tree(spark, str(root), ["skip/*"])
 
 
 def rows(df, *columns):

@@ -10,13 +10,13 @@ from __future__ import annotations
 import ast
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.functions import text as T
 from threadloom.functions.shuffles import cut_lineage, salted_lookup
 from threadloom.lexicons import PYTHON_EXTENSIONS, SCRIPT_EXPORT, SCRIPT_EXTENSIONS, SCRIPT_IMPORT
-from threadloom.sources.trees import source_files
+from threadloom.sources.trees import indexable_paths, list_tree, read_contents, source_files
 
 MAX_SIGNATURE = 200
 PARSE_ERROR = "(parse error)"
@@ -323,13 +323,13 @@ def index_report(files: DataFrame, symbols: DataFrame, impact: DataFrame, stats:
 # ---- whole index ---------------------------------------------------------------------------------
 
 
-def index_repository(tree: DataFrame, globs: Sequence[str] = ()) -> dict[str, DataFrame]:
+def index_repository(tree: DataFrame, globs: Sequence[str] = (), all_paths: DataFrame | None = None) -> dict[str, DataFrame]:
     """Tables files, symbols, imports, edges, nodes, impact_edges, change_impact, stats and report.
 
     File contents are read and parsed once; the structure and the edges, which several tables start
-    from, are checkpointed.
+    from, are checkpointed. ``all_paths`` is every file on disk, when ``tree`` is already cut down.
     """
-    all_paths = tree.select("repo_id", "path")
+    all_paths = tree.select("repo_id", "path") if all_paths is None else all_paths.select("repo_id", "path")
     structure = cut_lineage(file_structure(source_files(tree, globs)))
     listed = structure.select("repo_id", "path", "line_count", "purpose")
     symbols, imports = symbols_of(structure), classify_imports(structure, all_paths)
@@ -345,6 +345,12 @@ def index_repository(tree: DataFrame, globs: Sequence[str] = ()) -> dict[str, Da
     }
 
 
+def index_tree(spark: SparkSession, root: str, globs: Sequence[str] = (), repo_depth: int = 0) -> dict[str, DataFrame]:
+    """Index of the files below ``root``; contents of excluded files are not even read."""
+    listed = list_tree(spark, root, repo_depth)
+    return index_repository(read_contents(indexable_paths(listed, globs)), globs, listed)
+
+
 def write_code_index(index: dict[str, DataFrame], path: str, mode: str = "overwrite") -> None:
     """One Parquet table per part of the index, by repository."""
     for name, part in index.items():

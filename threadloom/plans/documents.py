@@ -381,4 +381,4 @@ def _(spark, sf_dir):
 
 @query("s13_scan_source_tree")
 def _(spark, sf_dir):
-    return trees.read_tree(spark, sf_dir).select("repo_id", "path", "size")
+    return trees.list_tree(spark, sf_dir).select("repo_id", "path", "size")

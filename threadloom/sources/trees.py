@@ -3,33 +3,80 @@
 from __future__ import annotations
 
 import fnmatch
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from threadloom.functions.shuffles import cut_lineage
 from threadloom.lexicons import EXCLUDED_DIRS
 
 MAX_LINES = 500
 SNIFFED_BYTES = 1024
-
-
-def read_tree(spark: SparkSession, root: str, repo_depth: int = 0) -> DataFrame:
-    """(repo_id, path, content, size) of every file below ``root``.
+FILES_PER_BATCH = 64
+
+
+def _list_folders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for uri in batch["uri"]:
+            system, path = fs.FileSystem.from_uri(uri)
+            entries = system.get_file_info(fs.FileSelector(path))
+            prefix = uri[: len(uri) - len(path)] if uri.endswith(path) else ""
+            yield pd.DataFrame({
+                "uri": [prefix + e.path for e in entries],
+                "is_dir": [e.type == fs.FileType.Directory for e in entries],
+                "size": [int(e.size or 0) for e in entries],
+            })
+
+
+def _read_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for start in range(0, len(batch), FILES_PER_BATCH):
+            part = batch.iloc[start : start + FILES_PER_BATCH].copy()
+            contents = []
+            for uri in part["uri"]:
+                system, path = fs.FileSystem.from_uri(uri)
+                with system.open_input_stream(path) as stream:
+                    contents.append(stream.read())
+            part["content"] = contents
+            yield part[["repo_id", "path", "size", "content"]]
+
+
+def list_tree(spark: SparkSession, root: str, repo_depth: int = 0) -> DataFrame:
+    """(repo_id, path, uri, size) of every file below ``root``.
 
     With ``repo_depth`` n, the first n folders below the root name the repository; with 0 the whole
-    tree is one repository.
+    tree is one repository. Spark's own file sources leave out names that start with "_" or ".", and
+    with them every ``__init__.py``; so folders are listed level by level, each level in parallel.
     """
     base = root.rstrip("/")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
-    below = F.split(F.regexp_replace("path", rf"^[a-z0-9]+:/*(?=/)|\Q{base}/\E", ""), "/")
-    parts = F.filter(below, lambda p: p != "")
+    folders = spark.createDataFrame([(base,)], "uri STRING")
+    levels = []
+    while True:
+        listed = cut_lineage(folders.repartition("uri").mapInPandas(_list_folders, "uri STRING, is_dir BOOLEAN, size LONG"))
+        levels.append(listed.filter("NOT is_dir"))
+        folders = listed.filter("is_dir").select("uri")
+        if folders.isEmpty():
+            break
+    files = reduce(DataFrame.union, levels)
+    parts = F.split(F.substr("uri", F.lit(len(base) + 2)), "/")
     depth = F.lit(repo_depth)
     repo = F.array_join(F.slice(parts, F.lit(1), depth), "/") if repo_depth else F.lit(base.rsplit("/", 1)[-1])
-    return files.select(
-        repo.alias("repo_id"), F.array_join(F.slice(parts, depth + 1, F.greatest(F.size(parts) - depth, F.lit(0))), "/").alias("path"),
-        "content", F.col("length").alias("size"),
-    )
+    inside = F.slice(parts, depth + 1, F.greatest(F.size(parts) - depth, F.lit(0)))
+    return files.select(repo.alias("repo_id"), F.array_join(inside, "/").alias("path"), "uri", "size")
+
+
+def read_contents(listed: DataFrame) -> DataFrame:
+    """(repo_id, path, size, content) of listed files, spread evenly over tasks."""
+    return listed.repartition("uri").mapInPandas(_read_files, "repo_id STRING, path STRING, size LONG, content BINARY")
+
+
+def read_tree(spark: SparkSession, root: str, repo_depth: int = 0) -> DataFrame:
+    """(repo_id, path, size, content) of every file below ``root``."""
+    return read_contents(list_tree(spark, root, repo_depth))
 
 
 def byte_text(content: Column) -> Column:
@@ -54,18 +101,22 @@ def matches_glob(path: Column, patterns: Sequence[str]) -> Column:
     return hit
 
 
+def indexable_paths(files: DataFrame, globs: Sequence[str] = (), excluded: Sequence[str] = EXCLUDED_DIRS) -> DataFrame:
+    """Files outside excluded folders that no glob matches; needs paths only, so it can run before
+    contents are read."""
+    path = F.col("path")
+    return files.filter(~in_excluded_dir(path, excluded) & ~matches_glob(path, globs))
+
+
 def source_files(
     tree: DataFrame, globs: Sequence[str] = (), excluded: Sequence[str] = EXCLUDED_DIRS, max_lines: int = MAX_LINES
 ) -> DataFrame:
-    """Files worth indexing, with ``line_count``: not in an excluded folder or matched by a glob, not
-    binary (a zero byte near the start) and not longer than ``max_lines``.
-
-    The path tests come first, so the content of excluded files is not looked at.
-    """
-    path, content = F.col("path"), F.col("content")
+    """Files worth indexing, with ``line_count``: indexable by path, not binary (a zero byte near the
+    start) and not longer than ``max_lines``."""
+    content = F.col("content")
     binary = F.contains(F.substr(content, F.lit(1), F.lit(SNIFFED_BYTES)), F.lit(b"\x00"))
     return (
-        tree.filter(~in_excluded_dir(path, excluded) & ~matches_glob(path, globs))
+        indexable_paths(tree, globs, excluded)
         .filter(~binary)
         .withColumn("line_count", bytes_line_count(content))
         .filter(F.col("line_count") <= max_lines)
