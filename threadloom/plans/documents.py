@@ -85,7 +85,8 @@ def _(spark, sf_dir):
 
 @query("s14_read_knowledge_base", (
     f"WITH {_CTX} SELECT project_id, section, CASE WHEN section = 'tech_stack' THEN lower(label) WHEN section = 'decision' THEN label ELSE '' END AS label, trim(text) AS text, "
-    "CASE WHEN section = 'decision' THEN detail ELSE '' END AS detail, CASE WHEN section = 'task' THEN priority ELSE '' END AS priority, section = 'task' AND done AS done FROM ctx"
+    "CASE WHEN section = 'decision' THEN detail ELSE '' END AS detail, CASE WHEN section = 'task' THEN priority ELSE '' END AS priority, section = 'task' AND done AS done FROM ctx "
+    "UNION ALL SELECT project_id, 'goal', '', '(goal not detected — fill in manually)', '', '', FALSE FROM ctx GROUP BY 1 HAVING NOT bool_or(section = 'goal')"
 ))
 def _(spark, sf_dir):
     return D.read_knowledge_base(knowledge_base(spark, sf_dir)).drop("ord")
@@ -270,7 +271,8 @@ def context_answers(spark, sf_dir) -> DataFrame:
 
 @query("m2_parse_context_responses", (
     f"WITH {_CTX} SELECT project_id, section, CASE WHEN section IN ('tech_stack', 'decision') THEN label ELSE '' END AS label, text, CASE WHEN section IN ('task', 'decision') THEN detail ELSE '' END AS detail, "
-    "CASE WHEN section = 'task' THEN priority ELSE '' END AS priority, section = 'task' AND done AS done FROM ctx WHERE project_id % 7 <> 3"
+    "CASE WHEN section = 'task' THEN priority ELSE '' END AS priority, section = 'task' AND done AS done FROM ctx WHERE project_id % 7 <> 3 "
+    "UNION ALL SELECT project_id, 'goal', '', '', '', '', FALSE FROM ctx WHERE project_id % 7 <> 3 GROUP BY 1 HAVING NOT bool_or(section = 'goal')"
 ))
 def _(spark, sf_dir):
     items, _ = B.parse_context_responses(context_answers(spark, sf_dir), ["project_id"])

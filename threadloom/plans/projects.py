@@ -16,7 +16,7 @@ def titled_parts(spark, sf_dir) -> DataFrame:
     """Parts as conversations: every third title has its type as a prefix, some prefixes are unique."""
     key, name = F.col("p_partkey"), F.col("p_name")
     title = (
-        F.when(key % 3 == 0, F.concat(F.col("p_type"), F.lit(" - "), name))
+        F.when(key % 3 == 0, F.concat(F.col("p_type"), F.lit("type - "), name))
         .when(key % 50 == 1, F.concat(F.lit("only"), key, F.lit(": "), name))
         .otherwise(name)
     )
@@ -28,8 +28,8 @@ def titled_parts(spark, sf_dir) -> DataFrame:
 
 _PARTS = (
     "c AS (SELECT 'L' || (p_size % 4) AS listing, p_partkey AS ord, CAST(p_partkey AS VARCHAR) AS conv_id, "
-    "CASE WHEN p_partkey % 3 = 0 THEN p_type || ' - ' || p_name WHEN p_partkey % 50 = 1 THEN 'only' || p_partkey || ': ' || p_name ELSE p_name END AS title, "
-    "CASE WHEN p_partkey % 4 > 0 THEN '2024-01-02T00:00:' || p_partkey END AS date FROM part)"
+    "CASE WHEN p_partkey % 3 = 0 THEN p_type || 'type - ' || p_name WHEN p_partkey % 50 = 1 THEN 'only' || p_partkey || ': ' || p_name ELSE p_name END AS title, "
+    "CASE WHEN p_partkey % 4 > 0 THEN '2024-01-02T00:00:' || p_partkey END AS date, p_name FROM part)"
 )
 _STOP = "[" + ", ".join(quoted(w) for w in TITLE_STOP_WORDS) + "]"
 _TOKENS = f"list_sort(list_distinct(list_filter(regexp_extract_all(lower(title), '[a-z0-9]+'), lambda w: length(w) >= 2 AND NOT list_contains({_STOP}, w))))"
@@ -45,12 +45,12 @@ def _(spark, sf_dir):
     return grouped.select("listing", "conv_id", "project").unionByName(rest.select("listing", "conv_id", F.lit(None).cast("string").alias("project")))
 
 
-# The token titles here are two tokens, so titles share two tokens exactly when their token sets are
-# equal ("only17: red bolt" has a third, and joins its two-token namesakes when one leads).
+# Names are two words, and a third token ("only17", or a type that no other title of the listing has)
+# is never shared, so titles share two tokens exactly when their names are the same words.
 _GROUPS = (
-    f"{_SPLIT}, pool AS (SELECT listing, ord, conv_id, {_TOKENS} AS toks, CASE WHEN prefix IS NULL OR length(prefix) < 2 THEN ord ELSE ord + (1::BIGINT << 61) END AS idx "
+    f"{_SPLIT}, pool AS (SELECT listing, ord, conv_id, p_name, CASE WHEN prefix IS NULL OR length(prefix) < 2 THEN ord ELSE ord + (1::BIGINT << 61) END AS idx "
     "FROM sized WHERE n IS NULL OR n < 2), "
-    "core AS (SELECT *, CASE WHEN len(toks) = 2 THEN toks ELSE list_filter(toks, lambda t: NOT starts_with(t, 'only')) END AS pair FROM pool), "
+    "core AS (SELECT *, list_sort(string_split(lower(p_name), ' ')) AS pair FROM pool), "
     "led AS (SELECT *, min(idx) OVER (PARTITION BY listing, pair) AS leader, count(*) OVER (PARTITION BY listing, pair) AS members FROM core), "
     "placed AS (SELECT listing, conv_id, CASE WHEN members >= 2 THEN array_to_string(list_transform(pair, lambda t: upper(left(t, 1)) || substr(t, 2)), ' ') ELSE '(ungrouped)' END AS project FROM led "
     "UNION ALL SELECT listing, conv_id, prefix FROM sized WHERE n >= 2)"
