@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from threadloom.functions import text as T
 from threadloom.functions.shuffles import cut_lineage
 from threadloom.operators import code_index as C
-from threadloom.plans.registry import query, table
+from threadloom.plans.registry import query, run_folder, table
 from threadloom.sources import trees as S
 
 # Part k belongs to repository k / 100. It is a package file, a module, a script, or one of the files
@@ -210,6 +210,13 @@ def _(spark, sf_dir):
     return index(spark, sf_dir)["edges"]
 
 
+@query("s18_write_code_index", f"{_ALL} SELECT * FROM edges")
+def _(spark, sf_dir):
+    folder = f"{run_folder(spark)}/index"
+    C.write_code_index({"edges": index(spark, sf_dir)["edges"]}, folder)
+    return spark.read.parquet(f"{folder}/edges").select("repo_id", "src", "dst")
+
+
 @query("c6_dependency_graph", (
     f"{_ALL} SELECT repo_id, path, (SELECT count(*) FROM edges e WHERE e.repo_id = f.repo_id AND e.src = f.path) AS depends_on, "
     "(SELECT count(*) FROM edges e WHERE e.repo_id = f.repo_id AND e.dst = f.path) AS depended_on_by FROM files f"

@@ -67,6 +67,20 @@ def _(spark, sf_dir):
     return G.project_listing(G.group_by_project(titled_parts(spark, sf_dir)))
 
 
+@query("u3_token_intersection", (
+    f"WITH {_PARTS}, {_GROUPS} SELECT listing, leader, array_to_string(pair, ' ') AS shared, count(*) AS n FROM led WHERE members >= 2 GROUP BY ALL"
+))
+def _(spark, sf_dir):
+    _, rest = G.prefix_projects(titled_parts(spark, sf_dir))
+    taken = G.token_projects(rest).withColumn("shared", F.array_join("shared", " "))
+    return taken.groupBy("listing", "leader", "shared").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("u5_subset_test", f"WITH {_PARTS} SELECT conv_id FROM c WHERE list_has_all({_TOKENS}, ['gear'])")
+def _(spark, sf_dir):
+    return G.filter_by_project(titled_parts(spark, sf_dir), "a gear").select("conv_id")
+
+
 @query("p5_filter_by_project", f"WITH {_PARTS} SELECT conv_id, title FROM c WHERE list_has_all({_TOKENS}, ['bolt', 'red'])")
 def _(spark, sf_dir):
     return G.filter_by_project(titled_parts(spark, sf_dir), "The Red bolt").select("conv_id", "title")

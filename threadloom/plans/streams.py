@@ -6,10 +6,7 @@ table. Nothing passes through the driver.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.operators.extraction import ITEM_COLUMNS
@@ -17,16 +14,11 @@ from threadloom.plans import contexts as C
 from threadloom.plans import exports as E
 from threadloom.plans.registry import ORACLES as _EXTRACTED
 from threadloom.plans.inputs import LEXICON
-from threadloom.plans.registry import query, table
+from threadloom.plans.registry import query, run_folder, table
 from threadloom.streaming import idle_sessions as Z
 from threadloom.streaming import landing, upserts
 
 
-def run_folder(spark: SparkSession) -> str:
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    return f"{shared}/threadloom-run-{uuid.uuid4().hex}"
-
-
 def finish(stream: DataFrame, folder: str, each) -> None:
     """Run a stream over all input there is, then stop."""
     stream.writeStream.foreachBatch(each).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start().awaitTermination()
