@@ -9,6 +9,7 @@ import pytest
 
 import __spark_entry__ as entry
 from oracle import compare, connect
+from threadloom.plans import catalog
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -20,7 +21,7 @@ def con():
     return connect(SF_DIR)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query(spark, con, name):
     problem, n = compare(spark, con, SF_DIR, entry.queries()[name], entry.oracle_sql().get(name))
     assert problem is None

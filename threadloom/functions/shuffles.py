@@ -2,22 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from threadloom.functions.storage import run_folder
+
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the folder that ``spark.checkpoint.dir`` names.
 
-    Only a session without that setting (a test) gets a folder of its own.
+    Only a local session without that setting (a test) gets a folder of its own.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="threadloom-checkpoint-"))
+        context.setCheckpointDir(run_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
