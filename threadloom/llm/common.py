@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -66,3 +67,26 @@ def load_tokenizer(name: str):
     from tokenizers import Tokenizer
 
     return Tokenizer.from_file(tokenizer_file(name))
+
+
+SIEVE_BITS = 1 << 25
+
+
+class Sieve:
+    """A bitmap of fixed size (4 MB) over 64-bit hashes: lets all given ones pass, and few others.
+
+    Rows that fail need not be shuffled to a join that they cannot meet. What passes wrongly costs a
+    little shuffle and nothing else, so results never depend on the size of the corpus.
+    """
+
+    def __init__(self, hashes: DataFrame, column: str):
+        place = F.pmod(F.col(column), F.lit(SIEVE_BITS))
+        words = hashes.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place, F.lit(64)).cast("int"))).alias("bits"))
+        table = words.toArrow()  # SIEVE_BITS / 64 rows at most
+        bitmap = np.zeros(SIEVE_BITS // 64, dtype=np.int64)
+        bitmap[table.column("word").to_numpy()] = table.column("bits").to_numpy()
+        self.shared = hashes.sparkSession.sparkContext.broadcast(bitmap)
+
+    def passes(self, hashes: np.ndarray) -> np.ndarray:
+        place = np.mod(hashes, SIEVE_BITS)
+        return (self.shared.value[place >> 6] >> (place & 63)) & 1 == 1

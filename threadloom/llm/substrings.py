@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.functions.storage import materialise
-from threadloom.llm.common import Batches, as_bytes, keyed, map_arrow
+from threadloom.llm.common import Batches, Sieve, as_bytes, keyed, map_arrow
 
 WINDOW = 50
 KMER = 16
@@ -36,7 +36,7 @@ class WordHashes(dict):
     """64-bit hashes of words, kept for words seen lately."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 100_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
@@ -101,7 +101,7 @@ def _paths(lengths: np.ndarray, hashes: np.ndarray, window: int, kmer: int):
     return doc, begin, count, anchor, rolling.span(begin, begin + count + window - 1), rolling
 
 
-def _chunks(texts: list[bytes | None], most_words: int = 2_000_000):
+def _chunks(texts: list[bytes | None], most_words: int = 200_000):
     """(first row, split texts) of consecutive rows with about ``most_words`` words at most."""
     first, held, words = 0, [], 0
     for n, t in enumerate(texts):
@@ -121,14 +121,20 @@ def _hash_words(parts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     return lengths, hashes
 
 
-def document_paths(docs: DataFrame, window: int = WINDOW, kmer: int = KMER) -> DataFrame:
-    """(_id, _key, start, n, anchor, path): paths of n consecutive windows, from word ``start`` of a document."""
+def document_paths(docs: DataFrame, window: int = WINDOW, kmer: int = KMER, wanted: Sieve | None = None) -> DataFrame:
+    """(_id, _key, start, n, anchor, path): paths of n consecutive windows, from word ``start`` of a document.
+
+    Paths that ``wanted`` holds back are left out.
+    """
 
     def run(batches: Batches) -> Batches:
         for batch in batches:
             for first, parts in _chunks(as_bytes(batch.column(2))):
                 lengths, hashes = _hash_words(parts)
                 doc, begin, count, anchor, path, _ = _paths(lengths, hashes, window, kmer)
+                if wanted and len(path):
+                    keep = wanted.passes(path.view(np.int64))
+                    doc, begin, count, anchor, path = (x[keep] for x in (doc, begin, count, anchor, path))
                 offset = np.cumsum(lengths) - lengths
                 row = pa.array(doc + first)
                 yield pa.RecordBatch.from_arrays(
@@ -146,13 +152,29 @@ def document_paths(docs: DataFrame, window: int = WINDOW, kmer: int = KMER) -> D
     return map_arrow(docs, run, "_id long, _key long, start int, n int, anchor long, path long")
 
 
+def _row_hash():
+    return F.xxhash64("_id", "_key")
+
+
+def _sieved(docs: DataFrame, wanted: Sieve, through: bool = True) -> DataFrame:
+    """Rows of (_id, _key, _text) that ``wanted`` lets through, or those that it does not."""
+
+    def run(batches: Batches) -> Batches:
+        for batch in batches:
+            yield batch.filter(pa.array(wanted.passes(batch.column(3).to_numpy()) == through)).select(["_id", "_key", "_text"])
+
+    return map_arrow(docs.withColumn("h", _row_hash()), run, "_id long, _key long, _text string")
+
+
 def _settled_branches(docs: DataFrame, branching: DataFrame, window: int) -> DataFrame:
     """(anchor, path, first_id, windows) of branching paths: a bit for each window that first_id has first.
 
     ``branching(anchor, path, n, first)`` holds each distinct path with its first occurrence, where its
     windows are read again.
     """
-    sources = branching.groupBy("first._id", "first._key").agg(F.collect_list(F.struct("first.start", "n", "anchor", "path")).alias("paths"))
+    sources = materialise(
+        branching.groupBy("first._id", "first._key").agg(F.collect_list(F.struct("first.start", "n", "anchor", "path")).alias("paths"))
+    )
 
     def expand(batches: Batches) -> Batches:
         for batch in batches:
@@ -179,7 +201,7 @@ def _settled_branches(docs: DataFrame, branching: DataFrame, window: int) -> Dat
                     ["anchor", "path", "step", "window", "first_id"],
                 )
 
-    texts = docs.join(sources, ["_id", "_key"]).select("_id", "_text", "paths")
+    texts = _sieved(docs, Sieve(sources.select(_row_hash().alias("h")), "h")).join(sources, ["_id", "_key"]).select("_id", "_text", "paths")
     windows = map_arrow(texts, expand, "anchor long, path long, step int, window long, first_id long")
     shared = windows.groupBy("anchor", "window").agg(F.min("first_id").alias("least_id"), F.count(F.lit(1)).alias("paths")).filter("paths > 1")
     settled = windows.join(shared, ["anchor", "window"], "left").withColumn("first_id", F.coalesce("least_id", "first_id"))
@@ -211,8 +233,9 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         "anchor", "path", F.col("first._id").alias("first_id"), F.expr("shiftleft(1L, n) - 1").alias("windows")
     )
     settled = materialise(straight.union(_settled_branches(named, repeated.filter("branches"), window)))
-    cuts = (
-        paths.join(settled, ["anchor", "path"])
+    cuts = materialise(
+        document_paths(named, window, kmer, Sieve(settled, "path"))
+        .join(settled, ["anchor", "path"])
         .filter("first_id < _id")
         .groupBy("_id", "_key")
         .agg(F.collect_list(F.struct("start", "windows")).alias("cuts"))
@@ -244,5 +267,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 ["doc_id", "n_words", "n_removed", "kept"],
             )
 
-    joined = source.join(cuts, ["_id", "_key"], "left").select("_id", "_text", "cuts")
-    return map_arrow(joined, cut, "doc_id long, n_words long, n_removed long, kept string")
+    touched = Sieve(cuts.select(_row_hash().alias("h")), "h")
+    joined = _sieved(source, touched).join(cuts, ["_id", "_key"], "left").select("_id", "_text", "cuts")
+    whole = _sieved(source, touched, through=False).select("_id", "_text", F.lit(None).cast(cuts.schema["cuts"].dataType).alias("cuts"))
+    return map_arrow(joined.union(whole), cut, "doc_id long, n_words long, n_removed long, kept string")
