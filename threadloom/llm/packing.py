@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+import struct
 import zlib
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from threadloom.functions.storage import materialise
-from threadloom.llm.common import Batches, as_bytes, fresh, load_tokenizer, map_arrow
+from threadloom.llm.common import Batches, as_bytes, map_arrow
 from threadloom.llm.token_counts import TOKENIZER
+from threadloom.llm.word_pieces import WordPieces
 
 CAPACITY = 2048
 SEPARATOR = 0
@@ -22,20 +23,16 @@ _BUCKETS = 16  # slices of one size that are ranked apart: the unit that one tas
 class PieceIds(dict):
     """Token ids of pre-tokens as little-endian bytes; forgets all beyond ``most``."""
 
-    def __init__(self, tokenizer: str, most: int = 300_000):
+    def __init__(self, tokenizer: str, most: int = 500_000):
         super().__init__()
-        self.tok, self.most = load_tokenizer(tokenizer), most
+        self.pieces, self.most = WordPieces(tokenizer), most
 
     def learn(self, words: set[bytes]) -> None:
-        new = list(words - self.keys())
+        new = [w for w in words if w not in self]
         if len(self) + len(new) > self.most:
             self.clear()
             new = list(words)
-        for at in range(0, len(new), 2000):
-            part = new[at : at + 2000]
-            encoded = self.tok.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-            for word, e in zip(part, encoded):
-                self[word] = np.asarray(e.ids, dtype="<u4").tobytes()
+        self.update(zip(new, self.pieces.packed(new)))
 
 
 _ids: dict[str, PieceIds] = {}
@@ -50,7 +47,7 @@ def token_pieces(docs: DataFrame, text: str = "text", tokenizer: str = TOKENIZER
     Columns of ``docs`` that clash with these names must be dropped or renamed before.
     """
     kept = [c for c in docs.columns if c != text]
-    width, end = 4 * capacity, np.asarray([separator], dtype="<u4").tobytes()
+    width, end = 4 * capacity, struct.pack("<I", separator)
 
     def cut(batches: Batches) -> Batches:
         if tokenizer not in _ids:

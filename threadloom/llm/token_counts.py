@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.functions.storage import materialise
-from threadloom.llm.common import Batches, as_bytes, keyed, load_tokenizer, map_arrow
+from threadloom.llm.common import Batches, as_bytes, keyed, map_arrow
+from threadloom.llm.word_pieces import WordPieces
 
 TOKENIZER = "word_bpe_49k.json"
 HEAD_BYTES = 48  # longest pre-token that may be broadcast
@@ -46,12 +47,9 @@ def piece_counts(pretokens: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     """Adds ``pieces``, how many tokens each pre-token gives."""
 
     def encode(batches: Batches) -> Batches:
-        tok = load_tokenizer(tokenizer)
+        known = WordPieces(tokenizer)
         for batch in batches:
-            words = [w.decode("utf-8", "replace") for w in as_bytes(batch.column("pretoken"))]
-            pieces: list[int] = []
-            for at in range(0, len(words), 2000):
-                pieces += [len(e) for e in tok.encode_batch_fast(words[at : at + 2000], add_special_tokens=False)]
+            pieces = [len(ids) // 4 for ids in known.packed(as_bytes(batch.column("pretoken")))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pieces, pa.int64())], [*batch.schema.names, "pieces"])
 
     return map_arrow(pretokens.select("pretoken", "freq"), encode, "pretoken binary, freq long, pieces long")
