@@ -79,7 +79,8 @@ def base_and_near(text: str) -> tuple[list[Span], list[Span]]:
     base, near = _emails(text), []
     if _DIGIT.search(text):
         for m in _IP.finditer(text):
-            good = all(int(p) <= 255 for p in m[0].split(".") if len(p) < 8) and all(len(p.lstrip("0")) < 4 for p in m[0].split("."))
+            plain = [p.lstrip("0") or "0" for p in m[0].split(".")]
+            good = all(len(p) <= 3 and int(p) <= 255 for p in plain)
             (base if good else near).append(("ip", *m.span()))
         for m in _CARD.finditer(text):
             digits = _only_digits(m[0])
@@ -117,7 +118,7 @@ def votes(text: str, span: Span, base: bool) -> tuple[int, ...]:
         strict, check = 1 if base else 0, 1 if re.search(r"[A-Za-z]", found) else -1
         known = 1 if re.split(r"[\W_]+", found.rstrip("])} ").lower())[-1] in _TLDS else 0
     elif kind == "ip":
-        parts = [int(p[:6]) for p in found.split(".")]
+        parts = [int((p.lstrip("0") or "0")[:6]) for p in found.split(".")]
         strict, check, known = 1 if base else 0, 1 if max(parts) <= 255 else -1, 0
     elif kind == "card":
         strict, check, known = 1 if base else 0, 1 if luhn(digits) else -1, 1 if _ISSUERS.match(digits) else -1

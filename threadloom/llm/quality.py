@@ -130,8 +130,10 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[
         yield pa.RecordBatch.from_arrays([pa.array([blob], pa.binary())], ["model"])
 
     ordered = sample.repartition(1).sortWithinPartitions(F.xxhash64("_text"), "_label")
-    flat = np.frombuffer(bytes(map_arrow(ordered, run, "model binary").first()["model"]), dtype="<f4").astype(np.float64)
-    size = STRUCTURE + (1 << BITS)
+    fitted, size = map_arrow(ordered, run, "model binary").first(), STRUCTURE + (1 << BITS)
+    if fitted is None:  # nothing runs on an empty sample
+        return np.zeros(size), np.zeros((size, RANK)), 0.0
+    flat = np.frombuffer(bytes(fitted["model"]), dtype="<f4").astype(np.float64)
     return flat[1 : size + 1], flat[size + 1 :].reshape(size, -1), float(flat[0])
 
 

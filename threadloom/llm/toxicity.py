@@ -163,7 +163,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, doc_id: s
 
     ordered = sample.repartition(1).sortWithinPartitions(F.xxhash64("_text"), "_label")
     model = {r["slot"]: r["weight"] for r in map_arrow(ordered, run, "slot long, weight double").collect()}
-    return model, model.pop(-1)
+    return model, model.pop(-1, -2.0)  # nothing runs on an empty sample
 
 
 def with_toxicity(docs: DataFrame, labels: DataFrame, score: str = "toxicity", rows: int = SAMPLE_ROWS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
