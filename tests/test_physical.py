@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from threadloom.functions.ordering import number_rows, ord_buckets, ord_of, top_rows
-from threadloom.functions.shuffles import contained_tokens, salted_lookup
+from threadloom.functions.shuffles import contained_tokens, lookup_join
 
 
 def test_number_rows_counts_across_buckets(spark):
@@ -24,12 +24,12 @@ def test_top_rows_with_salt(spark):
     assert sorted((r["rank"], r.v) for r in got) == [(i + 1, 999 - i) for i in range(7)]
 
 
-def test_salted_lookup_joins_like_a_join(spark):
+def test_lookup_join_joins_like_a_join(spark):
     left = spark.range(200).select((F.col("id") % 2).alias("k"), "id")
     right = spark.createDataFrame([(0, "x")], "k LONG, v STRING")
-    assert salted_lookup(left, right, ["k"], F.col("id")).count() == 100
-    assert salted_lookup(left, right, ["k"], F.col("id"), "left_anti").count() == 100
-    assert salted_lookup(left, right, ["k"], F.col("id"), "left").count() == 200
+    assert lookup_join(left, right, ["k"]).count() == 100
+    assert lookup_join(left, right, ["k"], "left_anti").count() == 100
+    assert lookup_join(left, right, ["k"], "left").count() == 200
 
 
 def test_contained_tokens_is_substring_search(spark):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.functions.storage import run_folder
@@ -21,22 +21,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def salted_lookup(
-    rows: DataFrame,
-    lookup: DataFrame,
-    on: Sequence[str],
-    spread: Column,
-    how: str = "inner",
-    salts: int = 16,
-) -> DataFrame:
-    """Join many rows to one lookup row per key, where a single key may own a third of the rows.
+def lookup_join(rows: DataFrame, lookup: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Joins many rows to at most one lookup row per key, where a single key may own a third of the rows.
 
-    Each key is spread over ``salts`` tasks by ``spread``; the lookup side, one narrow row per key,
-    is repeated that many times.
+    Keys without skew cost nothing extra. Where both sides are shuffled for the join, adaptive
+    execution splits the partitions of hot keys as it finds them.
     """
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
-    copies = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(copies, [*on, "_salt"], how).drop("_salt")
+    return rows.join(lookup, list(on), how)
 
 
 def contained_tokens(

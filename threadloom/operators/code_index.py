@@ -14,12 +14,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.functions import text as T
-from threadloom.functions.shuffles import cut_lineage, salted_lookup
+from threadloom.functions.shuffles import cut_lineage, lookup_join
 from threadloom.lexicons import PYTHON_EXTENSIONS, SCRIPT_EXPORT, SCRIPT_EXTENSIONS, SCRIPT_IMPORT
 from threadloom.sources.trees import indexable_paths, list_tree, read_contents, source_files
 
 MAX_SIGNATURE = 200
 PARSE_ERROR = "(parse error)"
+READ_ERROR = "(read error)"
 
 _SYMBOL = "STRUCT<name: STRING, type: STRING, line: INT, signature: STRING, docstring: STRING>"
 _IMPORT = "STRUCT<kind: STRING, name: STRING, level: INT>"
@@ -83,7 +84,7 @@ def _parse_python(source: str | None) -> dict | None:
         return None
     try:
         tree = ast.parse(source)
-    except (SyntaxError, ValueError):
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
         return {"purpose": PARSE_ERROR, "symbols": [], "imports": []}
     doc = (line.strip() for line in (ast.get_docstring(tree) or "").splitlines())
     imports = [i for node in ast.walk(tree) for i in _imports(node)]
@@ -144,13 +145,17 @@ INDEXERS: dict[str, Callable[[DataFrame], DataFrame]] = {"python": _python_struc
 
 def file_structure(files: DataFrame) -> DataFrame:
     """(repo_id, path, line_count, language, purpose, symbols, imports) of all files, in one scan."""
+    raw = F.col("content").cast("string")  # the bytes as they are; not every file is UTF-8
+    readable = F.coalesce(F.is_valid_utf8(raw), F.lit(True))
     rows = files.select(
-        "repo_id", "path", "line_count", language(F.col("path")).alias("language"), F.decode("content", "UTF-8").alias("text")
+        "repo_id", "path", "line_count", language(F.col("path")).alias("language"), F.when(readable, raw).alias("text"), readable.alias("_readable")
     )
     for indexer in INDEXERS.values():
         rows = indexer(rows)
     nothing = F.struct(F.lit("").alias("purpose"), F.array().cast(f"ARRAY<{_SYMBOL}>").alias("symbols"), F.array().cast(f"ARRAY<{_IMPORT}>").alias("imports"))
-    found = F.coalesce(*[F.col(f"_{name}").cast(f"STRUCT<{_STRUCTURE}>") for name in INDEXERS], nothing)
+    unread = F.struct(F.lit(READ_ERROR).alias("purpose"), F.array().cast(f"ARRAY<{_SYMBOL}>").alias("symbols"), F.array().cast(f"ARRAY<{_IMPORT}>").alias("imports"))
+    built = F.coalesce(*[F.col(f"_{name}").cast(f"STRUCT<{_STRUCTURE}>") for name in INDEXERS], nothing)
+    found = F.when(F.col("_readable"), built).otherwise(unread)
     return rows.select("repo_id", "path", "line_count", "language", found.alias("s")).select("repo_id", "path", "line_count", "language", "s.*")
 
 
@@ -168,7 +173,7 @@ def classify_imports(structure: DataFrame, all_paths: DataFrame) -> DataFrame:
     absolute = rows.filter("kind = 'absolute'").withColumn("top", F.split_part("name", F.lit("."), F.lit(1)))
     tops = F.regexp_extract("path", r"^([^/]+)(?:/__init__)?\.py$", 1)
     modules = structure.select("repo_id", tops.alias("top")).filter("top <> ''").distinct().withColumn("_own", F.lit(True))
-    judged = salted_lookup(absolute, modules, ["repo_id", "top"], F.col("path"), "left")
+    judged = lookup_join(absolute, modules, ["repo_id", "top"], "left")
     own = F.coalesce("_own", F.lit(False))
     plain = judged.select(
         "repo_id", "path", (F.col("ord") * 2).alias("ord"), F.when(own, F.col("name")).otherwise(F.col("top")).alias("import"),
@@ -187,7 +192,7 @@ def classify_imports(structure: DataFrame, all_paths: DataFrame) -> DataFrame:
     )
     known = all_paths.select("repo_id", F.col("path").alias("candidate")).distinct()
     found = (
-        salted_lookup(candidates, known, ["repo_id", "candidate"], F.col("path"), "left_semi").groupBy("repo_id", "path", "ord").agg(F.min_by("candidate", "rank").alias("import"))
+        lookup_join(candidates, known, ["repo_id", "candidate"], "left_semi").groupBy("repo_id", "path", "ord").agg(F.min_by("candidate", "rank").alias("import"))
     )
     resolved = found.select("repo_id", "path", (F.col("ord") * 2 + 1).alias("ord"), "import", F.lit("internal").alias("kind"))
     settled = rows.filter(F.col("kind").isin("internal", "external")).select("repo_id", "path", (F.col("ord") * 2).alias("ord"), F.col("name").alias("import"), "kind")
@@ -216,7 +221,7 @@ def map_test_files(files: DataFrame, all_paths: DataFrame) -> DataFrame:
     """(repo_id, path, test_file) of files that have a test; the first candidate on disk counts."""
     rows = files.select("repo_id", "path", F.posexplode(_test_candidates()).alias("rank", "candidate"))
     known = all_paths.select("repo_id", F.col("path").alias("candidate")).distinct()
-    hits = salted_lookup(rows, known, ["repo_id", "candidate"], F.col("path"), "left_semi")
+    hits = lookup_join(rows, known, ["repo_id", "candidate"], "left_semi")
     return hits.groupBy("repo_id", "path").agg(F.min_by("candidate", "rank").alias("test_file"))
 
 
@@ -245,7 +250,7 @@ def resolve_imports(files: DataFrame, imports: DataFrame) -> DataFrame:
     )
     known = files.select("repo_id", F.col("path").alias("target"), F.col("path").alias("dst")).unionByName(firsts)
     meant = candidates.join(known, ["repo_id", "target"]).groupBy("repo_id", "import").agg(F.min_by("dst", "rank").alias("dst"))
-    hits = salted_lookup(wanted, meant, ["repo_id", "import"], F.col("src"))
+    hits = lookup_join(wanted, meant, ["repo_id", "import"])
     return hits.filter("src <> dst").select("repo_id", "src", "dst").distinct()
 
 

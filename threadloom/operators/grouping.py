@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from threadloom.functions import text as T
 from threadloom.functions.ordering import top_rows
-from threadloom.functions.shuffles import cut_lineage, salted_lookup
+from threadloom.functions.shuffles import cut_lineage, lookup_join
 from threadloom.lexicons import DEFAULT_LEXICON, TITLE_SEPARATOR, TITLE_STOP_WORDS, Lexicon
 from threadloom.operators.extraction import extract_items
 from threadloom.operators.merging import merge_contexts
@@ -87,12 +87,12 @@ def token_projects(rest: DataFrame) -> DataFrame:
         firsts = (
             pairs.groupBy("listing", "pair").agg(F.min("idx").alias("first"), F.max("idx").alias("_max")).filter(F.col("first") < F.col("_max")).drop("_max")
         )
-        near = salted_lookup(pairs, firsts, ["listing", "pair"], F.col("idx"))
+        near = lookup_join(pairs, firsts, ["listing", "pair"])
         earliest = near.groupBy("listing", "idx").agg(F.min("first").alias("earliest"))
         tied = cut_lineage(near.drop("first").join(earliest, ["listing", "idx"]))
         beyond = tied.groupBy("listing", "pair").agg(F.min("earliest").alias("beyond"))
         horizon = (
-            salted_lookup(tied.select("listing", "pair", "idx", "earliest"), beyond, ["listing", "pair"], F.col("idx"))
+            lookup_join(tied.select("listing", "pair", "idx", "earliest"), beyond, ["listing", "pair"])
             .groupBy("listing", "idx")
             .agg(F.first("earliest").alias("earliest"), F.min("beyond").alias("beyond"))
         )
@@ -100,13 +100,13 @@ def token_projects(rest: DataFrame) -> DataFrame:
         if state.isEmpty():
             break
         leaders = state.filter("beyond = idx").select("listing", F.col("idx").alias("leader"))
-        members = salted_lookup(state.withColumnRenamed("earliest", "leader").drop("beyond"), leaders, ["listing", "leader"], F.col("idx"))
+        members = lookup_join(state.withColumnRenamed("earliest", "leader").drop("beyond"), leaders, ["listing", "leader"])
         sizes = members.groupBy("listing", "leader").agg(F.count(F.lit(1)).alias("size"))
         held = members.select("listing", "leader", F.explode("tokens").alias("token")).groupBy("listing", "leader", "token").agg(F.count(F.lit(1)).alias("n"))
         common = (
             held.join(sizes, ["listing", "leader"]).filter("n = size").groupBy("listing", "leader").agg(F.array_sort(F.collect_list("token")).alias("shared"))
         )
-        accepted = salted_lookup(members.select("listing", "idx", "leader"), common, ["listing", "leader"], F.col("idx"))
+        accepted = lookup_join(members.select("listing", "idx", "leader"), common, ["listing", "leader"])
         accepted = cut_lineage(accepted)
         settled.append(accepted)
         done = leaders.select("listing", F.col("leader").alias("idx")).unionByName(accepted.select("listing", "idx")).distinct()
@@ -155,8 +155,8 @@ def merge_project(messages: DataFrame, conversations: DataFrame, name: str, lexi
     Sessions are merged in listing order.
     """
     chosen = filter_by_project(conversations, name).select("conv_id", "listing", F.col("ord").alias("session_ord"))
-    own = salted_lookup(messages, chosen.select("conv_id").distinct(), ["conv_id"], F.col("seq"), "left_semi")
-    items = salted_lookup(extract_items(own, lexicon), chosen, ["conv_id"], F.col("ord"))
+    own = lookup_join(messages, chosen.select("conv_id").distinct(), ["conv_id"], "left_semi")
+    items = lookup_join(extract_items(own, lexicon), chosen, ["conv_id"])
     merged = merge_contexts(items.withColumn("project_id", F.col("listing")))
     spans = items.groupBy("listing").agg((F.min("conv_id") < F.max("conv_id")).alias("several")).filter("several")
-    return salted_lookup(merged, spans.select(F.col("listing").alias("project_id")), ["project_id"], F.col("ord"), "left_semi")
+    return lookup_join(merged, spans.select(F.col("listing").alias("project_id")), ["project_id"], "left_semi")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from threadloom.functions import text as T
 from threadloom.functions.ordering import number_rows, ord_buckets, top_rows
-from threadloom.functions.shuffles import contained_tokens, salted_lookup
+from threadloom.functions.shuffles import contained_tokens, lookup_join
 from threadloom.lexicons import TASK_STOP_WORDS
 
 NEW_KINDS = {
@@ -40,7 +40,7 @@ def new_items(existing: DataFrame, fresh: DataFrame, key: str = "project_id", de
     match = _match_key(decision_key)
     known = existing.select(key, "section", match.alias("_match")).distinct()
     rows = fresh.filter(F.col("section").isin(*NEW_KINDS)).withColumn("_match", match)
-    return salted_lookup(rows, known, [key, "section", "_match"], F.col("ord"), "left_anti").drop("_match")
+    return lookup_join(rows, known, [key, "section", "_match"], "left_anti").drop("_match")
 
 
 def revised_decisions(existing: DataFrame, fresh: DataFrame, key: str = "project_id") -> DataFrame:
@@ -50,7 +50,7 @@ def revised_decisions(existing: DataFrame, fresh: DataFrame, key: str = "project
         existing.filter("section = 'decision'").groupBy(key, topic).agg(F.max_by(F.struct("label", "text"), "ord").alias("_old"))
     )
     rows = fresh.filter("section = 'decision'").withColumn("_topic", F.lower("label"))
-    joined = salted_lookup(rows, saved, [key, "_topic"], F.col("ord"))
+    joined = lookup_join(rows, saved, [key, "_topic"])
     return (
         joined.filter(F.lower("text") != F.lower("_old.text"))
         .withColumn("old_label", F.col("_old.label"))
@@ -62,9 +62,9 @@ def revised_decisions(existing: DataFrame, fresh: DataFrame, key: str = "project
 def new_backlog_tasks(existing: DataFrame, fresh: DataFrame, key: str = "project_id", match_on_id: bool = True) -> DataFrame:
     """Fresh backlog rows whose id (if ``match_on_id``) and title are both unknown."""
     titles = existing.select(key, F.lower("title").alias("_title")).distinct()
-    rows = salted_lookup(fresh.withColumn("_title", F.lower("title")), titles, [key, "_title"], F.col("id"), "left_anti").drop("_title")
+    rows = lookup_join(fresh.withColumn("_title", F.lower("title")), titles, [key, "_title"], "left_anti").drop("_title")
     if match_on_id:
-        rows = salted_lookup(rows, existing.select(key, "id").distinct(), [key, "id"], F.col("title"), "left_anti")
+        rows = lookup_join(rows, existing.select(key, "id").distinct(), [key, "id"], "left_anti")
     return rows
 
 
@@ -86,7 +86,7 @@ def compute_delta(
     added = new_items(existing, fresh, key, decision_key)
     if decision_key != "topic":  # a topic with another conclusion is a revision, not an addition
         topics = existing.filter("section = 'decision'").select(key, "section", F.lower("label").alias("_topic")).distinct()
-        added = salted_lookup(added.withColumn("_topic", F.lower("label")), topics.filter("_topic <> ''"), [key, "section", "_topic"], F.col("ord"), "left_anti").drop("_topic")
+        added = lookup_join(added.withColumn("_topic", F.lower("label")), topics.filter("_topic <> ''"), [key, "section", "_topic"], "left_anti").drop("_topic")
     revised = revised_decisions(existing, fresh, key)
     if decision_key != "topic":
         revised = revised.filter("label <> ''")
@@ -125,7 +125,7 @@ def number_decisions(saved: DataFrame, new_decisions: DataFrame, key: str = "pro
     """New decisions (key, ord, ...) with ``number`` going on from the highest saved one."""
     highest = saved.groupBy(key).agg(F.max("number").alias("_max"))
     numbered = number_rows(new_decisions, [key], ["ord"], ord_buckets(), "_n")
-    joined = salted_lookup(numbered, highest, [key], F.col("ord"), "left")
+    joined = lookup_join(numbered, highest, [key], "left")
     return joined.withColumn("number", F.coalesce("_max", F.lit(0)) + F.col("_n")).drop("_n", "_max")
 
 
@@ -165,7 +165,7 @@ def apply_backlog(backlog: DataFrame, delta: DataFrame, fresh_backlog: DataFrame
     fresh = fresh_backlog.join(new_ids, [key, "id", "ord"], "left_semi").withColumn("batch", F.lit(1))
     touched = new_ids.select(key).distinct().withColumn("_touched", F.lit(True))
     both = backlog.withColumn("batch", F.lit(0)).unionByName(fresh, allowMissingColumns=True)
-    marked = salted_lookup(both, touched, [key], F.col("id"), "left")
+    marked = lookup_join(both, touched, [key], "left")
     return marked.withColumn("updated_at", F.when(F.col("_touched"), F.lit(updated_at)).otherwise(F.col("updated_at"))).drop("_touched")
 
 
@@ -184,7 +184,7 @@ def evidence_verdicts(
     """(key, id) of open tasks with at least two title tokens, repeats counted, in the evidence."""
     tokens = backlog.filter("NOT done").select(key, "id", F.posexplode(T.task_tokens(F.col("title"), stop_words)).alias("pos", "token"))
     hit = contained_tokens(tokens.select(key, "token").distinct(), evidence, key, "[a-z0-9_-]+", shortest=3)
-    hits = salted_lookup(tokens, hit, [key, "token"], F.struct("id", "pos"), "left_semi")
+    hits = lookup_join(tokens, hit, [key, "token"], "left_semi")
     counted = hits.groupBy(key, "id").agg(F.count(F.lit(1)).alias("n"))
     return counted.filter(F.col("n") >= at_least).select(key, "id", F.lit(True).alias("verdict"))
 

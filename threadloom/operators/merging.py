@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.functions import text as T
-from threadloom.functions.shuffles import salted_lookup
+from threadloom.functions.shuffles import lookup_join
 from threadloom.operators.extraction import ITEM_COLUMNS
 
 
@@ -75,7 +75,7 @@ def merge_contexts(
     One aggregate on (project, section, item). A project with a single session stays as it is.
     """
     spans = items.groupBy(*keys).agg(F.min(session).alias("_lo"), F.max(session).alias("_hi"))
-    rows = salted_lookup(items, spans, list(keys), F.col("ord"))
+    rows = lookup_join(items, spans, list(keys))
     section, text = F.col("section"), F.col("text")
     entry = (
         F.when(section == "goal", "")

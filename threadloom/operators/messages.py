@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from threadloom.functions import text as T
 from threadloom.functions.ordering import number_rows
-from threadloom.functions.shuffles import cut_lineage, salted_lookup
+from threadloom.functions.shuffles import cut_lineage, lookup_join
 from threadloom.sources.exports import normalised_role
 
 ROLES = ("user", "assistant")
@@ -94,7 +94,7 @@ def two_sided_conversations(messages: DataFrame, keys: Sequence[str] = ("conv_id
         .filter("_user AND _assistant")
         .select(*keys)
     )
-    return salted_lookup(long_enough, both, list(keys), F.col("seq"), "left_semi")
+    return lookup_join(long_enough, both, list(keys), "left_semi")
 
 
 def question_quality(c: Column) -> Column:

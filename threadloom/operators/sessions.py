@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from threadloom.functions import text as T
 from threadloom.functions.ordering import top_rows
-from threadloom.functions.shuffles import contained_tokens, cut_lineage, salted_lookup
+from threadloom.functions.shuffles import contained_tokens, cut_lineage, lookup_join
 from threadloom.lexicons import CREATE_TOOLS, MODIFY_TOOLS, SESSION_DECISION
 from threadloom.sources.sessions import content_blocks, plain_text
 
@@ -173,7 +173,7 @@ def match_plan_tasks(tasks: DataFrame, changes: DataFrame, key: str = "path") ->
     hit = contained_tokens(words, texts, key, r"(?U)\w+", shortest=5)
     by_word = opened.select(key, "ord", F.explode(T.significant_words(F.col("title"))).alias("token"))
     touched = (
-        salted_lookup(by_word, hit, [key, "token"], F.col("ord"), "left_semi").select(key, "ord").distinct().withColumn("_touched", F.lit(True))
+        lookup_join(by_word, hit, [key, "token"], "left_semi").select(key, "ord").distinct().withColumn("_touched", F.lit(True))
     )
     return tasks.join(touched, [key, "ord"], "left").withColumn("done", F.col("done") | F.coalesce("_touched", F.lit(False))).drop("_touched")
 

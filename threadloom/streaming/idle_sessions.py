@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from threadloom.functions.shuffles import salted_lookup
+from threadloom.functions.shuffles import lookup_join
 from threadloom.operators.sessions import session_facts, summarise_sessions
 
 IDLE_SECONDS = 60
@@ -56,7 +56,7 @@ def summarise_idle(read_entries: Callable[[], DataFrame], sink: Callable[[DataFr
 
     def run(idle: DataFrame, batch_id: int) -> None:
         wanted = idle.select("path").distinct()
-        entries = salted_lookup(read_entries(), wanted, ["path"], F.col("seq"), "left_semi")
+        entries = lookup_join(read_entries(), wanted, ["path"], "left_semi")
         sink(summarise_sessions(session_facts(entries)), batch_id)
 
     return run
