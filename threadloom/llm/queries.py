@@ -18,6 +18,7 @@ from threadloom.llm.substrings import remove_repeats
 from threadloom.llm.token_counts import token_counts
 from threadloom.llm.toxicity import with_toxicity
 from threadloom.llm.url_filters import judge_urls
+from threadloom.llm.url_sql import verdict_sql
 
 MOST_TOKENS = 2048
 
@@ -93,4 +94,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_personal_data,
     )
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op7_url_filters": verdict_sql()}
