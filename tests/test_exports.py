@@ -150,3 +150,19 @@ def test_strict_roles(spark):
     with pytest.raises(Exception, match="Unknown role"):
         M.normalise_roles(rows).collect()
     assert M.order_messages(rows.select(F.lit(1).alias("conv_id"), F.lit(0).alias("seq"), F.lit("t").alias("timestamp")).limit(1)).count() == 1
+
+
+def test_chatgpt_cycles_end_and_unknown_last_children_stop(spark):
+    ring = {"r": node(None, ["a"], "user", ["r"]), "a": node("r", ["b"], "user", ["a"]), "b": node("a", ["a"], "user", ["b"])}
+    gone = {"r": node("", ["a", "gone"], "user", ["r"]), "a": node("r", [], "user", ["a"])}
+    for mapping, branch, everything in ((ring, "rab", "rab"), (gone, "r", "ra")):
+        given = files(spark, ("/a.json", [{"id": "d", "mapping": mapping}]))
+        assert "".join(c for _, c in turns(S.read_chatgpt_active_branch(given))) == branch
+        assert "".join(c for _, c in turns(S.read_chatgpt_tree(given))) == everything
+
+
+def test_chatgpt_walk_is_linear(spark):
+    n = 20_000
+    mapping = {f"n{i}": node(f"n{i - 1}" if i else None, [f"n{i + 1}"] if i + 1 < n else [], "user", [str(i)]) for i in range(n)}
+    got = turns(S.read_chatgpt_tree(files(spark, ("/a.json", [{"id": "d", "mapping": mapping}]))))
+    assert [c for _, c in got] == [str(i) for i in range(n)]

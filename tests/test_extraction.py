@@ -102,3 +102,13 @@ def test_session_decisions_distinct_and_capped(spark):
     rows.append(("s", 30, "I chose it."))
     got = X.session_decisions(spark.createDataFrame(rows, "session_id STRING, seq INT, text STRING")).orderBy("ord").collect()
     assert len(got) == 10 and got[0].decision == "I chose approach number 0 because it is simpler to run"
+
+
+def test_names_of_three_words_break_at_any_of_their_spaces(spark):
+    from threadloom.lexicons import Lexicon
+
+    lexicon = Lexicon(tech={"cloud": {"google cloud run": "Google Cloud Run", "app store": "App Store"}})
+    turns = [("a", "we use google", "cloud run now"), ("b", "we use google cloud", "run it"), ("c", "google", "cloud"), ("d", "the app", "store"), ("e", "google cloud", "cloud run")]
+    rows = [(conv, i, "user", text) for conv, *parts in turns for i, text in enumerate(parts)]
+    found = X.extract_items(spark.createDataFrame(rows, SCHEMA), lexicon, sections=["tech_stack"]).collect()
+    assert sorted((r.conv_id, r.text) for r in found) == [("a", "Google Cloud Run"), ("b", "Google Cloud Run"), ("d", "App Store")]

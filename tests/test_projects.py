@@ -165,6 +165,7 @@ def test_sync_needs_two_tokens(spark):
     evidence = spark.createDataFrame([("p", "src/LOGIN_endpoint.py"), ("q", "page")], "project_id STRING, text STRING")
     synced = N.sync_backlog(rows, evidence, "now").orderBy("id").collect()
     assert [(r.id, r.done, r.marked, r.done_at) for r in synced] == [("1", True, True, "now"), ("2", False, False, None), ("3", True, True, "now"), ("4", True, False, "2024")]
+    assert {r.updated_at for r in synced} == {"now"}
     result = N.sync_result(N.sync_backlog(rows, evidence, "now")).first()
     assert (result.tasks_total, result.tasks_marked_done, result.already_done) == (4, 2, 1)
 

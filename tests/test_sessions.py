@@ -64,6 +64,12 @@ def test_facts(entries):
     assert A.first_metadata(facts).first()[1:] == ("s1", "2024-01-01T10:00:00Z", "main")
 
 
+def test_sessions_without_an_id_are_named_by_their_file(spark, tmp_path):
+    (tmp_path / "stem.2.jsonl").write_text(entry("user", "Hello") + "\n")
+    facts = A.session_facts(S.read_session_entries(S.read_session_lines(spark, str(tmp_path))))
+    assert A.first_metadata(facts).first().session_id == "stem.2"
+
+
 def test_usage_rounds_half_even_and_has_a_floor(spark):
     df = spark.createDataFrame([(999,), (1000,), (5000,), (7000,), (900_000,)], "t LONG")
     assert [r[0] for r in df.select(A.usage_percent(F.col("t"))).collect()] == [None, 0, 2, 4, 100]

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from threadloom.functions import text as T
 from threadloom.functions.shuffles import cut_lineage, lookup_join
 from threadloom.lexicons import PYTHON_EXTENSIONS, SCRIPT_EXPORT, SCRIPT_EXTENSIONS, SCRIPT_IMPORT
-from threadloom.sources.trees import indexable_paths, list_tree, read_contents, source_files
+from threadloom.sources.trees import MAX_LINES, indexable_paths, list_tree, read_contents, source_files
 
 MAX_SIGNATURE = 200
 PARSE_ERROR = "(parse error)"
@@ -328,14 +328,17 @@ def index_report(files: DataFrame, symbols: DataFrame, impact: DataFrame, stats:
 # ---- whole index ---------------------------------------------------------------------------------
 
 
-def index_repository(tree: DataFrame, globs: Sequence[str] = (), all_paths: DataFrame | None = None) -> dict[str, DataFrame]:
+def index_repository(
+    tree: DataFrame, globs: Sequence[str] = (), all_paths: DataFrame | None = None, max_lines: int | None = MAX_LINES
+) -> dict[str, DataFrame]:
     """Tables files, symbols, imports, edges, nodes, impact_edges, change_impact, stats and report.
 
     File contents are read and parsed once; the structure and the edges, which several tables start
     from, are checkpointed. ``all_paths`` is every file on disk, when ``tree`` is already cut down.
+    Files of more than ``max_lines`` lines are left out; null keeps files of any length.
     """
     all_paths = tree.select("repo_id", "path") if all_paths is None else all_paths.select("repo_id", "path")
-    structure = cut_lineage(file_structure(source_files(tree, globs)))
+    structure = cut_lineage(file_structure(source_files(tree, globs, max_lines=max_lines)))
     listed = structure.select("repo_id", "path", "line_count", "purpose")
     symbols, imports = symbols_of(structure), classify_imports(structure, all_paths)
     tests = cut_lineage(map_test_files(listed.filter(F.col("purpose") != PARSE_ERROR), all_paths))
@@ -350,10 +353,12 @@ def index_repository(tree: DataFrame, globs: Sequence[str] = (), all_paths: Data
     }
 
 
-def index_tree(spark: SparkSession, root: str, globs: Sequence[str] = (), repo_depth: int = 0) -> dict[str, DataFrame]:
+def index_tree(
+    spark: SparkSession, root: str, globs: Sequence[str] = (), repo_depth: int = 0, max_lines: int | None = MAX_LINES
+) -> dict[str, DataFrame]:
     """Index of the files below ``root``; contents of excluded files are not even read."""
     listed = list_tree(spark, root, repo_depth)
-    return index_repository(read_contents(indexable_paths(listed, globs)), globs, listed)
+    return index_repository(read_contents(indexable_paths(listed, globs)), globs, listed, max_lines)
 
 
 def write_code_index(index: dict[str, DataFrame], path: str, mode: str = "overwrite") -> None:

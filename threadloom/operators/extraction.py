@@ -169,32 +169,31 @@ def _fragments(lexicon: Lexicon, sections: Sequence[str]) -> Column:
 
 
 def _spanning_tech(messages: DataFrame, lexicon: Lexicon, keys: Sequence[str]) -> DataFrame:
-    """Two-word technologies that start at the end of one message and finish in the next.
+    """Technologies of several words that start at the end of one message and finish in the next.
 
-    Messages count as joined by one space, so such a name can only break at its own space. Only
-    messages that end or start with half of a name leave a row here; ``seq`` must be gapless.
+    Messages count as joined by one space, so such a name breaks at one of its own spaces. Only
+    messages that end or start with a part of a name leave a row here; ``seq`` must be gapless.
     """
     low = F.col("low")
     halves = []
     for c, listed in enumerate(lexicon.tech.values()):
         for i, (word, shown) in enumerate(listed.items()):
-            left, _, right = word.partition(" ")
-            if not right:
-                continue
-
-            def half(side: str, at: Column, c: int = c, i: int = i, shown: str = shown) -> Column:
-                return F.struct(
-                    F.lit(side).alias("side"), at.alias("at"), F.lit(c).alias("sub"), F.lit(i).alias("pos"), F.lit(shown).alias("text")
-                )
-
-            ends = low.endswith(left) & low.rlike(rf"(?U)\b\Q{left}\E\z")
-            starts = low.startswith(right) & low.rlike(rf"(?U)\A\Q{right}\E\b")
-            halves += [F.when(ends, half("left", F.col("seq") + 1)), F.when(starts, half("right", F.col("seq") + 0))]
+            words = word.split(" ")
+            for cut in range(1, len(words)):
+                left, right = " ".join(words[:cut]), " ".join(words[cut:])
+
+                def half(side: str, at: Column, c: int = c, i: int = i, cut: int = cut, shown: str = shown) -> Column:
+                    fixed = {"side": side, "sub": c, "pos": i, "cut": cut, "text": shown}
+                    return F.struct(at.alias("at"), *[F.lit(v).alias(name) for name, v in fixed.items()])
+
+                ends = low.endswith(left) & low.rlike(rf"(?U)\b\Q{left}\E\z")
+                starts = low.startswith(right) & low.rlike(rf"(?U)\A\Q{right}\E\b")
+                halves += [F.when(ends, half("left", F.col("seq") + 1)), F.when(starts, half("right", F.col("seq") + 0))]
     rows = (
         messages.withColumn("low", F.lower("content")).select(*keys, F.explode(F.array(*halves)).alias("h")).filter("h IS NOT NULL").select(*keys, "h.*")
     )
     return (
-        rows.groupBy(*keys, "at", "sub", "pos", "text")
+        rows.groupBy(*keys, "at", "sub", "pos", "cut", "text")
         .agg(F.count_distinct("side").alias("sides"))
         .filter("sides = 2")
         .select(*keys, F.col("at").alias("seq"), F.lit("").alias("role"), F.lit("tech").alias("kind"), F.col("sub").cast("int").alias("sub"), F.col("pos").cast("int").alias("pos"), "text")

@@ -190,7 +190,10 @@ def evidence_verdicts(
 
 
 def apply_verdicts(backlog: DataFrame, verdicts: DataFrame, now: str, key: str = "project_id") -> DataFrame:
-    """Backlog with open tasks closed where (key, id, verdict) says so; ``marked`` tells which."""
+    """Backlog with open tasks closed where (key, id, verdict) says so; ``marked`` tells which.
+
+    Every backlog that is synced gets ``now`` as its ``updated_at``, also where nothing was closed.
+    """
     joined = backlog.join(verdicts, [key, "id"], "left")
     marked = ~F.col("done") & F.coalesce("verdict", F.lit(False))
     return (
@@ -198,6 +201,7 @@ def apply_verdicts(backlog: DataFrame, verdicts: DataFrame, now: str, key: str =
         .withColumn("done_at", F.when(F.col("marked"), now).otherwise(F.col("done_at")))
         .withColumn("already_done", F.col("done"))
         .withColumn("done", F.col("done") | F.col("marked"))
+        .withColumn("updated_at", F.lit(now))
         .drop("verdict")
     )
 

@@ -17,7 +17,7 @@ from threadloom.functions import text as T
 from threadloom.functions.ordering import top_rows
 from threadloom.functions.shuffles import contained_tokens, cut_lineage, lookup_join
 from threadloom.lexicons import CREATE_TOOLS, MODIFY_TOOLS, SESSION_DECISION
-from threadloom.sources.sessions import content_blocks, plain_text
+from threadloom.sources.sessions import content_blocks, file_stem, plain_text
 
 CONTEXT_WINDOW_TOKENS = 200_000
 MIN_USAGE_TOKENS = 1_000
@@ -159,7 +159,12 @@ def context_usage(facts: DataFrame, keys: Sequence[str] = ("path",)) -> DataFram
 
 
 def first_metadata(facts: DataFrame, keys: Sequence[str] = ("path",)) -> DataFrame:
-    """First non-empty session id, start and branch; empty text where a session has none."""
+    """First non-empty session id, start and branch; empty text where a session has none.
+
+    With ``path`` among the keys, a session without an id takes the stem of its file's name.
+    """
+    if "path" in keys:
+        facts = facts.withColumn("session_id", F.coalesce("session_id", file_stem("path")))
     fields = [F.coalesce(c, F.lit("")).alias(c) for c in ("session_id", "started_at", "git_branch")]
     return facts.filter("kind = 'entry'").select(*keys, *fields)
 

@@ -281,11 +281,11 @@ def _(spark, sf_dir):
 
 
 @query("d3_sync_backlog", (
-    f"WITH {_BACKLOG}, {_EVIDENCE}, {_LATEST}, {_SYNC} SELECT project_id, id, done OR marked AS done, marked, CASE WHEN marked THEN '{NOW}' ELSE done_at END AS done_at FROM synced"
+    f"WITH {_BACKLOG}, {_EVIDENCE}, {_LATEST}, {_SYNC} SELECT project_id, id, done OR marked AS done, marked, CASE WHEN marked THEN '{NOW}' ELSE done_at END AS done_at, '{NOW}' AS updated_at FROM synced"
 ))
 def _(spark, sf_dir):
     evidence = N.recent_commits(part_evidence(spark, sf_dir).withColumnRenamed("text", "line"))
-    return N.sync_backlog(order_backlog(spark, sf_dir), evidence, NOW).select("project_id", "id", "done", "marked", "done_at")
+    return N.sync_backlog(order_backlog(spark, sf_dir), evidence, NOW).select("project_id", "id", "done", "marked", "done_at", "updated_at")
 
 
 @query("d3_sync_result", (

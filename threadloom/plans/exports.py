@@ -140,7 +140,7 @@ def _(spark, sf_dir):
 
 
 @query("s5_read_chatgpt_tree", (
-    "WITH RECURSIVE p(i, way) AS (SELECT 0, '' UNION ALL SELECT CAST(2 * i + k AS INTEGER), way || c FROM p, (VALUES (1, 'L'), (2, 'R')) v(k, c) WHERE 2 * i + k < 64), "
+    "WITH RECURSIVE p(i, way) AS (SELECT 0, '' UNION ALL SELECT CAST(2 * i + k AS INTEGER), way || c FROM p, (VALUES (1, 'L'), (2, 'R')) v(k, c) WHERE 2 * i + k <= (SELECT max(turn) FROM conversations)), "
     f"{SQL_TURNS} SELECT doc AS conv_id, row_number() OVER (PARTITION BY doc ORDER BY way) - 1 AS seq, role, text AS content, "
     "strftime(make_timestamp((1700000000 + i) * 1000000), '%Y-%m-%dT%H:%M:%S+00:00') AS timestamp "
     "FROM turns JOIN p USING (i) WHERE role <> 'system' AND text <> ''"

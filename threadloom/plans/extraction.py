@@ -256,10 +256,11 @@ def _(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(T.significant_words(F.col("text")), " ").alias("words"))
 
 
-@query("p8_question_quality", f"SELECT doc_id, s AS start FROM (SELECT doc_id, left(text, 40) AS s FROM documents) WHERE {_sql_quality('s')}")
+@query("p8_question_quality", f"SELECT doc_id, pos, s AS sentence FROM (SELECT doc_id, unnest(p) AS s, generate_subscripts(p, 1) - 1 AS pos FROM (SELECT doc_id, string_split(text, '.') AS p FROM documents)) WHERE {_sql_quality('s')}")
 def _(spark, sf_dir):
-    heads = table(spark, sf_dir, "documents").select("doc_id", F.left("text", F.lit(40)).alias("start"))
-    return heads.filter(question_quality(F.col("start")))
+    pieces = F.split("text", r"\.")
+    parts = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(pieces).alias("pos", "sentence"))
+    return parts.filter(question_quality(F.col("sentence"))).withColumn("pos", F.col("pos").cast("bigint"))
 
 
 @query("p10_must_with_subject", (

@@ -34,8 +34,6 @@ DOMAINS = (
     DomainRule("absent-domain", ("zzzz",), ("none",)),
 )
 
-TURNS_PER_EXPORT = 64
-
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """conversations as messages(conv_id, seq, role, content)."""
@@ -55,11 +53,8 @@ def list_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def exported_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns with the export document they belong to: at most 64 turns of one conversation each."""
-    part = F.floor(F.col("turn") / TURNS_PER_EXPORT)
-    return table(spark, sf_dir, "conversations").select(
-        F.concat_ws("-", "conv_id", part).alias("doc"), (F.col("turn") % TURNS_PER_EXPORT).cast("int").alias("i"), "role", "text"
-    )
+    """Turns with the export document they belong to: one of each conversation."""
+    return table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("doc"), F.col("turn").cast("int").alias("i"), "role", "text")
 
 
 def export_files(turns: DataFrame, extension: str, item: Column, build) -> DataFrame:
@@ -99,10 +94,7 @@ SQL_SENTENCES = (
     f"lambda x: trim(x, {WS})), lambda x: x <> '') AS s FROM msgs))"
 )
 
-SQL_TURNS = (
-    f"turns AS (SELECT conv_id || '-' || (turn // {TURNS_PER_EXPORT}) AS doc, turn % {TURNS_PER_EXPORT} AS i, role, text "
-    "FROM conversations)"
-)
+SQL_TURNS = "turns AS (SELECT CAST(conv_id AS VARCHAR) AS doc, turn AS i, role, text FROM conversations)"
 
 
 def sql_dedup(expr: str) -> str:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -236,37 +237,35 @@ def _active_part_text(part: Column) -> Column:
     )
 
 
+def _walk(ids: list[str], parents: list[str | None], children: list[list[str] | None], active_only: bool) -> list[int]:
+    """Places of the nodes in pre-order from the root; each node once, also in a cycle."""
+    place = {node: at for at, node in enumerate(ids)}
+    stack = [at for at, parent in enumerate(parents) if not parent or parent not in place][:1]
+    seen: dict[int, None] = {}
+    while stack:
+        at = stack.pop()
+        if at in seen:
+            continue
+        seen[at] = None
+        below = children[at] or []
+        stack += [place[c] for c in reversed(below[-1:] if active_only else below) if c in place]
+    return list(seen)
+
+
 def _visit_order(mapping: Column, active_only: bool) -> Column:
-    """Node ids in pre-order from the root, over all branches or along the last child only.
+    """Places of a mapping's nodes in pre-order from the root, over all branches or along the last child only.
 
-    A fold with an explicit stack: one step per node, so depth is not limited.
+    Linear in the nodes, of any depth. A node that two parents name, or a cycle, is visited once; a
+    branch ends where its last child is unknown. No root: no nodes.
     """
-    keys = F.map_keys(mapping)
-    roots = F.filter(
-        F.map_entries(mapping),
-        lambda e: T.is_blank(e["value"]["parent"]) | ~F.array_contains(keys, e["value"]["parent"]),
-    )
-    nothing = F.array().cast("array<string>")
-    start = F.when(F.size(roots) > 0, F.array(F.get(roots, F.lit(0))["key"])).otherwise(nothing)
-
-    def step(state: Column, _: Column) -> Column:
-        top = F.try_element_at(state["stack"], F.lit(-1))
-        known = F.filter(
-            F.coalesce(F.try_element_at(mapping, top)["children"], nothing),
-            lambda c: F.map_contains_key(mapping, c),
-        )
-        if active_only:
-            known = F.slice(known, F.greatest(F.size(known), F.lit(1)), F.lit(1))
-        rest = F.slice(state["stack"], F.lit(1), F.greatest(F.size(state["stack"]) - 1, F.lit(0)))
-        seen = F.when(top.isNull(), state["seen"]).otherwise(F.array_append(state["seen"], top))
-        return F.struct(F.concat(rest, F.reverse(known)).alias("stack"), seen.alias("seen"))
-
-    return F.aggregate(
-        F.sequence(F.lit(1), F.size(mapping)),
-        F.struct(start.alias("stack"), nothing.alias("seen")),
-        step,
-        lambda state: state["seen"],
-    )
+
+    @F.arrow_udf("array<int>")
+    def order(ids: pa.Array, parents: pa.Array, children: pa.Array) -> pa.Array:
+        columns = (ids.to_pylist(), parents.to_pylist(), children.to_pylist())
+        return pa.array([None if row[0] is None else _walk(*row, active_only) for row in zip(*columns)], pa.list_(pa.int32()))
+
+    nodes = F.map_values(mapping)
+    return order(F.map_keys(mapping), F.transform(nodes, lambda n: n["parent"]), F.transform(nodes, lambda n: n["children"]))
 
 
 def _chatgpt_conversations(files: DataFrame) -> DataFrame:
@@ -283,7 +282,7 @@ def _chatgpt_conversations(files: DataFrame) -> DataFrame:
 def _tree_messages(df: DataFrame, build: Callable[[Column], Column], active_only: bool) -> DataFrame:
     walked = df.select("path", "conv_id", "title", "mapping", _visit_order(F.col("mapping"), active_only).alias("ids"))
     messages = F.filter(
-        F.transform("ids", lambda i: build(F.element_at("mapping", i)["message"])),
+        F.transform("ids", lambda i: build(F.get(F.map_values("mapping"), i)["message"])),
         lambda m: m["role"].isNotNull() & (m["content"] != ""),
     )
     return _explode_messages(walked, "chatgpt", messages)

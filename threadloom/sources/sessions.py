@@ -18,6 +18,11 @@ ENTRY = (
 _BLOCKS = "array<variant>"
 
 
+def file_stem(path: Column | str) -> Column:
+    """Name of a file without its folders and last extension."""
+    return F.regexp_replace(file_name(F.col(path) if isinstance(path, str) else path), r"\.[^.]*$", "")
+
+
 def read_session_lines(spark: SparkSession, path: str) -> DataFrame:
     """(path, stem, size, seq, line) of session logs, without reading any file whole.
 
@@ -28,10 +33,9 @@ def read_session_lines(spark: SparkSession, path: str) -> DataFrame:
     seq = F.struct(
         F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")
     )
-    name = file_name(F.col("_metadata.file_path"))
     return lines.select(
         F.col("_metadata.file_path").alias("path"),
-        F.regexp_replace(name, r"\.[^.]*$", "").alias("stem"),
+        file_stem("_metadata.file_path").alias("stem"),
         F.col("_metadata.file_size").alias("size"),
         seq.alias("seq"),
         F.col("value").alias("line"),

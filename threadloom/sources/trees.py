@@ -109,15 +109,11 @@ def indexable_paths(files: DataFrame, globs: Sequence[str] = (), excluded: Seque
 
 
 def source_files(
-    tree: DataFrame, globs: Sequence[str] = (), excluded: Sequence[str] = EXCLUDED_DIRS, max_lines: int = MAX_LINES
+    tree: DataFrame, globs: Sequence[str] = (), excluded: Sequence[str] = EXCLUDED_DIRS, max_lines: int | None = MAX_LINES
 ) -> DataFrame:
     """Files worth indexing, with ``line_count``: indexable by path, not binary (a zero byte near the
-    start) and not longer than ``max_lines``."""
+    start) and not longer than ``max_lines``; null sets no limit."""
     content = F.col("content")
     binary = F.contains(F.substr(content, F.lit(1), F.lit(SNIFFED_BYTES)), F.lit(b"\x00"))
-    return (
-        indexable_paths(tree, globs, excluded)
-        .filter(~binary)
-        .withColumn("line_count", bytes_line_count(content))
-        .filter(F.col("line_count") <= max_lines)
-    )
+    counted = indexable_paths(tree, globs, excluded).filter(~binary).withColumn("line_count", bytes_line_count(content))
+    return counted if max_lines is None else counted.filter(F.col("line_count") <= max_lines)
