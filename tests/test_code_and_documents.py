@@ -126,12 +126,34 @@ def test_empty_context_gets_placeholders(spark):
     assert docs["context/constraints.md"] == "_No constraints or non-goals recorded._"
 
 
-def test_long_documents_come_in_parts(spark):
-    items = context(spark, *[("constraint", "", f"c{i}", "", "", False) for i in range(10)])
-    lines = R.document_lines(items).filter("rel_path = 'context/constraints.md'")
-    parts = R.assemble_documents(lines, lines_per_part=5).orderBy("part").collect()
-    whole = R.assemble_documents(lines).first().body
-    assert len(parts) == 3 and "\n".join(p.body for p in parts) == whole
+def test_long_documents_read_back_whole(spark):
+    section = F.element_at(F.array(*[F.lit(s) for s in ("constraint", "non_goal", "task", "open_question")]), (F.col("id") % 4 + 1).cast("int"))
+    items = spark.range(120_000).select(
+        F.lit("p").alias("project_id"), section.alias("section"), ord_of(seq=F.col("id")).alias("ord"), F.lit("").alias("label"),
+        F.concat(F.lit("item "), F.col("id").cast("string")).alias("text"), F.lit("").alias("detail"), F.lit("medium").alias("priority"), F.lit(False).alias("done"),
+    )
+    lines = R.document_lines(items)
+    for saved in (R.number_lines(lines), R.assemble_documents(lines)):
+        back = D.read_knowledge_base(saved).filter("section <> 'goal'").select("section", "text")
+        assert back.count() == 120_000 and back.exceptAll(items.select("section", "text")).isEmpty()
+    assert R.assemble_documents(lines).count() == 8
+
+
+def test_lines_and_bodies_read_alike(spark):
+    bodies = {
+        "context/overview.md": "## Goal\n## Goal\n\nsecond\n## Vision\nx",
+        "context/decisions.md": "## ADR-001 — Use it\n\n**Context:**\n\nwhy\nso\n\n**Decision:**\n\nyes\n## Other\n## ADR-002 — Empty\n",
+        "context/constraints.md": "- loose\n## Constraints\n- a\n- [ ] b\n## Else\n- no\n## Non-goals\n- c",
+        "context/architecture.md": "- **Db**: one\n- **db**: two",
+    }
+    df = spark.createDataFrame([("p", k, v) for k, v in bodies.items()] + [("q", "context/overview.md", "text\n## Goal"), ("q", "context/risks.md", None)], "project_id STRING, rel_path STRING, body STRING")
+    lines = df.select("project_id", "rel_path", F.posexplode(F.split("body", "\n")).alias("n", "line")).withColumn("n", F.col("n") + 1)
+    names = ["project_id", "section", "label", "text", "detail"]
+    got = rows(D.read_knowledge_base(df), *names)
+    assert got == rows(D.read_knowledge_base(lines), *names) == sorted([
+        ("p", "goal", "", "", ""), ("p", "decision", "Use it", "yes\n## Other", "why\nso"), ("p", "decision", "Empty", "", ""), ("p", "constraint", "", "a", ""),
+        ("p", "constraint", "", "b", ""), ("p", "non_goal", "", "c", ""), ("p", "tech_stack", "db", "two", ""),
+    ])
 
 
 def test_context_json(spark):

@@ -80,6 +80,26 @@ def number_rows(
     )
 
 
+def carry_forward(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, value: Column, name: str) -> DataFrame:
+    """The last non-null ``value`` at or before each row of its key, without sorting a whole key in one task.
+
+    ``bucket`` is non-decreasing along ``order``: values are carried inside buckets, and from bucket to
+    bucket by one row each.
+    """
+    keys = list(keys)
+    bucketed = df.select("*", bucket.alias("_b"), value.alias("_v"))
+    inside = Window.partitionBy(*keys, "_b").orderBy(*order)
+    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    ends = bucketed.groupBy(*keys, "_b").agg(F.max_by("_v", F.when(F.col("_v").isNotNull(), F.struct(*order))).alias("_last"))
+    carried = ends.select(*keys, "_b", F.last("_last", ignorenulls=True).over(before).alias("_carried"))
+    return (
+        bucketed.withColumn("_inside", F.last("_v", ignorenulls=True).over(inside))
+        .alias("_rows")
+        .join(carried.alias("_ends"), _same("_rows", "_ends", [*keys, "_b"]))
+        .select(*[F.col(f"_rows.{c}") for c in df.columns], F.coalesce("_rows._inside", "_ends._carried").alias(name))
+    )
+
+
 def ord_buckets(column: str = "ord", width: int = 4096) -> list[Column]:
     """Buckets for item order keys: blocks of sessions, one session, blocks of its messages."""
     o = F.col(column)

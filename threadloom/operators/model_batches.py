@@ -38,21 +38,23 @@ BODY_FIELDS = (
 )
 
 
-def tail_transcripts(messages: DataFrame, line: Column, glue: str, limit: int, keys: Sequence[str] = ("conv_id",)) -> DataFrame:
-    """(keys, transcript, whole_length): the last ``limit`` characters of the joined lines.
+def tail_transcripts(messages: DataFrame, line: Column, glue: str, limit: int | None, keys: Sequence[str] = ("conv_id",), shortest: int = 0) -> DataFrame:
+    """(keys, transcript, whole_length): the last ``limit`` characters of the joined lines, all of them with null.
 
     Only the messages that can reach into that tail are brought together: they are few, because
-    every line takes up some characters, and each is cut to the limit first.
+    every line takes up at least ``shortest`` characters and the glue, and each is cut to the limit first.
     """
     keys = list(keys)
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "line"))), lambda x: x["line"]), glue)
+    if limit is None:
+        whole = messages.select(*keys, "seq", line.alias("line")).groupBy(*keys).agg(joined.alias("transcript"))
+        return whole.withColumn("whole_length", F.length("transcript").cast("bigint"))
     lines = messages.select(*keys, "seq", line.alias("line")).select(*keys, "seq", F.right("line", F.lit(limit)).alias("line"), F.length("line").alias("size"))
     lengths = lines.groupBy(*keys).agg((F.sum(F.col("size") + len(glue)) - len(glue)).alias("whole_length"))
-    shortest = 3 + len(glue)
-    last = top_rows(lines, keys, [F.col("seq").desc()], limit // shortest + 1, salt=F.col("seq"))
+    last = top_rows(lines, keys, [F.col("seq").desc()], limit // max(shortest + len(glue), 1) + 1, salt=F.col("seq"))
     later = Window.partitionBy(*keys).orderBy(F.col("seq").desc()).rowsBetween(Window.unboundedPreceding, -1)
     reached = F.coalesce(F.sum(F.length("line") + len(glue)).over(later), F.lit(0))
     tail = last.withColumn("_later", reached).filter(F.col("_later") < limit + len(glue))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "line"))), lambda x: x["line"]), glue)
     return tail.groupBy(*keys).agg(F.right(joined, F.lit(limit)).alias("transcript")).join(lengths, keys)
 
 
@@ -61,18 +63,18 @@ def _fill(template: str, slot: str, value: Column) -> Column:
     return F.concat(F.lit(before), value, F.lit(after))
 
 
-def conversation_prompts(messages: DataFrame, template: str = EXTRACT_TEMPLATE, keys: Sequence[str] = ("conv_id",), limit: int = MAX_CONVERSATION) -> DataFrame:
+def conversation_prompts(messages: DataFrame, template: str = EXTRACT_TEMPLATE, keys: Sequence[str] = ("conv_id",), limit: int | None = MAX_CONVERSATION) -> DataFrame:
     """(keys, prompt) from the end of every conversation."""
     line = F.concat(F.upper("role"), F.lit(": "), F.col("content"))
-    tails = tail_transcripts(messages, line, "\n", limit, keys)
+    tails = tail_transcripts(messages, line, "\n", limit, keys, shortest=len(": "))
     return tails.select(*keys, _fill(template, "{conversation}", F.col("transcript")).alias("prompt"))
 
 
-def session_prompts(messages: DataFrame, template: str = SESSION_TEMPLATE, keys: Sequence[str] = ("path",), limit: int = MAX_SESSION) -> DataFrame:
+def session_prompts(messages: DataFrame, template: str = SESSION_TEMPLATE, keys: Sequence[str] = ("path",), limit: int | None = MAX_SESSION) -> DataFrame:
     """(keys, prompt) from the end of every session, with a note where something was cut."""
     line = F.concat(F.lit("["), F.upper("role"), F.lit("]\n"), F.col("content"))
-    tails = tail_transcripts(messages, line, "\n\n", limit, keys)
-    note = F.when(F.col("whole_length") > limit, TRUNCATION_NOTE).otherwise("")
+    tails = tail_transcripts(messages, line, "\n\n", limit, keys, shortest=len("[]\n"))
+    note = F.lit("") if limit is None else F.when(F.col("whole_length") > limit, TRUNCATION_NOTE).otherwise("")
     return tails.select(*keys, _fill(template, "{conversation}", F.concat(note, "transcript")).alias("prompt"))
 
 
@@ -80,7 +82,7 @@ _MERGED_FIELDS = ("goal", "tech_stack", "decisions", "tasks", "constraints", "no
 
 
 def merge_prompts(items: DataFrame, key: str = "project_id", session: str = "session_ord") -> DataFrame:
-    """(key, rel_path, part, body): the contexts of a project's sessions as JSON, to be merged.
+    """(key, rel_path, body): the contexts of a project's sessions as JSON, to be merged.
 
     Items are rows per (key, session, section); sessions go by their order number.
     """
@@ -101,11 +103,11 @@ def merge_prompts(items: DataFrame, key: str = "project_id", session: str = "ses
     return assemble_documents(intro.unionByName(placed), [key])
 
 
-def sync_prompts(backlog: DataFrame, index_text: DataFrame, commits: DataFrame, key: str = "project_id") -> DataFrame:
-    """(key, rel_path, part, body): open tasks, the start of the code index, and recent commits.
+def sync_prompts(backlog: DataFrame, index_text: DataFrame, commits: DataFrame, key: str = "project_id", max_index: int | None = MAX_INDEX) -> DataFrame:
+    """(key, rel_path, body): open tasks, the start of the code index, and recent commits.
 
     ``index_text`` is (key, text), one row per project; ``commits`` is (key, ord, line), already cut
-    to the latest ones.
+    to the latest ones. Of the index its first ``max_index`` characters are shown, all with null.
     """
     projects = backlog.select(key).distinct()
 
@@ -114,7 +116,8 @@ def sync_prompts(backlog: DataFrame, index_text: DataFrame, commits: DataFrame,
 
     task = F.to_json(F.struct("id", "title", "description"))
     texts = projects.join(index_text, key, "left")
-    shown = F.coalesce(T.non_empty(T.head_truncate(F.col("text"), MAX_INDEX)), F.lit("(empty)"))
+    index = F.col("text") if max_index is None else T.head_truncate(F.col("text"), max_index)
+    shown = F.coalesce(T.non_empty(index), F.lit("(empty)"))
     without = projects.join(commits.select(key).distinct(), key, "left_anti")
     one = ord_of()
     parts = [

@@ -1,8 +1,8 @@
 """Rendering contexts, backlogs and session summaries to documents.
 
-A document is first a table of lines, each with its place; only ``assemble_documents`` puts lines
-together. It numbers the lines of a document across tasks and joins them in parts of bounded length,
-so one huge project makes more parts, not one huge row. An ordinary document is its part 0.
+A document is first a table of lines, each with its place. ``number_lines`` numbers the lines of a
+document across tasks: that table has no limit and is the form to save and read back at scale. Only
+``assemble_documents`` puts the lines of a document together, for sinks that want one value.
 """
 
 from __future__ import annotations
@@ -17,8 +17,6 @@ from threadloom.functions import text as T
 from threadloom.functions.ordering import number_rows, ord_buckets, ord_of
 from threadloom.functions.shuffles import cut_lineage
 
-LINES_PER_PART = 50_000
-
 
 @dataclass(frozen=True)
 class Fixed:
@@ -182,14 +180,21 @@ def document_lines(items: DataFrame, layout: Sequence[Fixed | Listed] = KNOWLEDG
     return lines.select(*keys, "l.rel_path", "l.place", "ord", "l.pos", "l.line")
 
 
-def assemble_documents(lines: DataFrame, keys: Sequence[str] = ("project_id",), lines_per_part: int = LINES_PER_PART) -> DataFrame:
-    """(keys, rel_path, part, body): lines in order, joined by line breaks."""
+def number_lines(lines: DataFrame, keys: Sequence[str] = ("project_id",)) -> DataFrame:
+    """(keys, rel_path, n, line): the lines of every document, counted from 1. No task holds a whole document."""
     group = [*keys, "rel_path"]
     lines = cut_lineage(lines)  # counted, then numbered
-    numbered = number_rows(lines, group, ["place", "ord", "pos"], [F.col("place"), *ord_buckets()], "_n")
-    part = F.floor((F.col("_n") - 1) / lines_per_part).cast("int").alias("part")
-    listed = F.array_sort(F.collect_list(F.struct("_n", "line")))
-    return numbered.groupBy(*group, part).agg(F.array_join(F.transform(listed, lambda x: x["line"]), "\n").alias("body"))
+    return number_rows(lines, group, ["place", "ord", "pos"], [F.col("place"), *ord_buckets()], "n").select(*group, "n", "line")
+
+
+def assemble_documents(lines: DataFrame, keys: Sequence[str] = ("project_id",)) -> DataFrame:
+    """(keys, rel_path, body): one row per document, its lines in order joined by line breaks.
+
+    For the last step before a sink that takes whole documents: a body is one value, so the task that
+    writes it holds it. Contexts too large for that stay the table of ``number_lines``.
+    """
+    listed = F.array_sort(F.collect_list(F.struct("place", "ord", "pos", "line")))
+    return lines.groupBy(*keys, "rel_path").agg(F.array_join(F.transform(listed, lambda x: x["line"]), "\n").alias("body"))
 
 
 def render_documents(items: DataFrame, layout: Sequence[Fixed | Listed] = KNOWLEDGE_BASE, keys: Sequence[str] = ("project_id",)) -> DataFrame:
@@ -245,24 +250,28 @@ def context_json_lines(
 
 
 def export_context_json(items: DataFrame, keys: Sequence[str] = ("project_id",)) -> DataFrame:
-    """(keys, rel_path, part, body): goal, technologies, tasks, constraints and open questions."""
+    """(keys, rel_path, body): goal, technologies, tasks, constraints and open questions."""
     return assemble_documents(context_json_lines(items, keys), keys)
 
 
-def backlog_json(backlog: DataFrame, manifest: DataFrame, key: str = "project_id") -> DataFrame:
-    """(key, rel_path, part, body) of one backlog document per project of the manifest."""
+def backlog_json_lines(backlog: DataFrame, manifest: DataFrame, key: str = "project_id") -> DataFrame:
+    """Lines of one backlog document per project of the manifest: a head, one line per task, an end."""
     doc = "work/backlog.json"
     numbered = number_rows(backlog, [key], ["ord"], ord_buckets(), "_n")
     fields = ["id", "title", "description", "phase", "priority", "done", "tags", "added_at", "done_at"]
     task = F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
     head = F.to_json(F.struct("schema_version", F.col("generated_at").alias("updated_at"), "project"))
     heads = manifest.withColumn("ord", ord_of())
-    lines = (
+    return (
         _json_lines(heads, [key], doc, 0, F.concat(F.left(head, F.length(head) - 1), F.lit(',"tasks":[')))
         .unionByName(_json_lines(numbered, [key], doc, 1, _comma(task)))
         .unionByName(_json_lines(heads, [key], doc, 2, F.lit('],"milestones":[]}')))
     )
-    return assemble_documents(lines, [key])
+
+
+def backlog_json(backlog: DataFrame, manifest: DataFrame, key: str = "project_id") -> DataFrame:
+    """(key, rel_path, body) of one backlog document per project of the manifest."""
+    return assemble_documents(backlog_json_lines(backlog, manifest, key), [key])
 
 
 def build_manifest(items: DataFrame, titles: DataFrame | None, source: str, target: str, version: str, now: str, key: str = "project_id") -> DataFrame:

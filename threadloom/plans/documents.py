@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.functions import text as T
+from threadloom.functions.storage import run_folder
 from threadloom.functions.ordering import ord_of
 from threadloom.operators import maintenance as N
 from threadloom.operators import merging as M
@@ -69,13 +70,17 @@ _DOCS = _CTX + ", ranked AS (SELECT *, row_number() OVER (PARTITION BY project_i
 ) + ")"
 
 
+def knowledge_base_lines(spark, sf_dir) -> DataFrame:
+    return R.number_lines(R.document_lines(contexts(spark, sf_dir)))
+
+
 def knowledge_base(spark, sf_dir) -> DataFrame:
     return R.render_documents(contexts(spark, sf_dir))
 
 
-@query("b1_render_documents", f"WITH {_DOCS} SELECT *, CAST(0 AS BIGINT) AS part FROM docs")
+@query("b1_render_documents", f"WITH {_DOCS} SELECT * FROM docs")
 def _(spark, sf_dir):
-    return knowledge_base(spark, sf_dir).withColumn("part", F.col("part").cast("bigint"))
+    return knowledge_base(spark, sf_dir)
 
 
 @query("s17_write_documents_plan", f"WITH {_DOCS} SELECT project_id, rel_path FROM docs")
@@ -83,13 +88,40 @@ def _(spark, sf_dir):
     return D.write_documents(knowledge_base(spark, sf_dir), "/nowhere", dry_run=True)
 
 
+@query("s17_write_documents", f"WITH {_DOCS} SELECT project_id, rel_path, length(body) - length(replace(body, chr(10), '')) + 1 AS n_lines, length(body) AS n_chars FROM docs")
+def _(spark, sf_dir):
+    target = f"{run_folder(spark)}/documents"
+    D.write_documents(knowledge_base_lines(spark, sf_dir), target)
+    breaks = F.length("line") - F.length(F.replace("line", F.lit("\n"), F.lit("")))
+    return spark.read.parquet(target).groupBy("project_id", "rel_path").agg(
+        F.sum(breaks + 1).alias("n_lines"), (F.sum(F.length("line") + 1) - 1).alias("n_chars")
+    )
+
+
 @query("s14_read_knowledge_base", (
     f"WITH {_CTX} SELECT project_id, section, CASE WHEN section = 'tech_stack' THEN lower(label) WHEN section = 'decision' THEN label ELSE '' END AS label, trim(text) AS text, "
     "CASE WHEN section = 'decision' THEN detail ELSE '' END AS detail, CASE WHEN section = 'task' THEN priority ELSE '' END AS priority, section = 'task' AND done AS done FROM ctx "
     "UNION ALL SELECT project_id, 'goal', '', '(goal not detected — fill in manually)', '', '', FALSE FROM ctx GROUP BY 1 HAVING NOT bool_or(section = 'goal')"
 ))
 def _(spark, sf_dir):
-    return D.read_knowledge_base(knowledge_base(spark, sf_dir)).drop("ord")
+    return D.read_knowledge_base(knowledge_base_lines(spark, sf_dir)).drop("ord")
+
+
+_LONG = "SELECT CASE WHEN l_linenumber < 3 THEN 0 ELSE l_suppkey END AS project_id, CASE WHEN l_returnflag = 'R' THEN 'non_goal' WHEN l_linenumber = 1 THEN 'task' WHEN l_linenumber = 2 THEN 'open_question' ELSE 'constraint' END AS section"
+
+
+@query("s14_long_documents", f"WITH i AS ({_LONG}, 'line ' || l_linenumber || ' of order ' || l_orderkey AS text FROM lineitem) SELECT * FROM i UNION ALL SELECT DISTINCT project_id, 'goal', '(goal not detected — fill in manually)' FROM i UNION ALL SELECT project_id, 'task', '_No tasks extracted — add them manually._' FROM i GROUP BY 1 HAVING NOT bool_or(section = 'task')")
+def _(spark, sf_dir):
+    text = F.concat(F.lit("line "), F.col("l_linenumber").cast("string"), F.lit(" of order "), F.col("l_orderkey").cast("string"))
+    project = F.when(F.col("l_linenumber") < 3, 0).otherwise(F.col("l_suppkey"))
+    section = (
+        F.when(F.col("l_returnflag") == "R", "non_goal").when(F.col("l_linenumber") == 1, "task").when(F.col("l_linenumber") == 2, "open_question").otherwise("constraint")
+    )
+    items = table(spark, sf_dir, "lineitem").select(
+        project.alias("project_id"), section.alias("section"), ord_of(seq=F.col("l_orderkey"), sub=F.col("l_linenumber")).alias("ord"), F.lit("").alias("label"),
+        text.alias("text"), F.lit("").alias("detail"), F.lit("medium").alias("priority"), F.lit(False).alias("done"),
+    )
+    return D.read_knowledge_base(R.number_lines(R.document_lines(items))).select("project_id", "section", "text")
 
 
 @query("s15_read_plan_checklist", (
@@ -167,7 +199,7 @@ def _(spark, sf_dir):
     f"CASE WHEN done THEN '{NOW}' END AS done_at, '{NOW}' AS updated_at FROM ctx WHERE section = 'task'"
 ))
 def _(spark, sf_dir):
-    saved = D.read_backlog(R.backlog_json(backlog(spark, sf_dir), manifest(spark, sf_dir)))
+    saved = D.read_backlog(R.number_lines(R.backlog_json_lines(backlog(spark, sf_dir), manifest(spark, sf_dir))))
     return saved.select("project_id", "id", F.col("ord.seq").alias("ord"), "title", "phase", "priority", "done", "done_at", "updated_at")
 
 
