@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from threadloom.functions.storage import run_folder
 
+_PIECE = 64
+
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the folder that ``spark.checkpoint.dir`` names.
@@ -41,34 +43,52 @@ def contained_tokens(
     """Rows of ``tokens(key, token)`` whose token is a substring of some text of the same key.
 
     A token made only of characters that ``run_pattern`` matches lies inside one run of such
-    characters, so texts shrink to their distinct runs, and runs to their grams of the token's
-    length (grams of ``longest`` characters stand for longer tokens and are checked in full).
-    The search becomes an equi-join on (key, gram): no task pairs a key's tokens with its texts.
+    characters, so texts shrink to their distinct runs. Runs are cut into windows of two pieces, a
+    piece as long as the tokens sought in it (``_PIECE`` characters, or the next power of two for
+    longer tokens, where a key has any); from each start in the first piece goes a gram of the
+    token's length, and those of ``longest`` characters take along what follows them for longer
+    tokens. The search becomes an equi-join on (key, piece, gram) whose work grows with the length of
+    the texts, also of a single long run: no task pairs a key's tokens with its texts.
     """
+    wanted = tokens.filter(F.length("token") >= shortest).select(
+        "*",
+        F.left("token", F.least(F.length("token"), F.lit(longest))).alias("_gram"),
+        F.greatest(F.lit(_PIECE), F.pow(F.lit(2), F.ceil(F.log2(F.length("token")))).cast("int")).alias("_piece"),
+    )
     runs = (
-        texts.select(key, F.explode(F.regexp_extract_all(F.lower("text"), F.lit(run_pattern), F.lit(0))).alias("run"))
-        .filter(F.length("run") >= shortest)
+        texts.select(key, F.explode(F.regexp_extract_all(F.lower("text"), F.lit(run_pattern), F.lit(0))).alias("_run"))
+        .filter(F.length("_run") >= shortest)
         .distinct()
     )
-    size = F.explode(F.sequence(F.lit(shortest), F.least(F.length("run"), F.lit(longest))))
-    starts = F.sequence(F.lit(1), F.length("run") - F.col("size") + 1)
+    wide = wanted.filter(F.col("_piece") > _PIECE).select(key, "_piece").distinct()
+    long_runs = runs.filter(F.length("_run") > _PIECE).join(wide, key).select(key, "_run", "_piece")
+    cut = runs.withColumn("_piece", F.lit(_PIECE)).unionByName(long_runs)
+    pieces = F.regexp_extract_all("_run", F.concat(F.lit("(?s).{1,"), F.col("_piece").cast("string"), F.lit("}")), F.lit(0))
+    windows = (
+        cut.select(key, "_piece", pieces.alias("_pieces"))
+        .select(key, "_piece", F.explode(F.transform("_pieces", lambda p, i: F.concat(p, F.coalesce(F.get("_pieces", i + 1), F.lit(""))))).alias("_window"))
+        .distinct()
+    )
+    least = F.when(F.col("_piece") == _PIECE, F.lit(shortest)).otherwise(F.lit(longest))
+    most = F.least(F.length("_window"), F.lit(longest))
+    last = F.least(F.length("_window") - F.col("_size") + 1, F.col("_piece"))
     grams = (
-        runs.select(key, "run", size.alias("size"))
-        .select(key, "run", "size", F.explode(starts).alias("start"))
+        windows.filter(most >= least)
+        .select(key, "_piece", "_window", F.explode(F.sequence(least, most)).alias("_size"))
+        .select(key, "_piece", "_window", "_size", F.explode(F.sequence(F.lit(1), last)).alias("_start"))
         .select(
             key,
-            F.substr("run", F.col("start"), F.col("size")).alias("gram"),
-            F.when(F.col("size") == longest, F.col("run")).alias("run"),
+            "_piece",
+            F.substr("_window", F.col("_start"), F.col("_size")).alias("_gram"),
+            F.when(F.col("_size") == longest, F.substr("_window", F.col("_start"), F.col("_piece"))).alias("_tail"),
         )
         .distinct()
     )
-    wanted = tokens.filter(F.length("token") >= shortest).withColumn(
-        "gram", F.left("token", F.least(F.length("token"), F.lit(longest)))
-    )
     t, g = wanted.alias("_wanted"), grams.alias("_grams")
     hit = (
         (F.col(f"_wanted.{key}") == F.col(f"_grams.{key}"))
-        & (F.col("_wanted.gram") == F.col("_grams.gram"))
-        & ((F.length("_wanted.token") < longest) | F.col("_grams.run").contains(F.col("_wanted.token")))
+        & (F.col("_wanted._piece") == F.col("_grams._piece"))
+        & (F.col("_wanted._gram") == F.col("_grams._gram"))
+        & ((F.length("_wanted.token") < longest) | F.col("_grams._tail").startswith(F.col("_wanted.token")))
     )
-    return t.join(g, hit, "left_semi").drop("gram")
+    return t.join(g, hit, "left_semi").drop("_gram", "_piece")

@@ -75,6 +75,30 @@ def _(spark, sf_dir):
     return items.groupBy("conv_id").agg(*[F.count_if(F.col("section") == s).alias(n) for s, n in names.items()])
 
 
+@query("z2_landing_rejects", (
+    "SELECT error, CASE WHEN error = 'read' THEN count(DISTINCT l_orderkey) ELSE count(*) END AS n FROM (SELECT l_orderkey, CASE l_linenumber % 6 WHEN 0 THEN 'Invalid JSON' WHEN 1 THEN 'Unknown source ' || chr(39) || 'other' || chr(39) "
+    "WHEN 2 THEN chr(39) || 'conversation' || chr(39) || ' field is required' WHEN 5 THEN 'read' ELSE 'No messages found in conversation' END AS error FROM lineitem) GROUP BY 1"
+))
+def _(spark, sf_dir):
+    folder = run_folder(spark)
+    bodies = [
+        "{broken", '{"source": "other", "conversation": {"a": 1}}', '{"source": "claude"}', '{"source": "claude", "conversation": {"chat_messages": "oops"}}',
+        '{"source": "gemini", "conversation": {"title": "no activity"}}', '{"source": "claude", "conversation": {"uuid": "@", "chat_messages": [{"sender": "human", "text": "TODO: add a test for the loader"}]}}',
+    ]
+    body = F.element_at(F.array(*[F.lit(b) for b in bodies]), (F.col("l_linenumber") % 6 + 1).cast("int"))
+    path = F.concat_ws("-", "l_orderkey", "l_linenumber")
+    table(spark, sf_dir, "lineitem").select(path.alias("path"), F.replace(body, F.lit("@"), path).alias("value")).write.parquet(f"{folder}/landing")
+    stream = spark.readStream.schema("path STRING, value STRING").parquet(f"{folder}/landing")
+
+    def keep(name: str):
+        return lambda df, n: df.write.mode("overwrite").parquet(f"{folder}/{name}/batch={n}")
+
+    finish(stream, folder, landing.landing_ingest(keep("items"), keep("rejects"), LEXICON))
+    counted = spark.read.parquet(f"{folder}/rejects").groupBy("error").agg(F.count(F.lit(1)).alias("n"))
+    read = spark.read.parquet(f"{folder}/items").agg(F.count_distinct("conv_id").alias("n"))
+    return counted.unionByName(read.select(F.lit("read").alias("error"), "n"))
+
+
 @query("z3_incremental_context_upsert", (
     f"WITH {C._DELTA} SELECT project_id, section, seq, label, text FROM saved UNION ALL SELECT project_id, section, seq, label, text FROM added"
 ))
@@ -90,4 +114,5 @@ def _(spark, sf_dir):
         lambda: C.TODAY,
     )
     finish(spark.readStream.schema(spark.read.parquet(f"{folder}/fresh").schema).parquet(f"{folder}/fresh"), folder, each)
-    return spark.read.parquet(f"{folder}/snapshot/version=1").select("project_id", "section", F.col("ord.seq").alias("seq"), "label", "text")
+    latest = spark.read.parquet(f"{folder}/snapshot")
+    return latest.join(latest.agg(F.max("version").alias("version")), "version").select("project_id", "section", F.col("ord.seq").alias("seq"), "label", "text")

@@ -162,11 +162,16 @@ def _explode_messages(df: DataFrame, source: str, messages: Column) -> DataFrame
     )
 
 
-def _claude_conversations(files: DataFrame) -> DataFrame:
+def _mode(on_error: str) -> dict[str, str]:
+    """Parser options: a malformed record raises, or with ``on_error="skip"`` its unreadable fields are null."""
+    return {"mode": "FAILFAST" if on_error == "raise" else "PERMISSIVE"}
+
+
+def _claude_conversations(files: DataFrame, on_error: str = "raise") -> DataFrame:
     """(path, pos, in_array, conv) of object and array exports."""
     bare = T.strip(F.col("content"))
     as_array = F.when(bare.startswith("["), bare).otherwise(F.concat(F.lit("["), bare, F.lit("]")))
-    parsed = F.from_json(as_array, f"ARRAY<{_CLAUDE_CONVERSATION}>", {"mode": "FAILFAST"})
+    parsed = F.from_json(as_array, f"ARRAY<{_CLAUDE_CONVERSATION}>", _mode(on_error))
     return files.select(
         "path", bare.startswith("[").alias("in_array"), F.posexplode(parsed).alias("pos", "conv")
     )
@@ -182,7 +187,7 @@ def read_claude_json(files: DataFrame, on_error: str = "raise") -> DataFrame:
     """One conversation object, or an array of them; sender/text and role/content forms."""
     chat, plain = F.col("conv.chat_messages"), F.col("conv.messages")
     raw = F.when(F.col("in_array") | (F.coalesce(F.size(chat), F.lit(0)) > 0), chat).otherwise(plain)
-    conversations = _claude_conversations(files).select(
+    conversations = _claude_conversations(files, on_error).select(
         "path", _claude_id().alias("conv_id"), F.coalesce("conv.name", F.lit("")).alias("title"), raw.alias("raw")
     )
     return _explode_messages(conversations, "claude", _claude_messages(F.col("raw"), on_error))
@@ -190,10 +195,9 @@ def read_claude_json(files: DataFrame, on_error: str = "raise") -> DataFrame:
 
 def read_claude_jsonl(lines: DataFrame, on_error: str = "raise") -> DataFrame:
     """One conversation per line; blank lines are skipped and a bad line is an error."""
-    mode = "FAILFAST" if on_error == "raise" else "PERMISSIVE"
     parsed = (
         lines.filter(T.strip(F.col("line")) != "")
-        .select("path", F.from_json("line", _CLAUDE_CONVERSATION, {"mode": mode}).alias("conv"))
+        .select("path", F.from_json("line", _CLAUDE_CONVERSATION, _mode(on_error)).alias("conv"))
         .select(
             "path",
             T.non_empty(F.col("conv.uuid"), F.col("conv.id")).alias("conv_id"),
@@ -268,8 +272,8 @@ def _visit_order(mapping: Column, active_only: bool) -> Column:
     return order(F.map_keys(mapping), F.transform(nodes, lambda n: n["parent"]), F.transform(nodes, lambda n: n["children"]))
 
 
-def _chatgpt_conversations(files: DataFrame) -> DataFrame:
-    parsed = F.from_json("content", _CHATGPT_EXPORT, {"mode": "FAILFAST"})
+def _chatgpt_conversations(files: DataFrame, on_error: str = "raise") -> DataFrame:
+    parsed = F.from_json("content", _CHATGPT_EXPORT, _mode(on_error))
     return files.select("path", F.explode(parsed).alias("conv")).select(
         "path",
         F.coalesce("conv.id", F.lit("")).alias("conv_id"),
@@ -305,13 +309,13 @@ def read_chatgpt_tree(files: DataFrame, on_error: str = "raise") -> DataFrame:
             F.lit(None).cast("string").alias("message_id"),
         )
 
-    conversations = _chatgpt_conversations(files)
+    conversations = _chatgpt_conversations(files, on_error)
     empty = F.coalesce(F.size("mapping"), F.lit(0)) > 0
     conversations = conversations.filter(_demand(empty, "No 'mapping' key found in conversation", on_error))
     return _tree_messages(conversations, build, active_only=False)
 
 
-def read_chatgpt_active_branch(files: DataFrame) -> DataFrame:
+def read_chatgpt_active_branch(files: DataFrame, on_error: str = "raise") -> DataFrame:
     """Message trees along the most recent branch only; user and assistant turns."""
 
     def build(m: Column) -> Column:
@@ -328,7 +332,7 @@ def read_chatgpt_active_branch(files: DataFrame) -> DataFrame:
             F.lit(None).cast("string").alias("message_id"),
         )
 
-    return _tree_messages(_chatgpt_conversations(files), build, active_only=True)
+    return _tree_messages(_chatgpt_conversations(files, on_error), build, active_only=True)
 
 
 def read_gemini(files: DataFrame, on_error: str = "raise") -> DataFrame:
@@ -345,7 +349,7 @@ def read_gemini(files: DataFrame, on_error: str = "raise") -> DataFrame:
 
     parsed = files.select(
         "path", F.col("path").alias("conv_id"), F.lit("").alias("title"),
-        F.from_json("content", _GEMINI_EXPORT, {"mode": "FAILFAST"})["appActivity"].alias("items"),
+        F.from_json("content", _GEMINI_EXPORT, _mode(on_error))["appActivity"].alias("items"),
         F.col("content").isNull().alias("absent"),
     ).filter(_demand(F.col("items").isNotNull() | F.col("absent"), "Expected 'appActivity' key", on_error))
     turns = F.flatten(
@@ -356,7 +360,7 @@ def read_gemini(files: DataFrame, on_error: str = "raise") -> DataFrame:
 
 def _perplexity_conversations(files: DataFrame, on_error: str) -> DataFrame:
     parsed = files.select(
-        "path", F.from_json("content", _PERPLEXITY_EXPORT, {"mode": "FAILFAST"})["conversations"].alias("convs"),
+        "path", F.from_json("content", _PERPLEXITY_EXPORT, _mode(on_error))["conversations"].alias("convs"),
         F.col("content").isNull().alias("absent"),
     ).filter(_demand(F.col("convs").isNotNull() | F.col("absent"), "Expected 'conversations' key", on_error))
     return parsed.select("path", F.explode("convs").alias("conv")).select(
@@ -396,18 +400,19 @@ def read_perplexity(files: DataFrame, on_error: str = "raise") -> DataFrame:
     return _explode_messages(_perplexity_conversations(files, on_error), "perplexity", turns)
 
 
-def list_conversations(files: DataFrame) -> DataFrame:
+def list_conversations(files: DataFrame, on_error: str = "raise") -> DataFrame:
     """(source, path, conv_id, title, date) of every conversation in classified files.
 
-    Gemini exports have no listing. JSONL files come as whole files here.
+    Gemini exports have no listing. JSONL files come as whole files here. Malformed records raise, or
+    with ``on_error="skip"`` are listed with what can be read of them.
     """
     source, kind = F.col("source"), suffix(F.col("path"))
-    as_objects = _claude_conversations(files_where(files, (source == "claude") & (kind == ".json"))).select("path", "conv")
+    as_objects = _claude_conversations(files_where(files, (source == "claude") & (kind == ".json")), on_error).select("path", "conv")
     as_lines = (
         files_where(files, (source == "claude") & (kind == ".jsonl"))
         .select("path", F.explode(F.split("content", "\n")).alias("line"))
         .filter(T.strip(F.col("line")) != "")
-        .select("path", F.from_json("line", _CLAUDE_CONVERSATION, {"mode": "FAILFAST"}).alias("conv"))
+        .select("path", F.from_json("line", _CLAUDE_CONVERSATION, _mode(on_error)).alias("conv"))
     )
     claude_rows = as_objects.unionByName(as_lines).select(
         F.lit("claude").alias("source"), "path",
@@ -416,7 +421,7 @@ def list_conversations(files: DataFrame) -> DataFrame:
         F.coalesce("conv.created_at", F.lit("")).alias("date"),
     )
     created = F.col("create_time")
-    chatgpt_rows = _chatgpt_conversations(files_where(files, source == "chatgpt")).select(
+    chatgpt_rows = _chatgpt_conversations(files_where(files, source == "chatgpt"), on_error).select(
         F.lit("chatgpt").alias("source"), "path", "conv_id", "title",
         F.when(T.is_blank(created) | (created.try_cast("double") == 0), "").otherwise(T.unix_to_iso(created)).alias("date"),
     )
@@ -461,8 +466,11 @@ FILE_READERS: dict[str, Callable[..., DataFrame]] = {
 }
 
 
-def read_exports(files: DataFrame, readers: dict[str, Callable[..., DataFrame]] | None = None) -> DataFrame:
-    """Messages of mixed files: classify, then run every source's reader on its own files."""
+def read_exports(files: DataFrame, readers: dict[str, Callable[..., DataFrame]] | None = None, on_error: str = "raise") -> DataFrame:
+    """Messages of mixed files: classify, then run every source's reader on its own files.
+
+    A malformed record raises; with ``on_error="skip"`` it has no messages, see ``silent_files``.
+    """
     kinds = classify_exports(files)
     kind = suffix(F.col("path"))
     table = FILE_READERS if readers is None else readers
@@ -472,10 +480,17 @@ def read_exports(files: DataFrame, readers: dict[str, Callable[..., DataFrame]]
         if source == "claude":
             lines = files_where(kinds, mine & (kind == ".jsonl"))
             lines = lines.select("path", F.explode(F.split("content", "\n")).alias("line"))
-            parts += [read_claude_markdown(files_where(kinds, mine & (kind == ".md"))), read_claude_jsonl(lines)]
+            parts += [read_claude_markdown(files_where(kinds, mine & (kind == ".md"))), read_claude_jsonl(lines, on_error)]
             mine = mine & (kind == ".json")
-        parts.append(reader(files_where(kinds, mine)))
+        parts.append(reader(files_where(kinds, mine), on_error=on_error))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
     return out
+
+
+def silent_files(files: DataFrame, messages: DataFrame) -> DataFrame:
+    """(path, error) of files that gave no message at all."""
+    heard = messages.select(F.col("path").alias("_path")).distinct()
+    silent = files.select("path").join(heard, F.col("path").eqNullSafe(F.col("_path")), "left_anti")
+    return silent.select("path", F.lit("No messages found in conversation").alias("error"))

@@ -48,7 +48,7 @@ def validate_payloads(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def payload_messages(good: DataFrame) -> DataFrame:
-    """Messages of valid payloads, each source through its own reader; bad conversations are left out."""
+    """Messages of valid payloads, each source through its own reader; conversations that cannot be read have none."""
     out = None
     for name, reader in READERS.items():
         part = reader(S.files_where(good, F.col("parse_as") == name), on_error="skip")
@@ -59,11 +59,17 @@ def payload_messages(good: DataFrame) -> DataFrame:
 def landing_ingest(
     write_items: Callable[[DataFrame, int], None], write_rejects: Callable[[DataFrame, int], None], lexicon: Lexicon = DEFAULT_LEXICON
 ) -> Callable[[DataFrame, int], None]:
-    """``foreachBatch`` function for a stream of documents (path, value)."""
+    """``foreachBatch`` function for a stream of documents (path, value).
+
+    Every document leaves items, or a reject (path, error) where it is no valid payload or no message
+    can be read from it.
+    """
 
     def run(documents: DataFrame, batch_id: int) -> None:
         good, rejects = validate_payloads(documents)
-        write_items(extract_items(payload_messages(good), lexicon), batch_id)
-        write_rejects(rejects, batch_id)
+        messages = payload_messages(good).persist()  # read for items and for rejects
+        write_items(extract_items(messages, lexicon), batch_id)
+        write_rejects(rejects.unionByName(S.silent_files(good, messages)), batch_id)
+        messages.unpersist()
 
     return run
