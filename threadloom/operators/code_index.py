@@ -361,7 +361,10 @@ def index_tree(
     return index_repository(read_contents(indexable_paths(listed, globs)), globs, listed, max_lines)
 
 
-def write_code_index(index: dict[str, DataFrame], path: str, mode: str = "overwrite") -> None:
-    """One Parquet table per part of the index, by repository."""
+def write_code_index(index: dict[str, DataFrame], path: str, mode: str = "overwrite", buckets: int = 64) -> None:
+    """One Parquet table per part of the index, in folders by hash bucket of the repository and sorted inside."""
     for name, part in index.items():
-        part.write.mode(mode).partitionBy("repo_id").parquet(f"{path}/{name}")
+        order = ["repo_bucket", "repo_id", *[c for c in ("path", "src", "file") if c in part.columns]]
+        placed = part.withColumn("repo_bucket", F.pmod(F.xxhash64("repo_id"), F.lit(buckets)))
+        placed = placed.repartitionByRange(*order).sortWithinPartitions(*order)  # a hot repository is spread over its ranges
+        placed.write.mode(mode).partitionBy("repo_bucket").parquet(f"{path}/{name}")

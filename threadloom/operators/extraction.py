@@ -300,6 +300,12 @@ def extract_open_questions(messages: DataFrame, lexicon: Lexicon = DEFAULT_LEXIC
     return extract_items(messages, lexicon, ["open_question"], keys).select(*keys, "ord", "text")
 
 
+def canonical_tech(word: Column, lexicon: Lexicon = DEFAULT_LEXICON) -> Column:
+    """Display name of a technology by its lower-case keyword; null where the word list does not know it."""
+    names = {keyword: name for listed in lexicon.tech.values() for keyword, name in listed.items()}
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in names.items() for x in pair]), word)
+
+
 def extract_tech_stack(messages: DataFrame, lexicon: Lexicon = DEFAULT_LEXICON, keys: Sequence[str] = ("conv_id",)) -> DataFrame:
     """(keys, tech_stack map): at most one entry per category of the lexicon."""
     items = extract_items(messages, lexicon, ["tech_stack"], keys)

@@ -178,6 +178,14 @@ def recent_commits(commits: DataFrame, key: str = "project_id", limit: int = 50)
     return latest.select(key, F.col("line").alias("text"))
 
 
+def union_names(*lists: DataFrame, key: str = "project_id", name: str = "file") -> DataFrame:
+    """(key, name): every name that any of the lists holds for the key, once. Nulls are no names."""
+    out = lists[0].select(key, name)
+    for more in lists[1:]:
+        out = out.unionByName(more.select(key, name))
+    return out.filter(F.col(name).isNotNull()).distinct()
+
+
 def evidence_verdicts(
     backlog: DataFrame, evidence: DataFrame, key: str = "project_id", stop_words: Sequence[str] = TASK_STOP_WORDS, at_least: int = 2
 ) -> DataFrame:

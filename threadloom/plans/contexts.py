@@ -360,8 +360,9 @@ def _(spark, sf_dir):
     "SELECT o_custkey % 40 AS project_id, array_to_string(list_sort(list_distinct(list_concat(list_distinct(array_agg(o_orderstatus)), list_distinct(array_agg(o_orderpriority))))), '|') AS at_risk FROM orders GROUP BY 1"
 ))
 def _(spark, sf_dir):
-    rows = table(spark, sf_dir, "orders").groupBy((F.col("o_custkey") % 40).alias("project_id")).agg(F.collect_set("o_orderstatus").alias("a"), F.collect_set("o_orderpriority").alias("b"))
-    return rows.select("project_id", F.array_join(F.array_sort(F.array_union("a", "b")), "|").alias("at_risk"))
+    orders = table(spark, sf_dir, "orders").withColumn("project_id", F.col("o_custkey") % 40)
+    union = N.union_names(*[orders.select("project_id", F.col(c).alias("file")) for c in ("o_orderstatus", "o_orderpriority")])
+    return union.groupBy("project_id").agg(F.array_join(F.array_sort(F.collect_list("file")), "|").alias("at_risk"))
 
 
 # ---- run history ---------------------------------------------------------------------------------

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from threadloom.functions import text as T
 from threadloom.functions.storage import run_folder
 from threadloom.functions.ordering import ord_of
+from threadloom.operators import extraction as X
 from threadloom.operators import maintenance as N
 from threadloom.operators import merging as M
 from threadloom.operators import model_batches as B
@@ -395,10 +396,8 @@ def _(spark, sf_dir):
     + values((w, n) for listed in LEXICON.tech.values() for w, n in listed.items()) + " t(word, name) USING (word)"
 ))
 def _(spark, sf_dir):
-    names = {w: n for listed in LEXICON.tech.values() for w, n in listed.items()}
-    canonical = F.try_element_at(F.create_map(*[F.lit(x) for pair in names.items() for x in pair]), F.col("word"))
     words = F.explode(F.array_distinct(T.words(F.lower("text"), "[a-z]+")))
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", words.alias("word")).withColumn("name", canonical).filter("name IS NOT NULL")
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", words.alias("word")).withColumn("name", X.canonical_tech(F.col("word"), LEXICON)).filter("name IS NOT NULL")
 
 
 @query("f8_truncate", "SELECT doc_id, right(text, 200) AS tail, left(text, 200) AS head FROM documents")

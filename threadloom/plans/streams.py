@@ -42,14 +42,21 @@ def event_stream(spark, sf_dir) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
 
 
-@query("z1_session_windows_stream", (
-    f"SELECT * FROM ({_WINDOWS}) WHERE ended + INTERVAL 6 HOUR <= (SELECT max(ts) FROM events)"
-))
+@query("z1_session_windows_stream", _WINDOWS)
 def _(spark, sf_dir):
     folder = run_folder(spark)
-    rows = event_stream(spark, sf_dir).select(F.col("user_id").alias("path"), F.col("ts").cast("timestamp").alias("ts"))
-    closed = Z.session_windows(rows, "6 hours")
-    finish(closed, folder, lambda batch, n: batch.write.mode("overwrite").parquet(f"{folder}/out/batch={n}"))
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("path"), F.col("ts").cast("timestamp").alias("ts"))
+    rows.write.parquet(f"{folder}/landing")
+    closed = Z.session_windows(spark.readStream.schema(rows.schema).parquet(f"{folder}/landing"), "6 hours", lateness="1 day")
+
+    def keep(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/out/batch={n}")
+
+    finish(closed, folder, keep)
+    # an entry of no session, long after the last one, lets the watermark pass every open window
+    end = rows.agg((F.max("ts") + F.expr("INTERVAL 7 DAY")).alias("ts")).select(F.lit(None).cast(rows.schema["path"].dataType).alias("path"), "ts")
+    end.write.mode("append").parquet(f"{folder}/landing")
+    finish(closed, folder, keep)
     local = {c: F.col(c).cast("timestamp_ntz") for c in ("started", "ended")}
     return spark.read.parquet(f"{folder}/out").drop("batch").withColumns(local)
 

@@ -62,12 +62,16 @@ def summarise_idle(read_entries: Callable[[], DataFrame], sink: Callable[[DataFr
     return run
 
 
-def session_windows(entries: DataFrame, idle: str = "60 seconds", lateness: str = "0 seconds", at: str = "ts", key: str = "path") -> DataFrame:
+def session_windows(entries: DataFrame, idle: str = "60 seconds", lateness: str | None = None, at: str = "ts", key: str = "path") -> DataFrame:
     """Event-time form: (key, started, ended, entries) of every stretch without a longer pause.
 
     Works on batch and streaming input alike; a stream closes a stretch once the watermark passes it.
+    A stream has to say how late entries may come: later ones are left out, as Spark's progress
+    reports count (``numRowsDroppedByWatermark``).
     """
     window = F.session_window(at, idle)
+    if entries.isStreaming and lateness is None:
+        raise ValueError("a stream of entries needs its lateness, such as '1 day'")
     marked = entries.withWatermark(at, lateness) if entries.isStreaming else entries
     counted = marked.groupBy(key, window.alias("w")).agg(F.count(F.lit(1)).alias("entries"), F.max(at).alias("ended"))
     return counted.select(key, F.col("w.start").alias("started"), "ended", "entries")
