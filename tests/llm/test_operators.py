@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -111,6 +112,22 @@ def test_decontamination(spark):
     assert without_contaminated(docs, bench.limit(0)).count() == 7
 
 
+def test_decontamination_finds_every_accepted_window(spark):
+    """All placements of as many substitutions as verification accepts, from even and odd words on."""
+    items = {w: [f"w{w}x{k}" for k in range(w)] for w in range(8, 14)}
+    rows, want = [], set()
+    for w, item in items.items():
+        spare = w // 5  # 0.8 of the places are equal
+        for gone in combinations(range(w), spare):
+            for before in ([], ["before"]):
+                worn = ["other" if k in gone else word for k, word in enumerate(item)]
+                want.add((len(rows), w, w - spare))
+                rows.append((len(rows), " ".join(before + worn)))
+    bench = spark.createDataFrame([(w, " ".join(item)) for w, item in items.items()], "item_id long, text string")
+    found = {tuple(r) for r in contaminated(docs_of(spark, rows), bench).select("_id", "item_id", "matched").collect()}
+    assert found == want
+
+
 def test_near_embeddings(spark):
     rng = np.random.default_rng(3)
     centres = rng.normal(size=(6, 20))
