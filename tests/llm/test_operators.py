@@ -128,6 +128,14 @@ def test_decontamination_finds_every_accepted_window(spark):
     assert found == want
 
 
+def test_decontamination_of_short_items_and_items_without_id(spark):
+    bench = spark.createDataFrame([(1, "Solo"), (2, "two words"), (3, "a b c d e"), (4, "p q r s t u v"), (5, "..."), (None, "no id here")], "item_id long, text string")
+    rows = [(1, "x solo y"), (2, "two, words"), (3, "two other words"), (4, "a b z d e"), (5, "b c d e"), (6, "a b z z e"), (7, "1 p q r s t u x"), (8, "not p q r x t u x"), (9, "No id here!"), (10, "no id"), (11, None), (12, "")]
+    docs = docs_of(spark, rows)
+    assert {tuple(r) for r in contaminated(docs, bench).select("_id", "item_id", "matched").collect()} == {(1, 1, 1), (2, 2, 2), (4, 3, 4), (5, 3, 4), (7, 4, 6)}
+    assert {r["doc_id"] for r in without_contaminated(docs, bench).collect()} == {3, 6, 8, 10, 11, 12}
+
+
 def test_near_embeddings(spark):
     rng = np.random.default_rng(3)
     centres = rng.normal(size=(6, 20))
