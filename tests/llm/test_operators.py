@@ -20,7 +20,7 @@ from threadloom.llm.common import load_tokenizer
 from threadloom.llm.components import components
 from threadloom.llm.decontamination import contaminated, without_contaminated
 from threadloom.llm.embeddings import near_embeddings
-from threadloom.llm.packing import pack
+from threadloom.llm.packing import best_fit, pack
 from threadloom.llm.quality import with_quality
 from threadloom.llm.personal_data import find_personal_data, joined, without_personal_data
 from threadloom.llm.simhash import hex_of, near_duplicates
@@ -254,6 +254,19 @@ def test_packing(spark, corpus):
     assert pack(docs_of(spark, corpus).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("short", "long"), [((5, 25), [2000] * 10), ((4, 20), [1500])])
+def test_short_texts_fill_bins_beside_long_ones(spark, short, long):
+    rng = random.Random(8)
+    sizes = [rng.randint(*short) for _ in range(10_000)] + long
+    rows = best_fit(spark.createDataFrame(list(enumerate(sizes)), "id long, size long")).collect()
+    assert sorted(r["id"] for r in rows) == list(range(len(sizes)))
+    used = Counter()
+    for r in rows:
+        used[r["bin"]] += sizes[r["id"]]
+    assert max(used.values()) <= 2048
+    assert len(used) <= -(-sum(sizes) // 2048) + 1
+
+
 PERSONAL = [
     (1, "a@b.co x@y z.q@@w.x.y"), (2, "1.2.3.4 256.1.1.1 1.2.3.4.5.6 00000000300.1.1.1"), (3, "4539 1488 0343 6467 and 4539148803436468 12345"),
     (4, "call +1 (988) 555-2485. or +12 +1 2 3 4 5 6 7 8"), (5, None), (6, ""), (7, "é +49 30 123456 mail: ab@cd.ef.gh. 10.0.0.255"), (8, "@" * 3000 + "a" * 5000), (9, "a.b@c.d@e.f"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 import struct
 import zlib
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -117,41 +118,66 @@ def _sweep(items: DataFrame) -> DataFrame:
     )
 
 
+def _histogram(frame: DataFrame, size: str, capacity: int) -> np.ndarray:
+    """Rows of each size from 0 to ``capacity``."""
+    counts = np.zeros(capacity + 1, dtype=np.int64)
+    for row in frame.groupBy(F.col(size).alias("size")).agg(F.count(F.lit(1)).alias("n")).collect():  # ``capacity`` + 1 rows at most
+        counts[row["size"]] = row["n"]
+    return counts
+
+
+def _needed(docs: np.ndarray, gaps: np.ndarray, capacity: int) -> int:
+    """Bins without which the open documents cannot fit into the open gaps, from the counts of each size.
+
+    The tokens left may outnumber the room of the gaps that take any; and of the documents of some
+    size or more, a gap or a bin takes no more than that size goes into it.
+    """
+    sizes = np.arange(capacity + 1)
+    least = int(np.flatnonzero(docs)[0])
+    short = int(docs @ sizes - (gaps * sizes)[least:].sum())
+    needed = max(0, -(-short // capacity))
+    at_least = docs[::-1].cumsum()[::-1]
+    for size in np.flatnonzero(docs):
+        over = int(at_least[size] - (gaps * (sizes // size)).sum())
+        needed = max(needed, -(-over // (capacity // int(size))))
+    return needed
+
+
 def best_fit(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Packs ``items`` (id, size: 1 to ``capacity``; ids unique) into bins: (id, bin, offset).
 
-    Rounds of sweeps over all open documents and gaps. The first opens as many bins as the total
-    length asks for. A gap that holds the longest open document several times is offered in as many
-    slots. When a sweep places less than a hundredth of the documents, bins for what is left are
-    opened. Gaps that the shortest open document does not fit are shut. Offsets come last, from the
-    documents of each bin, of which there are at most ``capacity``.
+    Rounds of sweeps over all open documents and gaps. Before each, as many bins are opened as the open
+    documents need beyond the open gaps, no more: then all documents of the greatest size find a place.
+    A gap that holds the longest open document several times is offered in as many slots. Gaps that the
+    shortest open document does not fit are shut. Offsets come last, from the documents of each bin,
+    of which there are at most ``capacity``.
     """
     spark = items.sparkSession
     slice_of = F.pmod(F.xxhash64("id", "slot"), F.lit(_BUCKETS)).cast("int")
-    state = [F.count(F.lit(1)).alias("n"), F.sum("size").alias("total"), F.min("size").alias("least"), F.max("size").alias("most")]
     docs = items.select(F.lit(1).alias("kind"), "id", F.lit(0).cast("long").alias("slot"), F.col("size").cast("long"), F.lit(0).cast("long").alias("room"))
     placed = [docs.filter(F.col("size") >= capacity).select("id", F.col("id").alias("bin"), "size")]
     docs = docs.filter(F.col("size") < capacity)
     gaps, opened = spark.createDataFrame([], "id long, room long"), 0
-    left, stuck = docs.agg(*state).first(), True
-    while left["n"]:
-        if stuck:
-            n = -(-left["total"] // capacity)
+    left, rooms = _histogram(docs, "size", capacity), np.zeros(capacity + 1, dtype=np.int64)
+    while left.any():
+        n = _needed(left, rooms, capacity)
+        if n:
             # negative numbers: bins of full documents are named by the document
             new = spark.range(-opened - n, -opened, numPartitions=max(1, n // 200_000))
             gaps, opened = gaps.union(new.select("id", F.lit(capacity).cast("long").alias("room"))), opened + n
-        slots = F.greatest(F.floor(F.col("room") / left["most"]), F.lit(1).cast("long"))
+        least, most = (int(np.flatnonzero(left)[k]) for k in (0, -1))
         offered = (
-            gaps.filter(F.col("room") >= left["least"])
-            .withColumn("slots", slots)
+            gaps.filter(F.col("room") >= least)
+            .withColumn("slots", F.greatest(F.floor(F.col("room") / most), F.lit(1).cast("long")))
             .select(F.lit(0).alias("kind"), "id", F.explode(F.expr("sequence(1L, slots)")).alias("slot"), F.floor(F.col("room") / F.col("slots")).alias("size"), "room")
         )
         swept = materialise(_sweep(docs.unionByName(offered).withColumn("slice", slice_of)))
         placed.append(swept.filter(F.col("bin").isNotNull()).select("id", "bin", "size"))
         docs = swept.filter((F.col("kind") == 1) & F.col("bin").isNull()).select("kind", "id", "slot", "size", "room")
         gaps = swept.filter("kind = 0").groupBy("id").agg((F.max("room") - F.sum("taken")).alias("room"))
-        before, left = left["n"], docs.agg(*state).first()
-        stuck = (before - left["n"]) * 100 < before
+        left = _histogram(docs, "size", capacity)
+        if left.any():
+            rooms = _histogram(gaps, "room", capacity)
     out = placed[0]
     for more in placed[1:]:
         out = out.unionByName(more)
