@@ -7,8 +7,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from threadloom.functions.shipping import ship_package
 
@@ -31,7 +33,7 @@ def keyed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     return docs.select(F.col(doc_id).alias("_id"), text_key(doc_id, text).alias("_key"), F.col(text).alias("_text"))
 
 
-def map_arrow(df: DataFrame, fn: Callable[[Batches], Batches], schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, fn: Callable[[Batches], Batches], schema: str | StructType) -> DataFrame:
     ship_package(df.sparkSession)
     return df.mapInArrow(fn, schema)
 
@@ -90,3 +92,20 @@ class Sieve:
     def passes(self, hashes: np.ndarray) -> np.ndarray:
         place = np.mod(hashes, SIEVE_BITS)
         return (self.shared.value[place >> 6] >> (place & 63)) & 1 == 1
+
+
+def sized(batch: pa.RecordBatch, column: int, most: int = 16 << 20) -> Batches:
+    """Row ranges of ``batch`` whose values of one column take about ``most`` bytes together, one row at least."""
+    if not batch.num_rows:
+        return
+    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    blocks = np.cumsum(lengths) // most
+    starts = np.concatenate([[0], np.flatnonzero(np.diff(blocks)) + 1, [batch.num_rows]])
+    for a, b in zip(starts[:-1], starts[1:]):
+        yield batch.slice(a, b - a)
+
+
+def id_and_text(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, str]:
+    """(doc_id, _text) of ``docs``, columns taken by their whole names, and the DDL type of the id."""
+    quoted = lambda name: F.col("`" + name.replace("`", "``") + "`")
+    return docs.select(quoted(doc_id).alias("doc_id"), quoted(text).alias("_text")), docs.schema[doc_id].dataType.simpleString()

@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from threadloom.llm.byte_bpe import decode_ids, encode_texts
 from threadloom.llm.decontamination import contaminated
 from threadloom.llm.embeddings import near_embeddings
+from threadloom.llm.fill_in_middle import fill_in_middle, restored
 from threadloom.llm.packing import pack
+from threadloom.llm.periodic_runs import periodic_runs, strongest
 from threadloom.llm.personal_data import KINDS, find_personal_data, joined
 from threadloom.llm.quality import with_quality
 from threadloom.llm.samples import held_out
@@ -79,6 +82,39 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
 
 
+def tiled(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): in a tenth of the documents, a hash of the id makes all words from one place on repeat."""
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    chosen = docs.select("doc_id", "text", h.alias("h")).withColumn("words", F.when(F.col("h") % 10 == 0, words))
+    g, n = F.floor(F.col("h") / 10), F.size("words")
+    start = F.when(n > 0, g % n)
+    placed = chosen.withColumns({"n": n, "a": start, "p": 1 + F.floor((n - start) / (3 + g % 8))})
+    place = F.expr("transform(sequence(0, n - 1), i -> words[CAST(IF(i >= a, a + (i - a) % p, i) AS INT)])")
+    return placed.select("doc_id", F.when(F.col("n") > 0, F.array_join(place, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs(tiled(_table(spark, sf_dir, "documents"))).withColumn("best", strongest())
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.floor(F.col("best.length") * 1000 / F.col("best.period")).cast("long").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform(lines, lambda line: F.concat(line, F.lit("\n"))), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = decode_ids(encode_texts(_table(spark, sf_dir, "documents")))
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle(_table(spark, sf_dir, "documents"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restored(), 256).alias("restored_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -92,6 +128,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_best_fit_packing,
         op9_quality,
         op10_personal_data,
+        op11_periodic_runs,
+        op12_byte_bpe,
+        op13_fill_in_middle,
     )
 }
 ORACLES: dict[str, str] = {"op7_url_filters": verdict_sql()}
