@@ -17,25 +17,28 @@ from threadloom.functions.shipping import ship_package
 Batches = Iterator[pa.RecordBatch]
 
 
-def text_key(doc_id: str | Column = "doc_id", text: str | Column = "text") -> Column:
-    """Tells rows of one id apart by their text, so that repeated ids are safe join keys.
-
-    Four bytes next to an id, eight where the id is null and the text alone must tell rows apart.
-    """
-    doc_id = F.col(doc_id) if isinstance(doc_id, str) else doc_id
+def text_key(text: str | Column = "text") -> Column:
+    """128 bits of the text that tell rows of one id, or of none, apart: repeated ids are safe join keys."""
     text = F.col(text) if isinstance(text, str) else text
-    digest = F.xxhash64(text)
-    return F.when(doc_id.isNull(), digest).otherwise(digest.bitwiseAND(F.lit(0xFFFFFFFF)))
+    return F.coalesce(F.unhex(F.md5(text)), F.lit(b""))  # a null text is not an empty one
 
 
 def keyed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(_id, _key, _text): the columns that operators work on, whatever else ``docs`` carries."""
-    return docs.select(F.col(doc_id).alias("_id"), text_key(doc_id, text).alias("_key"), F.col(text).alias("_text"))
+    return docs.select(F.col(doc_id).alias("_id"), text_key(text).alias("_key"), F.col(text).alias("_text"))
 
 
 def map_arrow(df: DataFrame, fn: Callable[[Batches], Batches], schema: str | StructType) -> DataFrame:
+    """``df.mapInArrow``, also for columns whose names hold dots."""
     ship_package(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+    names = df.columns
+    if not any("." in name or "`" in name for name in names):
+        return df.mapInArrow(fn, schema)
+
+    def renamed(batches: Batches) -> Batches:
+        return fn(batch.rename_columns(names) for batch in batches)
+
+    return df.toDF(*[f"c{n}" for n in range(len(names))]).mapInArrow(renamed, schema)
 
 
 def as_bytes(column: pa.Array) -> list[bytes | None]:
@@ -55,6 +58,12 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def quoted(name: str, frame: str | None = None) -> Column:
+    """A column by its whole name, whatever characters it holds, of an aliased frame if given."""
+    whole = "`" + name.replace("`", "``") + "`"
+    return F.col(f"{frame}.{whole}" if frame else whole)
+
+
 def tokenizer_file(name: str) -> str:
     """A tokenizer's place on the machine that asks: a path as it is, else a public one by name."""
     if os.sep in name:
@@ -107,5 +116,4 @@ def sized(batch: pa.RecordBatch, column: int, most: int = 16 << 20) -> Batches:
 
 def id_and_text(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, str]:
     """(doc_id, _text) of ``docs``, columns taken by their whole names, and the DDL type of the id."""
-    quoted = lambda name: F.col("`" + name.replace("`", "``") + "`")
     return docs.select(quoted(doc_id).alias("doc_id"), quoted(text).alias("_text")), docs.schema[doc_id].dataType.simpleString()

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import Batches, fresh, map_arrow
+from threadloom.llm.common import Batches, fresh, map_arrow, quoted
 
 KINDS = ("email", "ip", "card", "phone")
 _HOST = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -28,8 +28,7 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 
 _SPELT_AT = re.compile(r"[\[({]\x20?at\x20?[\])}]", re.IGNORECASE)
-_SPELT_LEFT = re.compile(r"[A-Za-z0-9._%+-]{1,64}\x20?\Z")
-_SPELT_RIGHT = re.compile(r"\x20?[A-Za-z0-9-]{1,63}(?:(?:\.|\x20?[\[({]\x20?dot\x20?[\])}]\x20?)[A-Za-z0-9-]{1,63}){1,4}", re.IGNORECASE)
+_SPELT_RIGHT = re.compile(r"\x20?[A-Za-z0-9-]++(?:(?:\.|\x20?[\[({]\x20?dot\x20?[\])}]\x20?)[A-Za-z0-9-]++)++", re.IGNORECASE)
 _LOCAL_PHONE = re.compile(r"(?<![0-9+.-])(?:\([0-9]{2,4}\)\x20?|0[0-9]{1,4}[\x20./-]|[0-9]{3}[\x20.-])[0-9]{3,4}[\x20.-]?[0-9]{3,5}(?![0-9-])")
 
 # Gazetteers and context words
@@ -59,13 +58,19 @@ def _only_digits(text: str) -> str:
     return "".join(_DIGIT.findall(text))
 
 
+def _local_start(text: str, end: int, free: int = 0) -> int:
+    """Where the run of local characters before ``end`` begins, not before ``free``."""
+    start = end
+    while start > free and text[start - 1] in _LOCAL:
+        start -= 1
+    return start
+
+
 def _emails(text: str) -> list[Span]:
     """Around each @: the run of local characters before it, not into the match before, and a host with a dot."""
     out, free, at = [], 0, text.find("@")
     while at >= 0:
-        start = at
-        while start > free and text[start - 1] in _LOCAL:
-            start -= 1
+        start = _local_start(text, at, free)
         host = _HOST.match(text, at + 1) if start < at else None
         if host:
             out.append(("email", start, host.end()))
@@ -93,9 +98,10 @@ def base_and_near(text: str) -> tuple[list[Span], list[Span]]:
                 (base if 8 <= len(_only_digits(m[0])) <= 15 else near).append(("phone", *m.span()))
         near += [("phone", *m.span()) for m in _LOCAL_PHONE.finditer(text)]
     for m in _SPELT_AT.finditer(text):
-        left, right = _SPELT_LEFT.search(text, max(0, m.start() - 65), m.start()), _SPELT_RIGHT.match(text, m.end())
-        if left and right:
-            near.append(("email", left.start(), right.end()))
+        end = m.start() - (text[m.start() - 1 : m.start()] == " ")
+        left, right = _local_start(text, end), _SPELT_RIGHT.match(text, m.end())
+        if left < end and right:
+            near.append(("email", left, right.end()))
     if near:
         taken = sorted((s, e) for _, s, e in base)
         starts = np.array([s for s, _ in taken] or [0])
@@ -233,7 +239,7 @@ def without_personal_data(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with the personal data in its texts replaced by kinds in brackets; all rows and columns stay."""
     base, spans, redacted = fresh(docs, "_base", "_spans", "_redacted")
     found = find_personal_data(docs, text, base, spans, redacted)
-    return found.select(*[F.col(redacted).alias(text) if c == text else F.col(c) for c in docs.columns])
+    return found.select(*[F.col(redacted).alias(text) if c == text else quoted(c) for c in docs.columns])
 
 
 def joined(spans: str):

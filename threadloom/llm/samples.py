@@ -15,7 +15,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, f
     """(_text, _label, *extra) of at most ``rows`` labelled documents outside the held-out fold.
 
     The ids with the least hashes are taken, so the sample does not depend on partitions. Ids labelled
-    more than once take the greatest label; null labels and ids are left out.
+    more than once take the greatest label; null labels and ids are left out. Of rows that share an id the
+    one with the least hash of its text is taken.
     """
     ids = (
         labels.select(F.col("doc_id").alias("_doc"), F.col(label).cast("int").alias("_label"))
@@ -26,4 +27,6 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, f
         .limit(rows)
     )
     chosen = F.broadcast(ids)  # two numbers for each of at most ``rows`` rows
-    return docs.join(chosen, F.col(doc_id) == F.col("_doc")).select(F.col("text").alias("_text"), "_label", *extra)
+    joined = docs.join(chosen, F.col(doc_id) == F.col("_doc"))
+    one = F.min(F.struct(F.xxhash64("text").alias("hash"), F.col("text").alias("_text"), *extra)).alias("one")
+    return joined.groupBy("_doc", "_label").agg(one).select("one._text", "_label", *[f"one.{c}" for c in extra])

@@ -47,7 +47,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
             prints = np.array([fingerprint(t or b"", shingle) for t in as_bytes(batch.column(2))], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(prints.view(np.int64))], ["_id", "_key", "fp"])
 
-    return map_arrow(keyed(docs, doc_id, text), run, "_id long, _key long, fp long")
+    return map_arrow(keyed(docs, doc_id, text), run, "_id long, _key binary, fp long")
 
 
 def hex_of(fp: str | Column = "fp") -> Column:

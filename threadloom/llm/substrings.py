@@ -29,7 +29,7 @@ WINDOW = 50
 KMER = 16
 _BASE = 0x9E3779B97F4A7C15 | 1  # odd, so that its powers have inverses modulo 2 ** 64
 _BITS = 64
-_PLACE_BITS = 26  # places of one batch's words
+_PLACE_BITS = 32  # places of one batch's words: more than a text can have
 
 
 class WordHashes(dict):
@@ -149,7 +149,7 @@ def document_paths(docs: DataFrame, window: int = WINDOW, kmer: int = KMER, want
                     ["_id", "_key", "start", "n", "anchor", "path"],
                 )
 
-    return map_arrow(docs, run, "_id long, _key long, start int, n int, anchor long, path long")
+    return map_arrow(docs, run, "_id long, _key binary, start int, n int, anchor long, path long")
 
 
 def _row_hash():
@@ -163,7 +163,7 @@ def _sieved(docs: DataFrame, wanted: Sieve, through: bool = True) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(wanted.passes(batch.column(3).to_numpy()) == through)).select(["_id", "_key", "_text"])
 
-    return map_arrow(docs.withColumn("h", _row_hash()), run, "_id long, _key long, _text string")
+    return map_arrow(docs.withColumn("h", _row_hash()), run, "_id long, _key binary, _text string")
 
 
 def _settled_branches(docs: DataFrame, branching: DataFrame, window: int) -> DataFrame:

@@ -100,12 +100,12 @@ def token_counts(
                     else:
                         total += pieces * n
                 # no pre-token has a space: this key meets no pre-token, and spreads evenly
-                rows.append((doc, key, len(t or b""), total, b" %d" % key, 0))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64())
+                rows.append((doc, key, len(t or b""), total, b" " + key, 0))
+            kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.int64())
             columns = zip(*rows) if rows else [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["_id", "_key", "n_bytes", "known", "pretoken", "n"])
 
-    weighed = map_arrow(keyed(docs, doc_id, text), weigh, "_id long, _key long, n_bytes long, known long, pretoken binary, n long")
+    weighed = map_arrow(keyed(docs, doc_id, text), weigh, "_id long, _key binary, n_bytes long, known long, pretoken binary, n long")
     rare = vocabulary.filter(~common).select("pretoken", "pieces")
     summed = (
         weighed.join(rare, "pretoken", "left")

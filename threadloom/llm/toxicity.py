@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import Batches, fresh, map_arrow
+from threadloom.llm.common import Batches, fresh, map_arrow, quoted
 from threadloom.llm.samples import held_out, labelled_sample
 
 SAMPLE_ROWS = 12_000
@@ -205,7 +205,7 @@ def with_toxicity(docs: DataFrame, labels: DataFrame, score: str = "toxicity", r
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, rows: int = SAMPLE_ROWS) -> DataFrame:
     """Rows of ``docs`` that score below ``threshold``, with their own columns."""
     (score,) = fresh(docs, "_toxicity")
-    return with_toxicity(docs, labels, score, rows).filter(F.col(score) < threshold).select(*docs.columns)
+    return with_toxicity(docs, labels, score, rows).filter(F.col(score) < threshold).select(*map(quoted, docs.columns))
 
 
 __all__ = ["fit", "held_out", "label_model", "train", "with_toxicity", "without_toxic"]

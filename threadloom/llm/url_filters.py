@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.functions.storage import materialise
+from threadloom.llm.common import fresh, quoted
 
 # Rules of the contract: verdict, host, path.
 RULES = (
@@ -17,7 +19,7 @@ RULES = (
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 )
-DEPTH = 3  # segments of a path in its template; deeper ones count as present only
+ADDED = ("_host", "_path", "_rule", "_template", "_share", "_verdict")
 LEAST_PAGES = 8  # pages, or hosts, that keep a segment literal
 LEAST_HOSTS = 3
 STRENGTH = 4.0  # pages that the pooled share of a template weighs against a host's own
@@ -43,18 +45,45 @@ def rule_of(host: str, path: str, rules: Sequence[tuple[str, str, str]] = RULES)
     return cases if cases is not None else F.lit(None).cast("struct<rule:string,verdict:string>")
 
 
-def _shape(path: str, depth: int) -> Column:
-    """Segments of a path with those that hold a digit as ``*``, cut after ``depth`` with a last ``**``."""
+def _shape(path: str) -> Column:
+    """Segments of a path with those that hold a digit as ``*``."""
     segments = F.filter(F.split(F.col(path), "/"), lambda s: s != "")
-    marked = F.transform(segments, lambda s: F.when(s.rlike("[0-9]"), F.lit("*")).otherwise(s))
-    return F.when(F.size(marked) > depth, F.concat(F.slice(marked, 1, depth), F.array(F.lit("**")))).otherwise(marked)
+    return F.transform(segments, lambda s: F.when(s.rlike("[0-9]"), F.lit("*")).otherwise(s))
+
+
+def _templates(counted: DataFrame, least_pages: int, least_hosts: int) -> DataFrame:
+    """``counted`` with ``template``, grown by a segment a round until no path has a further one.
+
+    What lies below a template that too few pages of its host and too few hosts have can only be
+    wildcards: such paths are finished at once, so rounds go only as deep as paths are shared.
+    """
+    growing, done = materialise(counted.withColumn("template", F.lit(""))), []
+    level = 0
+    while not growing.isEmpty():
+        segment = F.get("_shape", F.lit(level))
+        done.append(growing.filter(segment.isNull()).drop("seen", "hosts"))
+        open_ = growing.withColumn("segment", segment).filter("segment is not null")
+        nodes = open_.groupBy("_host", "template", "segment").agg(F.sum("pages").alias("seen"))
+        hosts = nodes.groupBy("template", "segment").agg(F.count(F.lit(1)).alias("hosts"))
+        shared = (F.col("seen") >= least_pages) | (F.col("hosts") >= least_hosts)
+        named = nodes.join(hosts, ["template", "segment"]).select("_host", "template", "segment", F.when(shared, F.col("segment")).otherwise("*").alias("name"))
+        grown = open_.join(named, ["_host", "template", "segment"]).withColumn("template", F.concat("template", F.lit("/"), "name")).drop("segment", "name")
+        level += 1
+        own = grown.groupBy("_host", "template").agg(F.sum("pages").alias("seen"))
+        spread = own.groupBy("template").agg(F.count(F.lit(1)).alias("hosts"))
+        counts = own.join(spread, "template")
+        grown = materialise(grown.join(counts, ["_host", "template"]))
+        rare = (F.col("seen") < least_pages) & (F.col("hosts") < least_hosts)
+        rest = F.concat("template", F.repeat(F.lit("/*"), F.size("_shape") - level))
+        done.append(grown.filter(rare).withColumn("template", rest).drop("seen", "hosts"))
+        growing = grown.filter(~rare).drop("seen", "hosts")
+    return reduce(DataFrame.unionByName, done) if done else growing
 
 
 def judge_urls(
     pages: DataFrame,
     url: str = "url",
     rules: Sequence[tuple[str, str, str]] = RULES,
-    depth: int = DEPTH,
     least_pages: int = LEAST_PAGES,
     least_hosts: int = LEAST_HOSTS,
     strength: float = STRENGTH,
@@ -70,35 +99,21 @@ def judge_urls(
     hosts, and that towards the share of all labelled pages; a template is rejected from a half on.
 
     Pages are counted by host and shape before anything is shuffled, and the tree works on these counts.
-    Null and broken urls have an empty host and path and are judged like other pages. Names that
-    ``pages`` has already must not begin with these underscored names.
+    Null and broken urls have an empty host and path and are judged like other pages; rows that repeat
+    are judged alike. Columns of ``pages`` with the names of the added ones are replaced by them.
     """
-    host, path = host_and_path(url)
-    judged = (
-        pages.withColumn("_host", host)
-        .withColumn("_path", path)
-        .withColumn("_found", rule_of("_host", "_path", rules))
-        .withColumn("_shape", _shape("_path", depth))
-    )
-    blocked = F.col("_found.verdict") == "block"
-    counted = judged.groupBy("_host", "_shape").agg(
+    kept = [c for c in pages.columns if c.lower() not in ADDED]
+    host, path = host_and_path(quoted(url))
+    judged = pages.select(*[quoted(c) for c in kept], host.alias("_host"), path.alias("_path"))
+    found, shape, own_host, own_shape, template, share_of = fresh(judged, "_found", "_shape", "_on_host", "_of_shape", "_template", "_share")
+    judged = judged.withColumn(found, rule_of("_host", "_path", rules)).withColumn(shape, _shape("_path"))
+    blocked = F.col(f"{found}.verdict") == "block"
+    counted = judged.groupBy("_host", F.col(shape).alias("_shape")).agg(
         F.count(F.lit(1)).alias("pages"),
-        F.count("_found.verdict").alias("labelled"),
+        F.count(f"{found}.verdict").alias("labelled"),
         F.sum(F.when(blocked, 1).otherwise(0)).alias("blocked"),
     )
-    tree = materialise(counted.withColumn("template", F.lit("")))
-    for level in range(depth + 1):
-        segment = F.get("_shape", F.lit(level))
-        tree = tree.withColumn("segment", segment)
-        nodes = tree.filter("segment is not null").groupBy("_host", "template", "segment").agg(F.sum("pages").alias("seen"))
-        hosts = nodes.groupBy("template", "segment").agg(F.count(F.lit(1)).alias("hosts"))
-        stays = (F.col("seen") >= least_pages) | (F.col("hosts") >= least_hosts) | F.col("segment").isin("*", "**")
-        kept = nodes.join(hosts, ["template", "segment"]).select("_host", "template", "segment", F.when(stays, F.col("segment")).otherwise("*").alias("name"))
-        tree = materialise(
-            tree.join(kept, ["_host", "template", "segment"], "left")
-            .withColumn("template", F.when(F.col("name").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), "name")))
-            .drop("segment", "name")
-        )
+    tree = _templates(counted, least_pages, least_hosts)
     branches = materialise(tree.groupBy("_host", "template").agg(F.sum("labelled").alias("n"), F.sum("blocked").alias("b")))
     host_sums = branches.groupBy("_host").agg(F.sum("n").alias("host_n"), F.sum("b").alias("host_b"))
     everywhere = branches.groupBy("template").agg(F.sum("n").alias("all_n"), F.sum("b").alias("all_b"))
@@ -113,15 +128,10 @@ def judge_urls(
         F.when(merged, F.col("host_n")).otherwise(F.col("n")) + F.lit(strength)
     )
     scored = branches.join(host_sums, "_host").join(everywhere, "template").select("_host", "template", share.alias("share"))
-    shapes = tree.select("_host", "_shape", "template").join(scored, ["_host", "template"])
-    out = judged.join(shapes, ["_host", "_shape"], "left")
-    verdict = F.coalesce(F.col("_found.verdict"), F.when(F.col("share") >= 0.5, F.lit("block")).otherwise(F.lit("allow")))
-    return out.select(
-        *[out[c] for c in pages.columns],
-        "_host",
-        "_path",
-        F.col("_found.rule").alias("_rule"),
-        F.col("template").alias("_template"),
-        F.col("share").alias("_share"),
-        verdict.alias("_verdict"),
+    shapes = tree.join(scored, ["_host", "template"]).select(
+        F.col("_host").alias(own_host), F.col("_shape").alias(own_shape), F.col("template").alias(template), F.col("share").alias(share_of)
     )
+    out = judged.join(shapes, (F.col("_host") == F.col(own_host)) & (F.col(shape) == F.col(own_shape)), "left")
+    verdict = F.coalesce(F.col(f"{found}.verdict"), F.when(F.col(share_of) >= 0.5, F.lit("block")).otherwise(F.lit("allow")))
+    added = (F.col("_host"), F.col("_path"), F.col(f"{found}.rule"), F.col(template), F.col(share_of), verdict)
+    return out.select(*[quoted(c) for c in kept], *[column.alias(name) for column, name in zip(added, ADDED)])
