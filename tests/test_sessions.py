@@ -1,5 +1,6 @@
 import json
 import time
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -91,26 +92,66 @@ def test_plan_tasks_match_significant_words(spark):
     assert [r.done for r in A.match_plan_tasks(tasks, changes).orderBy("ord").collect()] == [True, False, False, False]
 
 
-def test_idle_session_is_emitted_and_emitted_again(spark, tmp_path):
-    landing, out = tmp_path / "logs", tmp_path / "out"
-    landing.mkdir()
-    (landing / "s1.jsonl").write_text("\n".join(LOG) + "\n")
-    stream = spark.readStream.text(str(landing)).select(F.col("_metadata.file_name").alias("path"))
-    summaries = []
+def logged(spark, lines, first_seq, paths=("s1.jsonl",)):
+    return spark.createDataFrame([(p, p, 1, first_seq + n, line) for p in paths for n, line in enumerate(lines)], "path STRING, stem STRING, size LONG, seq LONG, line STRING")
 
-    def read():
-        return S.read_session_entries(S.read_session_lines(spark, str(landing)).withColumn("path", F.regexp_replace("stem", "^(s1).*", "s1.jsonl")))
 
-    each = Z.summarise_idle(read, lambda df, n: summaries.extend(df.collect()))
-    idle = Z.idle_sessions(stream.select(F.regexp_replace("path", "^(s1).*", "s1.jsonl").alias("path")), idle_seconds=2)
-    run = idle.writeStream.foreachBatch(each).option("checkpointLocation", str(out)).trigger(processingTime="1 second").start()
+def test_idle_session_is_emitted_whole_and_again_when_it_goes_on(spark, tmp_path):
+    landing, facts, summaries = str(tmp_path / "logs"), [], []
+    first = logged(spark, LOG, 0, ("s1.jsonl", "s2.jsonl"))
+    late = logged(spark, [entry("assistant", [call("Write", file_path="late.py"), call("Bash", command="make late")])], 100)
+    first.write.parquet(landing)
+
+    def each(df, n):
+        got = df.persist()
+        if got.count():
+            facts.append(got.collect())
+            Z.summarise_idle(lambda s, _: summaries.append({r.path: r for r in s.collect()}))(got, n)
+
+    with Z.keyed_state(spark):
+        stream = S.read_session_entries(spark.readStream.schema(first.schema).parquet(landing))
+        run = Z.idle_sessions(stream, idle_seconds=2).writeStream.foreachBatch(each).option("checkpointLocation", str(tmp_path / "out")).trigger(processingTime="1 second").start()
     try:
-        for wanted in (1, 2):
-            until = time.time() + 60
-            while len(summaries) < wanted and time.time() < until:
+        for wanted in (2, 3):
+            until = time.time() + 90
+            while sum(map(len, summaries)) < wanted and time.time() < until:
                 time.sleep(0.5)
-            assert len(summaries) == wanted
-            (landing / "s1b.jsonl").write_text(entry("assistant", [call("Write", file_path="late.py")]) + "\n")
+            assert sum(map(len, summaries)) == wanted, run.exception()
+            late.write.mode("append").parquet(landing)
     finally:
         run.stop()
-    assert [s.files_changed for s in summaries] == [3, 4]
+    assert [s["s1.jsonl"].files_changed for s in summaries if "s1.jsonl" in s] == [3, 4]
+    assert [s["s2.jsonl"].files_changed for s in summaries if "s2.jsonl" in s] == [3]
+    # what the stream merged is what the batch operator aggregates from the whole log
+    whole = A.session_facts(S.read_session_entries(first.filter("path = 's1.jsonl'").unionByName(late)))
+    columns = whole.columns
+    emitted = [tuple(r[c] for c in columns) for r in facts[-1] if r.path == "s1.jsonl"]
+    assert sorted(emitted, key=repr) == sorted((tuple(r) for r in whole.collect()), key=repr)
+
+
+def test_digests_merge_in_any_order():
+    parts = [(seq, 0, f"v{seq}", seq, 0, f"v{seq}", 1, *[x for k in range(4) for x in ((seq, f"f{k}{seq}") if (seq + k) % 3 else (None, None))]) for seq in range(6)]
+    whole = None
+    for p in parts:
+        whole = Z._merged(whole, p)
+    halves = [None, None]
+    for n, p in enumerate(reversed(parts)):
+        halves[n % 2] = Z._merged(halves[n % 2], p)
+    assert Z._merged(*halves) == whole and whole[:7] == (0, 0, "v0", 5, 0, "v5", 6)
+
+
+@pytest.mark.parametrize("kind", ["timestamp", "timestamp_ntz"])
+def test_windows_of_hot_keys_equal_those_of_spark(spark, kind, monkeypatch):
+    monkeypatch.setattr(Z, "CELLS", 3)
+    us = F.when(F.col("id") % 3 == 0, F.col("id") * 7_000_000).otherwise(F.pmod(F.xxhash64("id"), F.lit(20_000 * 60_000_000)))
+    rows = spark.range(6000).select(
+        F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 7 > 0, F.concat(F.lit("k"), F.col("id") % 5)).alias("path"), (us - 9_000_000_000).alias("us")
+    ).withColumn("ts", F.timestamp_micros("us").cast(kind))
+    rows = rows.unionByName(rows.limit(500)).unionByName(rows.limit(3).withColumn("ts", F.lit(None).cast(kind)))
+    for idle in ("60 seconds", "10 minutes", "20 seconds"):
+        want = rows.groupBy("path", F.session_window("ts", idle).alias("w")).agg(F.count(F.lit(1)).alias("n"), F.max("ts").alias("ended"))
+        want = Counter(tuple(r) for r in want.select("path", "w.start", "ended", "n").collect())
+        got = Z.session_windows(rows, idle)
+        assert got.schema["started"].dataType.simpleString() == kind
+        assert Counter(tuple(r) for r in got.select("path", "started", "ended", "entries").collect()) == want
+    assert Z.session_windows(rows.limit(0)).count() == 0

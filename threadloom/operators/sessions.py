@@ -86,8 +86,11 @@ def _decision_facts(text: Column) -> Column:
     )
 
 
-def session_facts(entries: DataFrame, keys: Sequence[str] = ("path",)) -> DataFrame:
-    """(keys, kind, key, first_at, last_at, first_value, last_value, n, and the entry fields).
+ENTRY_FIELDS = ("session_id", "git_branch", "started_at", "tokens")
+
+
+def entry_facts(entries: DataFrame, keys: Sequence[str] = ("path",)) -> DataFrame:
+    """(keys, kind, key, at, value, and the entry fields): the facts of each entry by itself.
 
     Every entry leaves one fact of kind ``entry``, which carries the fields of the session itself.
     """
@@ -107,24 +110,27 @@ def session_facts(entries: DataFrame, keys: Sequence[str] = ("path",)) -> DataFr
         F.coalesce(_tool_facts(blocks), nothing),
         F.coalesce(_decision_facts(text), nothing),
     ]
-    fields = ["session_id", "git_branch", "started_at", "tokens"]
-    facts = read.select(*keys, "seq", *fields, F.explode(F.concat(*parts)).alias("f")).filter("f IS NOT NULL")
+    facts = read.select(*keys, "seq", *ENTRY_FIELDS, F.explode(F.concat(*parts)).alias("f")).filter("f IS NOT NULL")
     is_entry = F.col("f.kind") == "entry"
     at = F.struct("seq", F.col("f.pos").alias("pos"))
-    rows = facts.select(
-        *keys, "f.kind", "f.key", at.alias("at"), "f.value", *[F.when(is_entry, F.col(c)).alias(c) for c in fields]
+    return facts.select(
+        *keys, "f.kind", "f.key", at.alias("at"), "f.value", *[F.when(is_entry, F.col(c)).alias(c) for c in ENTRY_FIELDS]
     )
 
+
+def session_facts(entries: DataFrame, keys: Sequence[str] = ("path",)) -> DataFrame:
+    """(keys, kind, key, first_at, last_at, first_value, last_value, n, and the entry fields)."""
+
     def given(column: str) -> Column:
         return F.when(F.col(column).isNotNull(), F.col("at"))
 
-    return rows.groupBy(*keys, "kind", "key").agg(
+    return entry_facts(entries, keys).groupBy(*keys, "kind", "key").agg(
         F.min("at").alias("first_at"),
         F.max("at").alias("last_at"),
         F.min_by("value", "at").alias("first_value"),
         F.max_by("value", "at").alias("last_value"),
         F.count(F.lit(1)).alias("n"),
-        *[F.min_by(c, given(c)).alias(c) for c in fields[:3]],
+        *[F.min_by(c, given(c)).alias(c) for c in ENTRY_FIELDS[:3]],
         F.max_by("tokens", given("tokens")).alias("tokens"),
     )
 

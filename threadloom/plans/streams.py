@@ -6,16 +6,18 @@ table. Nothing passes through the driver.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.operators.extraction import ITEM_COLUMNS
 from threadloom.plans import contexts as C
 from threadloom.plans import exports as E
 from threadloom.plans.registry import ORACLES as _EXTRACTED
+from threadloom.plans import sessions as L
 from threadloom.plans.inputs import LEXICON
 from threadloom.plans.registry import query, run_folder, table
 from threadloom.streaming import idle_sessions as Z
+from threadloom.sources import sessions as S
 from threadloom.streaming import landing, upserts
 
 
@@ -61,6 +63,43 @@ def _(spark, sf_dir):
     return spark.read.parquet(f"{folder}/out").drop("batch").withColumns(local)
 
 
+_IDLE_MS = 6 * 3_600_000
+_IDLE = (
+    f"{L._E.replace(' FROM events', ', epoch_us(ts) AS us FROM events')}, mid AS (SELECT (min(epoch_us(ts)) + max(epoch_us(ts))) // 2 AS us FROM events), "
+    "early AS (SELECT e.* FROM e, mid WHERE e.us < mid.us), "
+    f"paused AS (SELECT path FROM early GROUP BY path HAVING max(us) // 1000 + {_IDLE_MS} < (SELECT max(us) // 1000 FROM early)), "
+    "gone_on AS (SELECT DISTINCT path FROM e, mid WHERE e.us >= mid.us), "
+    "emitted AS (SELECT 1 AS emission, early.* FROM early JOIN paused USING (path) UNION ALL "
+    "SELECT CASE WHEN path IN (SELECT path FROM paused) THEN 2 ELSE 1 END AS emission, e.* FROM e WHERE path IN (SELECT path FROM gone_on) OR path NOT IN (SELECT path FROM paused)) "
+    "SELECT path, emission, count(*) AS message_count, coalesce(min(timestamp) FILTER (tool IS NULL), '') AS started_at, coalesce(arg_min('b' || (k % 3), seq), '') AS git_branch, "
+    f"count(DISTINCT k) FILTER (tool IN ('Write', 'Edit')) AS files_changed, coalesce(arg_max({L._ACTION}, seq) FILTER (tool IS NOT NULL), '') AS last_action, "
+    "least(20, count(DISTINCT k) FILTER (tool = 'Bash')) AS commands, "
+    "CASE WHEN arg_max(k, seq) FILTER (tool IS NOT NULL AND seq % 3 = 0) >= 1 THEN least(100, CAST(round_even((arg_max(k, seq) FILTER (tool IS NOT NULL AND seq % 3 = 0) * 1000 + 7) / 2000.0, 0) AS INTEGER)) END AS context_usage_pct "
+    "FROM emitted GROUP BY path, emission"
+)
+
+
+@query("z1_idle_summaries", f"WITH {_IDLE}")
+def _(spark, sf_dir):
+    """Half the log lands, sessions go idle and are summarised; the rest lands, and those that go on are summarised anew."""
+    folder = run_folder(spark)
+    lines = L.session_lines(spark, sf_dir).join(table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts")), "seq")
+    us = F.unix_micros("ts")
+    mid, last = lines.agg(F.floor((F.min(us) + F.max(us)) / 2), F.max(us)).first()
+    end = lines.filter(us == last).limit(1).withColumns({"path": F.lit("/logs/end.jsonl"), "ts": F.col("ts") + F.expr("INTERVAL 30 DAY"), "line": F.lit('{"type": "user", "message": {"content": "end"}}')})
+    each = Z.summarise_idle(lambda df, n: df.write.mode("overwrite").parquet(f"{folder}/out/batch={n}"))
+    with Z.keyed_state(spark):
+        for wave in (lines.filter(us < mid), lines.filter(us >= mid), end):
+            wave.write.mode("append").parquet(f"{folder}/landing")
+            landed = spark.readStream.schema(lines.schema).parquet(f"{folder}/landing")
+            finish(Z.idle_sessions(S.read_session_entries(landed), _IDLE_MS / 1000, at="ts"), folder, each)
+    by_batch = Window.partitionBy("path").orderBy("batch")
+    return spark.read.parquet(f"{folder}/out").select(
+        "path", F.row_number().over(by_batch).cast("bigint").alias("emission"), "message_count", "started_at", "git_branch", "files_changed", "last_action",
+        F.size("commands_run").cast("bigint").alias("commands"), "context_usage_pct",
+    )
+
+
 _LANDED = _EXTRACTED["flagship_export_to_summary"]
 
 
