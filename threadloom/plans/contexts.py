@@ -127,11 +127,11 @@ def _(spark, sf_dir):
     return N.new_items(saved, fresh).select("project_id", "section", F.col("ord.seq").alias("seq"), "label", "text")
 
 
-@query("u2_new_list_items", f"WITH {_DELTA} SELECT project_id, seq, text FROM added WHERE section = 'constraint'")
+@query("u2_new_list_items", f"WITH {_DELTA} SELECT project_id, section, seq, text FROM added WHERE section NOT IN ('decision', 'tech_stack')")
 def _(spark, sf_dir):
     saved, fresh = saved_and_fresh(spark, sf_dir)
-    only = [df.filter("section = 'constraint'") for df in (saved, fresh)]
-    return N.new_items(*only).select("project_id", F.col("ord.seq").alias("seq"), "text")
+    lists = [df.filter("section NOT IN ('decision', 'tech_stack')") for df in (saved, fresh)]
+    return N.new_items(*lists).select("project_id", "section", F.col("ord.seq").alias("seq"), "text")
 
 
 @query("j6_revised_decisions", f"WITH {_DELTA} SELECT project_id, seq, label, text, old_label, old_text FROM revised")

@@ -19,6 +19,7 @@ from threadloom.plans.registry import query, run_folder, table
 from threadloom.streaming import idle_sessions as Z
 from threadloom.sources import sessions as S
 from threadloom.streaming import landing, upserts
+from threadloom.streaming.snapshots import BucketedSnapshot
 
 
 def finish(stream: DataFrame, folder: str, each) -> None:
@@ -162,3 +163,23 @@ def _(spark, sf_dir):
     finish(spark.readStream.schema(spark.read.parquet(f"{folder}/fresh").schema).parquet(f"{folder}/fresh"), folder, each)
     latest = spark.read.parquet(f"{folder}/snapshot")
     return latest.join(latest.agg(F.max("version").alias("version")), "version").select("project_id", "section", F.col("ord.seq").alias("seq"), "label", "text")
+
+
+@query("z3_bucketed_upsert", (
+    f"WITH {C._DELTA} SELECT project_id, section, seq, label, text, 0 AS conflict FROM saved UNION ALL SELECT project_id, section, seq, label, text, 0 FROM added "
+    "UNION ALL SELECT project_id, 'decision', seq, label, text, 1 FROM revised"
+))
+def _(spark, sf_dir):
+    """Two batches on a snapshot of eight buckets, the second of one bucket's projects alone."""
+    folder = run_folder(spark)
+    saved, fresh = C.saved_and_fresh(spark, sf_dir)
+    snapshot = BucketedSnapshot(f"{folder}/snapshot", buckets=8)
+    snapshot.commit(saved.select("project_id", *ITEM_COLUMNS), "start")
+    conflicts = f"{folder}/conflicts"
+    each = upserts.bucketed_upsert(snapshot, lambda df, n: df.write.mode("overwrite").parquet(f"{conflicts}/batch={n}"), lambda: C.TODAY, "fresh")
+    for wave in (fresh.filter(snapshot.bucket() > 0), fresh.filter(snapshot.bucket() == 0)):
+        wave.write.mode("append").parquet(f"{folder}/fresh")
+        finish(spark.readStream.schema(fresh.schema).parquet(f"{folder}/fresh"), folder, each)
+    shown = ["project_id", "section", F.col("ord.seq").alias("seq"), "label", "text"]
+    items, revised = snapshot.read(spark).select(*shown), spark.read.parquet(conflicts).select(*shown)
+    return items.withColumn("conflict", F.lit(0)).unionByName(revised.withColumn("conflict", F.lit(1)))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from threadloom.operators.extraction import ITEM_COLUMNS
 from threadloom.operators.maintenance import new_items, revised_decisions
+from threadloom.streaming.snapshots import BucketedSnapshot
 
 
 def upsert_items(saved: DataFrame, fresh: DataFrame, today: str, no_conflict: bool = False, key: str = "project_id", decision_key: str = "topic") -> tuple[DataFrame, DataFrame]:
@@ -42,3 +43,28 @@ def incremental_upsert(
         write_conflicts(conflicts, batch_id)
 
     return run
+
+
+def bucketed_upsert(
+    snapshot: BucketedSnapshot, write_conflicts: Callable[[DataFrame, int], None], today: Callable[[], str], stream: str, **options: str | bool
+) -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` function for a stream of fresh items: reads and writes the buckets that a batch touches, no others.
+
+    Batches are known by the name of their ``stream`` and their number: one that is run again after its
+    commit changes nothing, one that failed before it starts anew from the same version. Conflicts are
+    written before the commit, under the batch's number.
+    """
+
+    def run(fresh: DataFrame, batch_id: int) -> None:
+        spark, token = fresh.sparkSession, f"{stream}/{batch_id}"
+        if snapshot.latest(spark, token) is not None:
+            return
+        fresh = fresh.persist()  # its keys are read first, then its rows
+        touched = snapshot.touched(fresh)
+        saved = snapshot.read(spark, buckets=touched)
+        items, conflicts = upsert_items(saved, fresh, today(), key=snapshot.key, **options)
+        write_conflicts(conflicts, batch_id)
+        snapshot.commit(items, token, touched)
+        fresh.unpersist()
+
+    return run
