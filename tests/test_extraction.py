@@ -1,3 +1,8 @@
+import time
+
+from pyspark.sql import functions as F
+
+from threadloom.functions.automaton import contained_terms
 from threadloom.operators import extraction as X
 
 SCHEMA = "conv_id STRING, seq INT, role STRING, content STRING"
@@ -112,3 +117,27 @@ def test_names_of_three_words_break_at_any_of_their_spaces(spark):
     rows = [(conv, i, "user", text) for conv, *parts in turns for i, text in enumerate(parts)]
     found = X.extract_items(spark.createDataFrame(rows, SCHEMA), lexicon, sections=["tech_stack"]).collect()
     assert sorted((r.conv_id, r.text) for r in found) == [("a", "Google Cloud Run"), ("b", "Google Cloud Run"), ("d", "App Store")]
+
+
+def test_term_tables_of_any_length(spark):
+    rows = [(1, "The cat scattered 🙂 cathode-rays"), (2, ""), (3, None), (4, "cat cat"), (4, "nothing here")]
+    terms = [("a", 0, "cat"), ("a", 1, "scatter"), ("b", 2, "cat"), ("b", 3, "hode"), ("b", 4, "🙂 c"), ("c", 5, ""), ("c", 6, None), ("c", 7, "dog"), ("a", 0, "cat")]
+    texts = spark.createDataFrame(rows, "id INT, body STRING")
+    table = spark.createDataFrame(terms, "category STRING, kw_ord LONG, keyword STRING")
+    want = sorted((i, t, *term) for i, t in rows for term in terms if t is not None and term[2] is not None and term[2] in t)
+    for part_bytes in (1 << 20, 12):  # one automaton, and several
+        assert sorted(tuple(r) for r in contained_terms(texts, table, "body", part_bytes=part_bytes).collect()) == want
+    assert contained_terms(texts, table.limit(0), "body").count() == 0
+    assert contained_terms(texts.limit(0), table, "body").count() == 0
+
+
+def test_planning_does_not_grow_with_the_lexicon(spark):
+    sentences = spark.createDataFrame([(1, 0, 0, "Word77 and word7999")], "conv_id INT, msg_seq INT, sent_ord INT, sentence STRING")
+    terms = spark.range(10_000).select(F.lit("list").alias("category"), F.col("id").alias("kw_ord"), F.concat(F.lit("word"), "id").alias("keyword"))
+    began = time.time()
+    hits = X.match_terms(sentences, terms)
+    hits._jdf.queryExecution().executedPlan()
+    assert time.time() - began < 5
+    assert {r.kw_ord for r in hits.collect()} == {7, 77, 79, 799, 7999}
+    ordinals = X.term_ordinals(sentences, terms).first()
+    assert (ordinals.first_ord, ordinals.last_ord) == (7, 7999)

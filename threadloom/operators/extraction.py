@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.functions import text as T
+from threadloom.functions.automaton import contained_terms
 from threadloom.functions.ordering import ord_of, top_rows
 from threadloom.lexicons import (
     DEFAULT_LEXICON,
@@ -65,6 +66,21 @@ def match_lexicon(
     )
 
 
+def match_terms(sentences: DataFrame, terms: DataFrame, keys: Sequence[str] = ("conv_id",)) -> DataFrame:
+    """The same hits for a lexicon kept as a table ``terms(category, kw_ord, keyword)`` of any length.
+
+    Neither the plan nor the work on a sentence grows with the number of terms.
+    """
+    lowered = sentences.withColumn("_low", F.lower("sentence"))
+    return contained_terms(lowered, terms.select("category", "kw_ord", "keyword"), "_low").select(*keys, "msg_seq", "sent_ord", "sentence", "category", "kw_ord", "keyword")
+
+
+def term_ordinals(sentences: DataFrame, terms: DataFrame, keys: Sequence[str] = ("conv_id",)) -> DataFrame:
+    """(keys, msg_seq, sent_ord, category, first_ord, last_ord): the first and the last listed term of each category in a sentence."""
+    hits = match_terms(sentences, terms, keys)
+    return hits.groupBy(*keys, "msg_seq", "sent_ord", "category").agg(F.min("kw_ord").alias("first_ord"), F.max("kw_ord").alias("last_ord"))
+
+
 # ---- candidates ----------------------------------------------------------------------------------
 
 

@@ -37,6 +37,41 @@ def _(spark, sf_dir):
     return hits.withColumn("sent_ord", F.col("sent_ord").cast("bigint")).withColumn("kw_ord", F.col("kw_ord").cast("bigint"))
 
 
+# Five terms of three letters for each part, numbered in the order of parts; the same letters may come again.
+_LETTERS = [26 * 26, 26, 1]
+_TERMS = (
+    "terms AS (SELECT 'list' || i AS category, p_partkey AS kw_ord, "
+    + " || ".join(f"chr(CAST(97 + ((5 * p_partkey + i) * 7 // {n}) % 26 AS INTEGER))" for n in _LETTERS)
+    + " AS keyword FROM part, (VALUES (0), (1), (2), (3), (4)) v(i))"
+)
+
+
+def part_terms(spark, sf_dir):
+    """A lexicon as long as five times the parts table."""
+    numbered = table(spark, sf_dir, "part").select("p_partkey", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("i"))
+    place = (F.col("p_partkey") * 5 + F.col("i")) * 7
+    letters = [F.char((F.floor(place / n) % 26 + 97).cast("int")) for n in _LETTERS]
+    return numbered.select(F.concat(F.lit("list"), "i").alias("category"), F.col("p_partkey").cast("bigint").alias("kw_ord"), F.concat(*letters).alias("keyword"))
+
+
+@query("x2_match_terms", (
+    f"WITH {SQL_MESSAGES}, {SQL_SENTENCES}, {_TERMS} SELECT conv_id, seq AS msg_seq, pos AS sent_ord, category, CAST(count(*) AS BIGINT) AS hits, CAST(sum(kw_ord) AS BIGINT) AS ord_sum, "
+    "min(keyword) AS first_word FROM sent, terms WHERE contains(lower(sentence), keyword) GROUP BY ALL"
+))
+def _(spark, sf_dir):
+    hits = X.match_terms(X.split_sentences(messages(spark, sf_dir)), part_terms(spark, sf_dir))
+    counted = hits.groupBy("conv_id", "msg_seq", "sent_ord", "category").agg(F.count(F.lit(1)).alias("hits"), F.sum("kw_ord").alias("ord_sum"), F.min("keyword").alias("first_word"))
+    return counted.withColumn("sent_ord", F.col("sent_ord").cast("bigint"))
+
+
+@query("x2_term_ordinals", (
+    f"WITH {SQL_MESSAGES}, {SQL_SENTENCES}, {_TERMS} SELECT conv_id, seq AS msg_seq, pos AS sent_ord, category, min(kw_ord) AS first_ord, max(kw_ord) AS last_ord "
+    "FROM sent, terms WHERE contains(lower(sentence), keyword) GROUP BY ALL"
+))
+def _(spark, sf_dir):
+    return X.term_ordinals(X.split_sentences(messages(spark, sf_dir)), part_terms(spark, sf_dir)).withColumn("sent_ord", F.col("sent_ord").cast("bigint"))
+
+
 def _sql_clean_goal(expr: str) -> str:
     bare = f"rtrim(trim({expr}, {WS}), '?')"
     cases = " ".join(f"WHEN starts_with(lower({bare}), {quoted(p)}) THEN substr({bare}, {len(p) + 1})" for p in LEXICON.goal_prefixes)
