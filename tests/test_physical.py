@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from threadloom.functions.ordering import number_rows, ord_buckets, ord_of, top_rows
-from threadloom.functions.shuffles import contained_tokens, lookup_join
+from threadloom.functions.shuffles import contained_tokens, hash_filter, lookup_join, spread
 
 
 def test_number_rows_counts_across_buckets(spark):
@@ -46,3 +46,19 @@ def test_contained_tokens_is_substring_search(spark):
     want = [t for t in tokens if any(k == t[0] and t[1] in text.lower() for k, text in texts)]
     assert want and len(want) < len(tokens)
     assert sorted((r.k, r.token) for r in got.collect()) == want
+
+
+def test_hash_filter_passes_all_wanted_and_few_others(spark):
+    wanted = spark.range(0, 5000, 5).select(F.concat(F.lit("k"), F.col("id") % 3).alias("k"), F.col("id").cast("string").alias("gram"))
+    passes = hash_filter(wanted, "k", "gram")
+    asked = spark.range(5000).select(F.explode(F.array(*[F.lit(f"k{i}") for i in range(3)])).alias("k"), F.col("id").cast("string").alias("gram"))
+    kept = asked.filter(passes(F.col("k"), F.col("gram")))
+    assert kept.join(wanted, ["k", "gram"], "left_semi").count() == 1000
+    assert kept.count() < 1700  # of 15 000
+    assert asked.filter(hash_filter(wanted.limit(0), "k", "gram")(F.col("k"), F.col("gram"))).count() == 0
+
+
+def test_spread_deals_few_splits_only(spark):
+    few, many = spark.range(10).coalesce(1), spark.range(0, 100, 1, 50)
+    assert spread(few).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert spread(many) is many

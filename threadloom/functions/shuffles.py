@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.functions.storage import run_folder
@@ -23,6 +23,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows of a scan dealt to all cores where its files give fewer splits than that.
+
+    For scans before work that costs far more than moving a row, such as parsing. Tables with enough
+    splits stay as they are, as do streams.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    if rows.isStreaming or rows.rdd.getNumPartitions() >= cores:
+        return rows
+    return rows.repartition(cores)
+
+
 def lookup_join(rows: DataFrame, lookup: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
     """Joins many rows to at most one lookup row per key, where a single key may own a third of the rows.
 
@@ -32,6 +44,32 @@ def lookup_join(rows: DataFrame, lookup: DataFrame, on: Sequence[str], how: str
     return rows.join(lookup, list(on), how)
 
 
+def hash_filter(wanted: DataFrame, *columns: str) -> Callable[..., Column]:
+    """A test that passes every row whose columns hash like some row of ``wanted``, and few others.
+
+    Hashes set bits of one array, sixteen for each wanted row and 16 MB at most, which becomes a constant
+    of the plan. Beyond some 100 million rows it lets more through; what passes wrongly must be joined away.
+    """
+    spark = wanted.sparkSession
+    words = 1 << min(max((wanted.count() // 4).bit_length(), 10), 21)
+
+    def place(*values: Column) -> tuple[Column, Column]:
+        at = F.pmod(F.xxhash64(*values), F.lit(words * 64))
+        return F.shiftright(at, 6), F.pmod(at, F.lit(64)).cast("int")
+
+    word, bit = place(*[F.col(c) for c in columns])
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), bit)
+    sets = wanted.groupBy(word.alias("id")).agg(F.bit_or(one).alias("bits"))
+    dense = spark.range(words).join(sets, "id", "left").select("id", F.coalesce("bits", F.lit(0)).alias("bits"))
+    bitmap = dense.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "bits"))), lambda x: x["bits"]).alias("bitmap")).scalar()
+
+    def passes(*values: Column) -> Column:
+        word, bit = place(*values)
+        return F.call_function("shiftright", F.get(bitmap, word.cast("int")), bit).bitwiseAND(F.lit(1).cast("long")) == 1
+
+    return passes
+
+
 def contained_tokens(
     tokens: DataFrame,
     texts: DataFrame,
@@ -67,8 +105,8 @@ def contained_tokens(
     windows = (
         cut.select(key, "_piece", pieces.alias("_pieces"))
         .select(key, "_piece", F.explode(F.transform("_pieces", lambda p, i: F.concat(p, F.coalesce(F.get("_pieces", i + 1), F.lit(""))))).alias("_window"))
-        .distinct()
     )
+    asked = hash_filter(wanted.select(key, "_gram").distinct(), key, "_gram")
     least = F.when(F.col("_piece") == _PIECE, F.lit(shortest)).otherwise(F.lit(longest))
     most = F.least(F.length("_window"), F.lit(longest))
     last = F.least(F.length("_window") - F.col("_size") + 1, F.col("_piece"))
@@ -76,10 +114,12 @@ def contained_tokens(
         windows.filter(most >= least)
         .select(key, "_piece", "_window", F.explode(F.sequence(least, most)).alias("_size"))
         .select(key, "_piece", "_window", "_size", F.explode(F.sequence(F.lit(1), last)).alias("_start"))
+        .withColumn("_gram", F.substr("_window", F.col("_start"), F.col("_size")))
+        .filter(asked(F.col(key), F.col("_gram")))
         .select(
             key,
             "_piece",
-            F.substr("_window", F.col("_start"), F.col("_size")).alias("_gram"),
+            "_gram",
             F.when(F.col("_size") == longest, F.substr("_window", F.col("_start"), F.col("_piece"))).alias("_tail"),
         )
         .distinct()

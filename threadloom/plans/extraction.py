@@ -11,7 +11,7 @@ from threadloom.operators.messages import question_quality
 from threadloom.plans.inputs import (
     DOMAINS, LEXICON, SQL_LIST_MESSAGES, SQL_MESSAGES, SQL_SENTENCES, WS, list_messages, messages, quoted, sql_dedup, sql_first_wins, values,
 )
-from threadloom.plans.registry import query, table
+from threadloom.plans.registry import query, table, texts
 
 def _ord():
     return [F.col("ord.seq").alias("seq"), F.col("ord.kw").alias("kw"), F.col("ord.pos").alias("pos")]
@@ -272,7 +272,7 @@ def _sql_stop(words) -> str:
 ))
 def _(spark, sf_dir):
     tokens = T.title_tokens(F.col("text"), L.TITLE_STOP_WORDS)
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.array_sort(tokens), " ").alias("tokens"))
+    return texts(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.array_join(F.array_sort(tokens), " ").alias("tokens"))
 
 
 @query("x14_tokenise_task", (
@@ -281,20 +281,20 @@ def _(spark, sf_dir):
 ))
 def _(spark, sf_dir):
     tokens = T.task_tokens(F.col("text"), L.TASK_STOP_WORDS)
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(tokens, " ").alias("tokens"))
+    return texts(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.array_join(tokens, " ").alias("tokens"))
 
 
 @query("x15_significant_words", (
     "SELECT doc_id, array_to_string(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}\\p{M}_]+'), lambda w: length(w) > 4), ' ') AS words FROM documents"
 ))
 def _(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(T.significant_words(F.col("text")), " ").alias("words"))
+    return texts(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.array_join(T.significant_words(F.col("text")), " ").alias("words"))
 
 
 @query("p8_question_quality", f"SELECT doc_id, pos, s AS sentence FROM (SELECT doc_id, unnest(p) AS s, generate_subscripts(p, 1) - 1 AS pos FROM (SELECT doc_id, string_split(text, '.') AS p FROM documents)) WHERE {_sql_quality('s')}")
 def _(spark, sf_dir):
     pieces = F.split("text", r"\.")
-    parts = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(pieces).alias("pos", "sentence"))
+    parts = texts(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.posexplode(pieces).alias("pos", "sentence"))
     return parts.filter(question_quality(F.col("sentence"))).withColumn("pos", F.col("pos").cast("bigint"))
 
 
@@ -303,5 +303,5 @@ def _(spark, sf_dir):
     "WHERE regexp_matches(t, '(?i)(^|[^\\p{L}\\p{N}\\p{M}_])(it|the\\s+[\\p{L}\\p{N}\\p{M}_]+|we|you|this|system|api|service|app)\\s+must($|[^\\p{L}\\p{N}\\p{M}_])')"
 ))
 def _(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.replace("text", F.lit(" of "), F.lit(" must ")).alias("text"))
+    docs = texts(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.replace("text", F.lit(" of "), F.lit(" must ")).alias("text"))
     return docs.filter(F.col("text").rlike(L.MUST_SUBJECT)).select("doc_id")

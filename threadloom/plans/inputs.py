@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from threadloom.functions.text import WHITESPACE
 from threadloom.lexicons import DomainRule, Lexicon
-from threadloom.plans.registry import table
+from threadloom.plans.registry import texts
 
 # Words that do occur in the tables, in place of the default phrases.
 LEXICON = Lexicon(
@@ -37,7 +37,7 @@ DOMAINS = (
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """conversations as messages(conv_id, seq, role, content)."""
-    return table(spark, sf_dir, "conversations").select(
+    return texts(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text").select(
         "conv_id", F.col("turn").alias("seq"), "role", F.col("text").alias("content")
     )
 
@@ -54,7 +54,7 @@ def list_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def exported_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns with the export document they belong to: one of each conversation."""
-    return table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("doc"), F.col("turn").cast("int").alias("i"), "role", "text")
+    return texts(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text").select(F.col("conv_id").cast("string").alias("doc"), F.col("turn").cast("int").alias("i"), "role", "text")
 
 
 def export_files(turns: DataFrame, extension: str, item: Column, build) -> DataFrame:

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from threadloom.functions.shuffles import spread
 from threadloom.functions.storage import run_folder  # noqa: F401
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,3 +29,8 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def texts(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """Columns of a table whose rows are costly to parse, on all cores also where it is one file."""
+    return spread(table(spark, sf_dir, name).select(*columns))

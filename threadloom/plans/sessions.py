@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.operators import sessions as A
-from threadloom.plans.registry import query, table
+from threadloom.plans.registry import query, table, texts
 from threadloom.sources import sessions as S
 
 # An event becomes one log line: views are user turns, signups housekeeping, the rest tool calls.
@@ -14,7 +14,7 @@ _TOOL = {"click": "Write", "purchase": "Edit", "error": "Bash"}
 
 
 def session_lines(spark, sf_dir) -> DataFrame:
-    events = table(spark, sf_dir, "events")
+    events = texts(spark, sf_dir, "events", "event_id", "user_id", "ts", "event_type", "props")
     k = F.get_json_object("props", "$.k").cast("int")
     kind = F.col("event_type")
     tool = F.coalesce(*[F.when(kind == e, F.lit(t)) for e, t in _TOOL.items()])
