@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from threadloom.functions.ordering import ord_of
+from threadloom.lexicons import EXCLUDED_DIRS
 from threadloom.operators import code_index as C
 from threadloom.operators import model_batches as B
 from threadloom.operators import rendering as R
@@ -212,3 +213,42 @@ def test_context_answers(spark):
     items, errors = B.parse_context_responses(df)
     assert rows(items, "section", "label", "text", "priority", "done") == [("decision", "a", "", "", False), ("goal", "", "g", "", False), ("task", "", "t", "medium", False), ("tech_stack", "language", "Go", "", False)]
     assert rows(errors, "conv_id") == [("b",), ("c",)]
+
+
+def test_tree_listing_prunes_folders_and_links(spark, tmp_path):
+    for name in ("r1/src/a.py", "r1/node_modules/x/b.py", "r1/.git/c", "r1/x.egg-info/d", "build/src/e.py", "r1/_p/__init__.py"):
+        file = tmp_path / name
+        file.parent.mkdir(parents=True, exist_ok=True)
+        file.write_text("x = 1\n")
+    (tmp_path / "r1/src/loop").symlink_to(tmp_path)
+    (tmp_path / "r1/src/linked.py").symlink_to(tmp_path / "r1/src/a.py")
+    (tmp_path / "r1/src/broken.py").symlink_to(tmp_path / "nothing")
+    (tmp_path / "r1/empty").mkdir()
+    listed = S.list_tree(spark, str(tmp_path), repo_depth=1, excluded=EXCLUDED_DIRS)
+    found = {(r.repo_id, r.path) for r in listed.collect()}
+    assert found == {("r1", "src/a.py"), ("r1", "src/linked.py"), ("build", "src/e.py"), ("r1", "_p/__init__.py")}
+    assert {r.path for r in S.list_tree(spark, str(tmp_path), excluded=EXCLUDED_DIRS).collect()} == {"r1/src/a.py", "r1/src/linked.py", "r1/_p/__init__.py"}
+    assert S.list_tree(spark, str(tmp_path / "r1/empty")).count() == 0
+    assert S.list_tree(spark, str(tmp_path)).count() == 7
+    assert {bytes(r.content) for r in S.read_tree(spark, str(tmp_path), 1, EXCLUDED_DIRS).collect()} == {b"x = 1\n"}
+
+
+def test_history_batches_are_read_once(spark, tmp_path):
+    folder = str(tmp_path / "log")
+    run = "run_id STRING, timestamp STRING, source STRING, conversation_title STRING, input_file STRING, output_dir STRING, artifacts ARRAY<STRING>, target STRING, use_llm BOOLEAN"
+
+    def runs(*ids, source="claude"):
+        return spark.createDataFrame([(i, "t", source, "", "in", "/out", ["x.md"], "all", False) for i in ids], run)
+
+    def seen():
+        return sorted((r.run_id, r.source) for r in H.read_batches(spark, folder).collect())
+
+    H.append_batch(runs("h1", "h2"), folder, "one/1 %")
+    H.append_batch(runs("h1", "h2", source="again"), folder, "one/1 %")
+    assert seen() == [("h1", "claude"), ("h2", "claude")]
+    H.write_attempt(runs("lost"), folder, "two")
+    assert len(seen()) == 2
+    for attempt in [H.write_attempt(runs("h3", "h4"), folder, "two") for _ in range(2)]:  # two jobs at once
+        H.commit_attempt(spark, folder, "two", attempt)
+    H.append_batch(runs("h2", "h5", source="later"), folder, "two-b")
+    assert seen() == [("h1", "claude"), ("h2", "claude"), ("h3", "claude"), ("h4", "claude"), ("h5", "later")]

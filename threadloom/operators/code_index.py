@@ -357,7 +357,7 @@ def index_tree(
     spark: SparkSession, root: str, globs: Sequence[str] = (), repo_depth: int = 0, max_lines: int | None = MAX_LINES
 ) -> dict[str, DataFrame]:
     """Index of the files below ``root``; contents of excluded files are not even read."""
-    listed = list_tree(spark, root, repo_depth)
+    listed = list_tree(spark, root, repo_depth)  # whole: imports and tests may lie in excluded folders
     return index_repository(read_contents(indexable_paths(listed, globs)), globs, listed, max_lines)
 
 

@@ -10,7 +10,7 @@ from threadloom.functions.ordering import ord_of
 from threadloom.operators import maintenance as N
 from threadloom.operators import merging as M
 from threadloom.plans.inputs import quoted
-from threadloom.plans.registry import query, table
+from threadloom.plans.registry import query, run_folder, table
 from threadloom.lexicons import TASK_STOP_WORDS
 from threadloom.sources import history as H
 
@@ -397,6 +397,23 @@ def _(spark, sf_dir):
     return H.parse_history(history_lines(spark, sf_dir)).select("pos", "run_id", "source", "output_dir", "target", "use_llm")
 
 
+@query("s16_append_history", f"WITH {_HISTORY} SELECT 'h_' || pos AS run_id, source, output_dir FROM h")
+def _(spark, sf_dir):
+    """Three batches, appended again, by two jobs at once, after a failure, and once more as one batch: each run is read once."""
+    folder = run_folder(spark) + "/history"
+    runs = H.parse_history(history_lines(spark, sf_dir)).withColumn("run_id", F.concat(F.lit("h_"), "pos"))
+    batches = [runs.filter(F.col("pos") % 3 == n) for n in range(3)]
+    H.append_batch(batches[0], folder, "a/0")
+    H.append_batch(batches[0], folder, "a/0")
+    H.write_attempt(batches[1].limit(5), folder, "a/1")  # a job that died before its commit
+    attempts = [H.write_attempt(batches[1], folder, "a/1") for _ in range(2)]
+    for attempt in attempts:
+        H.commit_attempt(spark, folder, "a/1", attempt)
+    H.append_batch(batches[2], folder, "a/2")
+    H.append_batch(runs, folder, "b: everything")
+    return H.read_batches(spark, folder).select("run_id", "source", "output_dir")
+
+
 @query("p6_history_under_path", f"WITH {_HISTORY} SELECT pos, output_dir FROM h WHERE rtrim(output_dir, '/') = '/out/p1' OR starts_with(output_dir, '/out/p1/')")
 def _(spark, sf_dir):
     return H.history_under_path(H.parse_history(history_lines(spark, sf_dir)), "/out/p1/").select("pos", "output_dir")

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import os
+
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.functions import text as T
+from threadloom.lexicons import EXCLUDED_DIRS
 from threadloom.functions.storage import run_folder
 from threadloom.functions.ordering import ord_of
 from threadloom.operators import extraction as X
@@ -412,6 +416,51 @@ def _(spark, sf_dir):
     return table(spark, sf_dir, "documents").filter(bare != "").select("doc_id", F.md5(T.strip_fences(fenced)).alias("body"))
 
 
-@query("s13_scan_source_tree")
+# A file for every four parts, in one of seven repositories: some below excluded folders, some binary, some too long.
+_FOLDERS = ("src", "src/deep/er", "node_modules/lib", ".git/objects", "build", "docs", "pkg.egg-info", "_private")
+_TREE_FILES = (
+    "f AS (SELECT p_partkey // 4 AS k, string_agg('part ' || p_name, chr(10) ORDER BY p_partkey) || repeat(chr(10), CASE WHEN p_partkey // 4 % 31 = 0 THEN 600 ELSE 0 END) AS body "
+    "FROM part GROUP BY p_partkey // 4), "
+    f"placed AS (SELECT 'r' || (k % 7) AS repo_id, [{', '.join(repr(d) for d in _FOLDERS)}][k % 8 + 1] AS folder, 'f' || k || '.py' AS name, k, "
+    "body || CASE WHEN k % 13 = 0 THEN chr(10) || '?' ELSE '' END AS body FROM f)"
+)
+
+
+def _write_files(root: str):
+    """Task code that writes rows (path, content) below ``root`` and, where folders can be linked, a loop in every repository."""
+
+    def run(batches):
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"]):
+                system, base = fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), root)
+                system.create_dir(f"{base}/{path.rsplit('/', 1)[0]}")
+                with system.open_output_stream(f"{base}/{path}") as out:
+                    out.write(content)
+                loop = f"{base}/{path.split('/')[0]}/loop"
+                if system.type_name == "local":
+                    try:
+                        os.symlink(base, loop)
+                    except FileExistsError:
+                        pass
+            yield batch[["path"]]
+
+    return run
+
+
+@query("s13_scan_source_tree", (
+    f"WITH {_TREE_FILES} SELECT repo_id, folder || '/' || name AS path, strlen(body) AS size, length(body) - length(replace(body, chr(10), '')) + 1 AS line_count FROM placed "
+    "WHERE folder NOT IN ('node_modules/lib', '.git/objects', 'build', 'pkg.egg-info') AND k % 13 > 0 AND k % 31 > 0"
+))
 def _(spark, sf_dir):
-    return trees.list_tree(spark, sf_dir).select("repo_id", "path", "size")
+    root = run_folder(spark) + "/tree"
+    k = F.floor(F.col("p_partkey") / 4)
+    lines = F.array_sort(F.collect_list(F.struct("p_partkey", F.concat(F.lit("part "), "p_name").alias("line"))))
+    files = table(spark, sf_dir, "part").groupBy(k.alias("k")).agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("body"))
+    long = F.when(F.col("k") % 31 == 0, F.repeat(F.lit("\n"), 600)).otherwise("")
+    zero = F.when(F.col("k") % 13 == 0, F.lit("\n\0")).otherwise("")
+    folder = F.element_at(F.array(*[F.lit(d) for d in _FOLDERS]), (F.col("k") % 8 + 1).cast("int"))
+    path = F.concat(F.lit("r"), F.col("k") % 7, F.lit("/"), folder, F.lit("/f"), F.col("k"), F.lit(".py"))
+    rows = files.select(path.alias("path"), F.concat("body", long, zero).cast("binary").alias("content"))
+    rows.mapInPandas(_write_files(root), "path STRING").write.format("noop").mode("overwrite").save()
+    found = trees.source_files(trees.read_tree(spark, root, repo_depth=1, excluded=EXCLUDED_DIRS))
+    return found.select("repo_id", "path", "size", F.col("line_count").cast("bigint").alias("line_count"))

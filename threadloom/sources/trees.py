@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import fnmatch
+import os
 from collections.abc import Iterator, Sequence
 from functools import reduce
 
@@ -19,17 +20,35 @@ SNIFFED_BYTES = 1024
 FILES_PER_BATCH = 64
 
 
-def _list_folders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for uri in batch["uri"]:
-            system, path = fs.FileSystem.from_uri(uri)
-            entries = system.get_file_info(fs.FileSelector(path))
-            prefix = uri[: len(uri) - len(path)] if uri.endswith(path) else ""
-            yield pd.DataFrame({
-                "uri": [prefix + e.path for e in entries],
-                "is_dir": [e.type == fs.FileType.Directory for e in entries],
-                "size": [int(e.size or 0) for e in entries],
-            })
+def _pruned(name: str, excluded: Sequence[str]) -> bool:
+    return bool(excluded) and (name in excluded or name.endswith(".egg-info"))
+
+
+def _lister(excluded: Sequence[str]):
+    """Lists folders one level deep: excluded ones, links to folders (a loop, or files listed elsewhere) and broken links left out."""
+
+    def listed(uri: str) -> pd.DataFrame:
+        system, path = fs.FileSystem.from_uri(uri)
+        prefix = uri[: len(uri) - len(path)] if uri.endswith(path) else ""
+        entries = []
+        for e in system.get_file_info(fs.FileSelector(path)):
+            if e.type == fs.FileType.Directory:
+                linked = system.type_name == "local" and os.path.islink(e.path)
+                if not linked and not _pruned(e.base_name, excluded):
+                    entries.append(e)
+            elif e.type == fs.FileType.File:
+                entries.append(e)
+        return pd.DataFrame({
+            "uri": pd.Series([prefix + e.path for e in entries], dtype=object),
+            "is_dir": pd.Series([e.type == fs.FileType.Directory for e in entries], dtype=bool),
+            "size": pd.Series([int(e.size or 0) for e in entries], dtype="int64"),
+        })
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield from map(listed, batch["uri"])
+
+    return run
 
 
 def _read_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -45,18 +64,21 @@ def _read_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield part[["repo_id", "path", "size", "content"]]
 
 
-def list_tree(spark: SparkSession, root: str, repo_depth: int = 0) -> DataFrame:
+def list_tree(spark: SparkSession, root: str, repo_depth: int = 0, excluded: Sequence[str] = ()) -> DataFrame:
     """(repo_id, path, uri, size) of every file below ``root``.
 
     With ``repo_depth`` n, the first n folders below the root name the repository; with 0 the whole
     tree is one repository. Spark's own file sources leave out names that start with "_" or ".", and
     with them every ``__init__.py``; so folders are listed level by level, each level in parallel.
+    Links to folders are never followed. Folders named in ``excluded``, and with them those of installed
+    eggs, are not entered below a repository's own folder.
     """
     base = root.rstrip("/")
     folders = spark.createDataFrame([(base,)], "uri STRING")
     levels = []
     while True:
-        listed = cut_lineage(folders.repartition("uri").mapInPandas(_list_folders, "uri STRING, is_dir BOOLEAN, size LONG"))
+        below = excluded if len(levels) >= repo_depth else ()
+        listed = cut_lineage(folders.repartition("uri").mapInPandas(_lister(below), "uri STRING, is_dir BOOLEAN, size LONG"))
         levels.append(listed.filter("NOT is_dir"))
         folders = listed.filter("is_dir").select("uri")
         if folders.isEmpty():
@@ -74,9 +96,9 @@ def read_contents(listed: DataFrame) -> DataFrame:
     return listed.repartition("uri").mapInPandas(_read_files, "repo_id STRING, path STRING, size LONG, content BINARY")
 
 
-def read_tree(spark: SparkSession, root: str, repo_depth: int = 0) -> DataFrame:
-    """(repo_id, path, size, content) of every file below ``root``."""
-    return read_contents(list_tree(spark, root, repo_depth))
+def read_tree(spark: SparkSession, root: str, repo_depth: int = 0, excluded: Sequence[str] = ()) -> DataFrame:
+    """(repo_id, path, size, content) of every file that ``list_tree`` lists."""
+    return read_contents(list_tree(spark, root, repo_depth, excluded))
 
 
 def byte_text(content: Column) -> Column:
