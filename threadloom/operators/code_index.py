@@ -8,7 +8,7 @@ that half a repository depends on is just many edges, never one long array.
 from __future__ import annotations
 
 import ast
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,13 +40,12 @@ def parent(path: Column) -> Column:
     return F.regexp_extract(path, "^(.*/)", 1)
 
 
-def language(path: Column) -> Column:
+EXTENSIONS = {e: "python" for e in PYTHON_EXTENSIONS} | {e: "script" for e in SCRIPT_EXTENSIONS}
+
+
+def language(path: Column, extensions: Mapping[str, str] = EXTENSIONS) -> Column:
     """Indexer of a file by its extension."""
-    return (
-        F.when(extension(path).isin(*PYTHON_EXTENSIONS), "python")
-        .when(extension(path).isin(*SCRIPT_EXTENSIONS), "script")
-        .otherwise("generic")
-    )
+    return F.coalesce(*[F.when(extension(path) == e, F.lit(name)) for e, name in extensions.items()], F.lit("generic"))
 
 
 # ---- Python files --------------------------------------------------------------------------------
@@ -138,23 +137,25 @@ def _script_structure(files: DataFrame) -> DataFrame:
     return cut.withColumn("_script", F.when(text.isNotNull(), built)).drop("_between", "_whole", "_names", "_modules")
 
 
-# Indexers by language: each adds its structure column. Add one, and an extension to ``language``,
-# to index another; files of no indexer keep their line count only.
-INDEXERS: dict[str, Callable[[DataFrame], DataFrame]] = {"python": _python_structure, "script": _script_structure}
+# Indexers by language: each adds its structure column, named after the language with an underscore before
+# it, null for files of other languages. Pass one more, and its extensions, to index another; files of no
+# indexer keep their line count only.
+Indexer = Callable[[DataFrame], DataFrame]
+INDEXERS: dict[str, Indexer] = {"python": _python_structure, "script": _script_structure}
 
 
-def file_structure(files: DataFrame) -> DataFrame:
+def file_structure(files: DataFrame, indexers: Mapping[str, Indexer] = INDEXERS, extensions: Mapping[str, str] = EXTENSIONS) -> DataFrame:
     """(repo_id, path, line_count, language, purpose, symbols, imports) of all files, in one scan."""
     raw = F.col("content").cast("string")  # the bytes as they are; not every file is UTF-8
     readable = F.coalesce(F.is_valid_utf8(raw), F.lit(True))
     rows = files.select(
-        "repo_id", "path", "line_count", language(F.col("path")).alias("language"), F.when(readable, raw).alias("text"), readable.alias("_readable")
+        "repo_id", "path", "line_count", language(F.col("path"), extensions).alias("language"), F.when(readable, raw).alias("text"), readable.alias("_readable")
     )
-    for indexer in INDEXERS.values():
+    for indexer in indexers.values():
         rows = indexer(rows)
     nothing = F.struct(F.lit("").alias("purpose"), F.array().cast(f"ARRAY<{_SYMBOL}>").alias("symbols"), F.array().cast(f"ARRAY<{_IMPORT}>").alias("imports"))
     unread = F.struct(F.lit(READ_ERROR).alias("purpose"), F.array().cast(f"ARRAY<{_SYMBOL}>").alias("symbols"), F.array().cast(f"ARRAY<{_IMPORT}>").alias("imports"))
-    built = F.coalesce(*[F.col(f"_{name}").cast(f"STRUCT<{_STRUCTURE}>") for name in INDEXERS], nothing)
+    built = F.coalesce(*[F.col(f"_{name}").cast(f"STRUCT<{_STRUCTURE}>") for name in indexers], nothing)
     found = F.when(F.col("_readable"), built).otherwise(unread)
     return rows.select("repo_id", "path", "line_count", "language", found.alias("s")).select("repo_id", "path", "line_count", "language", "s.*")
 
@@ -329,7 +330,8 @@ def index_report(files: DataFrame, symbols: DataFrame, impact: DataFrame, stats:
 
 
 def index_repository(
-    tree: DataFrame, globs: Sequence[str] = (), all_paths: DataFrame | None = None, max_lines: int | None = MAX_LINES
+    tree: DataFrame, globs: Sequence[str] = (), all_paths: DataFrame | None = None, max_lines: int | None = MAX_LINES,
+    indexers: Mapping[str, Indexer] = INDEXERS, extensions: Mapping[str, str] = EXTENSIONS,
 ) -> dict[str, DataFrame]:
     """Tables files, symbols, imports, edges, nodes, impact_edges, change_impact, stats and report.
 
@@ -338,7 +340,7 @@ def index_repository(
     Files of more than ``max_lines`` lines are left out; null keeps files of any length.
     """
     all_paths = tree.select("repo_id", "path") if all_paths is None else all_paths.select("repo_id", "path")
-    structure = cut_lineage(file_structure(source_files(tree, globs, max_lines=max_lines)))
+    structure = cut_lineage(file_structure(source_files(tree, globs, max_lines=max_lines), indexers, extensions))
     listed = structure.select("repo_id", "path", "line_count", "purpose")
     symbols, imports = symbols_of(structure), classify_imports(structure, all_paths)
     tests = cut_lineage(map_test_files(listed.filter(F.col("purpose") != PARSE_ERROR), all_paths))

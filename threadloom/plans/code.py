@@ -135,6 +135,27 @@ def _(spark, sf_dir):
     return rows.withColumns({c: F.col(c).cast("bigint") for c in ("ord", "line")})
 
 
+def _notes(files: DataFrame) -> DataFrame:
+    """An indexer of plain notes: every line of one word is a heading."""
+    text = F.when(F.col("language") == "notes", F.col("text"))
+    heads = F.filter(F.transform(F.split(text, "\n"), lambda line, i: F.struct(line.alias("name"), F.lit("heading").alias("type"), (i + 1).alias("line"), F.lit("").alias("signature"), F.lit("").alias("docstring"))), lambda h: h["name"].rlike(r"^\w+$"))
+    nothing = F.array().cast("array<struct<kind:string,name:string,level:int>>")
+    built = F.struct(F.concat(F.lit("Notes of "), F.size(heads), F.lit(" headings")).alias("purpose"), heads.alias("symbols"), nothing.alias("imports"))
+    return files.withColumn("_notes", F.when(text.isNotNull(), built))
+
+
+@query("e3_custom_indexer", (
+    f"WITH {_T} SELECT repo_id, path, CASE kind WHEN 'doc' THEN 'notes' WHEN 'ts' THEN 'generic' ELSE 'python' END AS language, "
+    "CASE kind WHEN 'doc' THEN 'Notes of 2 headings' WHEN 'bad' THEN '(parse error)' WHEN 'test' THEN '' WHEN 'ts' THEN '' ELSE p_name || ' tools.' END AS purpose, "
+    "CASE kind WHEN 'doc' THEN 'a:1 b:2' END AS headings FROM files f JOIN part ON p_partkey = k"
+))
+def _(spark, sf_dir):
+    """A third indexer beside the two given ones, and extensions of the caller's own."""
+    rows = C.file_structure(S.source_files(tree(spark, sf_dir)), C.INDEXERS | {"notes": _notes}, {".py": "python", ".txt": "notes"})
+    heads = F.transform(F.filter("symbols", lambda s: s["type"] == "heading"), lambda s: F.concat_ws(":", s["name"], s["line"]))
+    return rows.select("repo_id", "path", "language", "purpose", F.when(F.size(heads) > 0, F.array_join(heads, " ")).alias("headings"))
+
+
 @query("c2_ts_exports", f"WITH {_T}, {_SYMBOLS} SELECT repo_id, path, CAST(ord AS BIGINT) AS ord, name, CAST(line AS BIGINT) AS line, signature FROM exported")
 def _(spark, sf_dir):
     rows = C.symbols_of(structure(spark, sf_dir).filter("language = 'script'")).select("repo_id", "path", "ord", "name", "line", "signature")

@@ -348,10 +348,10 @@ def _(spark, sf_dir):
 
 
 @query("f10_repair_json", (
-    "SELECT c_custkey, CASE c_custkey % 4 WHEN 1 THEN '{\"overview\": \"' || c_name || '\", \"risks\": \"' || left(c_mktsegment, 4) || '\"}' WHEN 2 THEN '{\"overview\": \"' || c_name || '\"}' END AS json FROM customer WHERE c_custkey % 4 > 0"
+    "SELECT c_custkey, CASE c_custkey % 4 WHEN 1 THEN '{\"overview\": \"' || c_name || '\", \"risks\": \"' || left(c_mktsegment, 4) || '\"}' WHEN 2 THEN '{\"overview\": \"' || c_name || '\"}' WHEN 0 THEN '{\"overview\": \"' || c_name || '\", \"risks\": \"' || c_mktsegment || '\", \"work_spec\": 7}' END AS json FROM customer"
 ))
 def _(spark, sf_dir):
-    return body_answers(spark, sf_dir).filter("c_custkey % 4 > 0").select("c_custkey", T.repair_json(F.col("text")).alias("json"))
+    return body_answers(spark, sf_dir).select("c_custkey", T.repair_json(T.strip_fences(F.col("text"))).alias("json"))
 
 
 @query("m4_parse_verdict_responses", (
