@@ -8,7 +8,8 @@ that half a repository depends on is just many edges, never one long array.
 from __future__ import annotations
 
 import ast
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -329,41 +330,100 @@ def index_report(files: DataFrame, symbols: DataFrame, impact: DataFrame, stats:
 # ---- whole index ---------------------------------------------------------------------------------
 
 
+class RepositoryIndex(Mapping[str, DataFrame]):
+    """The tables of ``index_repository`` by name, each built when it is first asked for.
+
+    What several tables start from (structure, test files, edges) is checkpointed when the first of them
+    needs it, and not at all for a table that does without.
+    """
+
+    TABLES = ("files", "symbols", "imports", "edges", "nodes", "impact_edges", "change_impact", "stats", "report")
+
+    def __init__(self, sources: DataFrame, all_paths: DataFrame, indexers: Mapping[str, Indexer], extensions: Mapping[str, str]):
+        self._sources, self._all_paths, self._kinds = sources, all_paths, (indexers, extensions)
+
+    @cached_property
+    def structure(self) -> DataFrame:
+        return cut_lineage(file_structure(self._sources, *self._kinds))
+
+    @cached_property
+    def listed(self) -> DataFrame:
+        return self.structure.select("repo_id", "path", "line_count", "purpose")
+
+    @cached_property
+    def tests(self) -> DataFrame:
+        return cut_lineage(map_test_files(self.listed.filter(F.col("purpose") != PARSE_ERROR), self._all_paths))
+
+    @cached_property
+    def files(self) -> DataFrame:
+        return self.listed.join(self.tests, ["repo_id", "path"], "left").withColumn("has_tests", F.col("test_file").isNotNull())
+
+    @cached_property
+    def symbols(self) -> DataFrame:
+        return symbols_of(self.structure)
+
+    @cached_property
+    def imports(self) -> DataFrame:
+        return classify_imports(self.structure, self._all_paths)
+
+    @cached_property
+    def edges(self) -> DataFrame:
+        return cut_lineage(resolve_imports(self.listed, self.imports))
+
+    @cached_property
+    def nodes(self) -> DataFrame:
+        return dependency_nodes(self.listed, self.edges)
+
+    @cached_property
+    def impact_edges(self) -> DataFrame:
+        return impact_edges(self.edges, self.tests)
+
+    @cached_property
+    def change_impact(self) -> DataFrame:
+        return change_impact(self.listed, self.impact_edges)
+
+    @cached_property
+    def stats(self) -> DataFrame:
+        return repo_stats(self.files)
+
+    @cached_property
+    def report(self) -> DataFrame:
+        return index_report(self.files, self.symbols, self.change_impact, self.stats)
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self.TABLES:
+            raise KeyError(name)
+        return getattr(self, name)
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self.TABLES)
+
+    def __len__(self) -> int:
+        return len(self.TABLES)
+
+
 def index_repository(
     tree: DataFrame, globs: Sequence[str] = (), all_paths: DataFrame | None = None, max_lines: int | None = MAX_LINES,
     indexers: Mapping[str, Indexer] = INDEXERS, extensions: Mapping[str, str] = EXTENSIONS,
-) -> dict[str, DataFrame]:
+) -> RepositoryIndex:
     """Tables files, symbols, imports, edges, nodes, impact_edges, change_impact, stats and report.
 
-    File contents are read and parsed once; the structure and the edges, which several tables start
-    from, are checkpointed. ``all_paths`` is every file on disk, when ``tree`` is already cut down.
-    Files of more than ``max_lines`` lines are left out; null keeps files of any length.
+    File contents are read and parsed once. ``all_paths`` is every file on disk, when ``tree`` is already
+    cut down. Files of more than ``max_lines`` lines are left out; null keeps files of any length.
     """
-    all_paths = tree.select("repo_id", "path") if all_paths is None else all_paths.select("repo_id", "path")
-    structure = cut_lineage(file_structure(source_files(tree, globs, max_lines=max_lines), indexers, extensions))
-    listed = structure.select("repo_id", "path", "line_count", "purpose")
-    symbols, imports = symbols_of(structure), classify_imports(structure, all_paths)
-    tests = cut_lineage(map_test_files(listed.filter(F.col("purpose") != PARSE_ERROR), all_paths))
-    files = listed.join(tests, ["repo_id", "path"], "left").withColumn("has_tests", F.col("test_file").isNotNull())
-    edges = cut_lineage(resolve_imports(listed, imports))
-    related = impact_edges(edges, tests)
-    impact = change_impact(listed, related)
-    stats = repo_stats(files)
-    return {
-        "files": files, "symbols": symbols, "imports": imports, "edges": edges, "nodes": dependency_nodes(listed, edges),
-        "impact_edges": related, "change_impact": impact, "stats": stats, "report": index_report(files, symbols, impact, stats),
-    }
+    paths = (tree if all_paths is None else all_paths).select("repo_id", "path")
+    return RepositoryIndex(source_files(tree, globs, max_lines=max_lines), paths, indexers, extensions)
 
 
 def index_tree(
     spark: SparkSession, root: str, globs: Sequence[str] = (), repo_depth: int = 0, max_lines: int | None = MAX_LINES
-) -> dict[str, DataFrame]:
+) -> RepositoryIndex:
     """Index of the files below ``root``; contents of excluded files are not even read."""
     listed = list_tree(spark, root, repo_depth)  # whole: imports and tests may lie in excluded folders
     return index_repository(read_contents(indexable_paths(listed, globs)), globs, listed, max_lines)
 
 
-def write_code_index(index: dict[str, DataFrame], path: str, mode: str = "overwrite", buckets: int = 64) -> None:
+def write_code_index(index: Mapping[str, DataFrame], path: str, mode: str = "overwrite", buckets: int = 64) -> None:
     """One Parquet table per part of the index, in folders by hash bucket of the repository and sorted inside."""
     for name, part in index.items():
         order = ["repo_bucket", "repo_id", *[c for c in ("path", "src", "file") if c in part.columns]]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -222,7 +224,7 @@ _EDGES = (
 _ALL = f"WITH {_T}, {_SYMBOLS}, {_IMPORTS}, {_EDGES}"
 
 
-def index(spark, sf_dir) -> dict[str, DataFrame]:
+def index(spark, sf_dir) -> C.RepositoryIndex:
     return C.index_repository(tree(spark, sf_dir))
 
 
@@ -231,13 +233,6 @@ def _(spark, sf_dir):
     return index(spark, sf_dir)["edges"]
 
 
-@query("s18_write_code_index", f"{_ALL} SELECT * FROM edges")
-def _(spark, sf_dir):
-    folder = f"{run_folder(spark)}/index"
-    C.write_code_index({"edges": index(spark, sf_dir)["edges"]}, folder)
-    return spark.read.parquet(f"{folder}/edges").select("repo_id", "src", "dst")
-
-
 @query("c6_dependency_graph", (
     f"{_ALL} SELECT repo_id, path, (SELECT count(*) FROM edges e WHERE e.repo_id = f.repo_id AND e.src = f.path) AS depends_on, "
     "(SELECT count(*) FROM edges e WHERE e.repo_id = f.repo_id AND e.dst = f.path) AS depended_on_by FROM files f"
@@ -266,19 +261,49 @@ def _(spark, sf_dir):
     return C.key_exports(index(spark, sf_dir)["symbols"])
 
 
-@query("c8_index_report", (
-    f"{_ALL}, ke AS (SELECT repo_id, path, string_agg(name, ', ' ORDER BY ord) AS x FROM (SELECT * FROM sym UNION ALL SELECT * FROM exported) WHERE ord < 3 GROUP BY 1, 2), "
+_REPORT = (
+    "ke AS (SELECT repo_id, path, string_agg(name, ', ' ORDER BY ord) AS x FROM (SELECT * FROM sym UNION ALL SELECT * FROM exported) WHERE ord < 3 GROUP BY 1, 2), "
     "pu AS (SELECT f.*, CASE kind WHEN 'bad' THEN '(parse error)' WHEN 'py' THEN p_name || ' tools.' WHEN 'init' THEN p_name || ' tools.' ELSE '' END AS purpose FROM files f JOIN part ON p_partkey = k) "
-    "SELECT f.repo_id, 1 AS section_ord, f.path, '| ' || CASE WHEN purpose = '' THEN f.path ELSE purpose END || ' | `' || f.path || '` | ' || coalesce(x, '') || ' |' AS line FROM pu f LEFT JOIN ke ON ke.repo_id = f.repo_id AND ke.path = f.path WHERE purpose <> '' OR x IS NOT NULL "
+    ", report AS (SELECT f.repo_id, 1 AS section_ord, f.path, '| ' || CASE WHEN purpose = '' THEN f.path ELSE purpose END || ' | `' || f.path || '` | ' || coalesce(x, '') || ' |' AS line FROM pu f LEFT JOIN ke ON ke.repo_id = f.repo_id AND ke.path = f.path WHERE purpose <> '' OR x IS NOT NULL "
     "UNION ALL SELECT repo_id, 2, path, '- `' || path || '`' FROM files f ANTI JOIN tested t ON t.repo_id = f.repo_id AND t.path = f.path "
     "UNION ALL SELECT repo_id, 3, path, '- `' || path || '` — ' || dependents || ' files depend on it' FROM risks WHERE risk = 'high' "
     "UNION ALL SELECT repo_id, 4, '', '- ' || total_files || ' source files | ' || tested_files || ' tested | ' || total_lines || ' total lines' FROM stats "
-    "UNION ALL SELECT repo_id, 4, '', '- Test coverage: ' || coverage_pct || '% of source files have a test file' FROM stats"
-))
+    "UNION ALL SELECT repo_id, 4, '', '- Test coverage: ' || coverage_pct || '% of source files have a test file' FROM stats)"
+)
+
+
+@query("c8_index_report", f"{_ALL}, {_REPORT} SELECT * FROM report")
 def _(spark, sf_dir):
     return index(spark, sf_dir)["report"]
 
 
+# One line of text for each row of every table.
+_ROWS = {
+    "files": ("path", "line_count", "test_file"), "symbols": ("path", "ord", "name", "type", "line", "signature"), "imports": ("path", "kind", "import"), "edges": ("src", "dst"),
+    "nodes": ("path", "depends_on", "depended_on_by"), "impact_edges": ("path", "kind", "other"), "change_impact": ("path", "dependents", "affected_tests", "risk"),
+    "stats": ("total_files", "total_lines", "tested_files", "coverage_pct"), "report": ("section_ord", "path", "line"),
+}
+_WRITTEN = {
+    "files": "(SELECT f.repo_id, f.path, line_count, test_file FROM files f LEFT JOIN tested t ON t.repo_id = f.repo_id AND t.path = f.path)",
+    "symbols": "(SELECT * FROM sym UNION ALL SELECT * FROM exported)", "imports": f"(SELECT * FROM imports UNION ALL {_SCRIPT_IMPORTS})", "edges": "edges",
+    "nodes": "(SELECT repo_id, path, (SELECT count(*) FROM edges e WHERE e.repo_id = f.repo_id AND e.src = f.path) AS depends_on, "
+    "(SELECT count(*) FROM edges e WHERE e.repo_id = f.repo_id AND e.dst = f.path) AS depended_on_by FROM files f)",
+    "impact_edges": "related", "change_impact": "risks", "stats": "stats", "report": "report",
+}
+
+
+@query("s18_write_code_index", f"{_ALL}, {_REPORT} " + " UNION ALL ".join(
+    f"SELECT '{name}' AS part, repo_id, concat_ws('|', {', '.join(columns)}) AS row FROM {_WRITTEN[name]}" for name, columns in _ROWS.items()
+))
+def _(spark, sf_dir):
+    """All nine tables written in buckets of repositories and read back."""
+    folder = f"{run_folder(spark)}/index"
+    C.write_code_index(index(spark, sf_dir), folder)
+    parts = [spark.read.parquet(f"{folder}/{name}").select(F.lit(name).alias("part"), "repo_id", F.concat_ws("|", *columns).alias("row")) for name, columns in _ROWS.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+
 @query("c9_index_repository", (
     f"{_ALL} SELECT f.repo_id, f.path, CAST(line_count AS BIGINT) AS line_count, test_file, test_file IS NOT NULL AS has_tests FROM files f LEFT JOIN tested t ON t.repo_id = f.repo_id AND t.path = f.path"
 ))
