@@ -12,21 +12,20 @@ from __future__ import annotations
 
 import base64
 import heapq
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from threadloom.llm.common import Batches, id_and_text, map_arrow, sized, tokenizer_file
+from threadloom.llm.common import Batches, id_and_text, map_arrow, quoted, sized, tokenizer_file
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 LONGEST_ROW = 1024  # bytes; longer pieces keep their pairs in a heap
-CELLS = 1 << 19  # of one matrix
+CELLS = 1 << 17  # of one matrix
 NEVER = np.iinfo(np.int32).max  # rank of a pair that does not merge
 PAD = -1
 
@@ -87,16 +86,19 @@ class Vocabulary:
             self.ids = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())}
         self.tokens = {rank: token for token, rank in self.ids.items()}
         self.of_byte = np.array([self.ids[bytes([b])] for b in range(256)], dtype=np.int32)
-        known = self.ids.get
-        self.pairs = PairTable(
-            [(a, b, rank) for token, rank in self.ids.items() for k in range(1, len(token)) if (a := known(token[:k])) is not None and (b := known(token[k:])) is not None]
-        )
         sizes = np.zeros(max(self.tokens) + 1, dtype=np.int64)
         for rank, token in self.tokens.items():
             sizes[rank] = len(token)
         self.sizes, self.starts = sizes, np.cumsum(sizes) - sizes
         self.bytes = np.frombuffer(b"".join(self.tokens[r] for r in sorted(self.tokens)), dtype=np.uint8)
 
+    @cached_property
+    def pairs(self) -> PairTable:
+        known = self.ids.get
+        return PairTable(
+            [(a, b, rank) for token, rank in self.ids.items() for k in range(1, len(token)) if (a := known(token[:k])) is not None and (b := known(token[k:])) is not None]
+        )
+
     def decode(self, ids: np.ndarray) -> bytes:
         """Bytes of a row of ids, some 100 000 at a time."""
         out = []
@@ -197,17 +199,17 @@ def encode_pieces(pieces: list[bytes], known: Vocabulary) -> list[bytes]:
 
 
 class Encoder:
-    """Ids of texts; remembers the ids of at most ``most`` pieces between calls."""
+    """Ids of texts; remembers the ids of some ``most`` pieces between calls."""
 
-    def __init__(self, name: str, pattern: str | None = None, most: int = 300_000):
+    def __init__(self, name: str, pattern: str | None = None, most: int = 120_000):
         self.known, self.most = vocabulary(name), most
         self.split = regex.compile(pattern or public_pattern())
         self.ids: dict[str, bytes] = {}
 
     def _learn(self, pieces: set[str]) -> None:
-        if len(self.ids) + len(pieces) > self.most:
-            self.ids.clear()
         new = [p for p in pieces if p not in self.ids]
+        if len(self.ids) + len(new) > self.most:  # what these pieces use stays
+            self.ids = {p: self.ids[p] for p in pieces if p in self.ids}
         self.ids.update(zip(new, encode_pieces([p.encode() for p in new], self.known)))
 
     def packed(self, texts: list[str], at_once: int = 200_000) -> list[bytes]:
@@ -236,7 +238,7 @@ def encode_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", na
     def encode(batches: Batches) -> Batches:
         encoder = Encoder(name, pattern)
         for batch in batches:
-            for part in sized(batch, 1, 4 << 20):
+            for part in sized(batch, 1, 1 << 20):
                 ids = encoder.packed([t or "" for t in part.column(1).to_pylist()])
                 counts = pa.array([len(i) // 4 for i in ids], pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column(0), counts, pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
@@ -247,14 +249,13 @@ def encode_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", na
 def decode_ids(encoded: DataFrame, ids: str = "ids", into: str = "decoded", name: str = VOCABULARY) -> DataFrame:
     """``encoded`` with the bytes that its ids stand for; a column named ``into`` is replaced, null ids give null."""
     kept = [c for c in encoded.columns if c.lower() != into.lower()]
-    quoted = [F.col("`" + c.replace("`", "``") + "`") for c in [*kept, ids]]
-    source = encoded.select(*[column.alias(f"c{n}") for n, column in enumerate(quoted)])
+    source = encoded.select(*[quoted(c).alias(f"c{n}") for n, c in enumerate([*kept, ids])])
     at = len(kept)
 
     def decode(batches: Batches) -> Batches:
         known = vocabulary(name)
         for batch in batches:
-            for part in sized(batch, at, 8 << 20):
+            for part in sized(batch, at, 2 << 20):
                 out = [None if i is None else known.decode(np.frombuffer(i, dtype="<u4")) for i in part.column(at).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns[:at], pa.array(out, pa.binary())], [*part.schema.names[:at], into])
 
