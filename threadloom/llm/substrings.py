@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.functions.storage import materialise
-from threadloom.llm.common import Batches, Sieve, as_bytes, keyed, map_arrow
+from threadloom.llm.common import Batches, Sieve, as_bytes, keyed, map_arrow, sized
 
 WINDOW = 50
 KMER = 16
@@ -121,6 +121,11 @@ def _hash_words(parts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     return lengths, hashes
 
 
+def _slices(batches: Batches) -> Batches:
+    """Batches cut so that the texts which a task unpacks at once stay small."""
+    return (part for batch in batches for part in sized(batch, batch.schema.get_field_index("_text"), 4 << 20))
+
+
 def document_paths(docs: DataFrame, window: int = WINDOW, kmer: int = KMER, wanted: Sieve | None = None) -> DataFrame:
     """(_id, _key, start, n, anchor, path): paths of n consecutive windows, from word ``start`` of a document.
 
@@ -128,7 +133,7 @@ def document_paths(docs: DataFrame, window: int = WINDOW, kmer: int = KMER, want
     """
 
     def run(batches: Batches) -> Batches:
-        for batch in batches:
+        for batch in _slices(batches):
             for first, parts in _chunks(as_bytes(batch.column(2))):
                 lengths, hashes = _hash_words(parts)
                 doc, begin, count, anchor, path, _ = _paths(lengths, hashes, window, kmer)
@@ -156,12 +161,12 @@ def _row_hash():
     return F.xxhash64("_id", "_key")
 
 
-def _sieved(docs: DataFrame, wanted: Sieve, through: bool = True) -> DataFrame:
-    """Rows of (_id, _key, _text) that ``wanted`` lets through, or those that it does not."""
+def _sieved(docs: DataFrame, wanted: Sieve) -> DataFrame:
+    """Rows of (_id, _key, _text) that ``wanted`` lets through."""
 
     def run(batches: Batches) -> Batches:
         for batch in batches:
-            yield batch.filter(pa.array(wanted.passes(batch.column(3).to_numpy()) == through)).select(["_id", "_key", "_text"])
+            yield batch.filter(pa.array(wanted.passes(batch.column(3).to_numpy()))).select(["_id", "_key", "_text"])
 
     return map_arrow(docs.withColumn("h", _row_hash()), run, "_id long, _key binary, _text string")
 
@@ -177,7 +182,7 @@ def _settled_branches(docs: DataFrame, branching: DataFrame, window: int) -> Dat
     )
 
     def expand(batches: Batches) -> Batches:
-        for batch in batches:
+        for batch in _slices(batches):
             asked = batch.column("paths")
             for first, parts in _chunks(as_bytes(batch.column("_text"))):
                 lengths, hashes = _hash_words(parts)
@@ -242,7 +247,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     )
 
     def cut(batches: Batches) -> Batches:
-        for batch in batches:
+        for batch in _slices(batches):
             texts, spans = as_bytes(batch.column("_text")), batch.column("cuts")
             words, removed, kept = [], [], []
             for n, t in enumerate(texts):
@@ -268,6 +273,13 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             )
 
     touched = Sieve(cuts.select(_row_hash().alias("h")), "h")
+    spans = pa.list_(pa.struct([("start", pa.int32()), ("windows", pa.int64())]))
+
+    def whole(batches: Batches) -> Batches:
+        """Rows that nothing touches, in the worker that finds them."""
+        rest = (batch.filter(pa.array(~touched.passes(batch.column("h").to_numpy()))) for batch in batches)
+        return cut(pa.RecordBatch.from_arrays([b.column("_id"), b.column("_text"), pa.nulls(b.num_rows, spans)], ["_id", "_text", "cuts"]) for b in rest)
+
+    schema = "doc_id long, n_words long, n_removed long, kept string"
     joined = _sieved(source, touched).join(cuts, ["_id", "_key"], "left").select("_id", "_text", "cuts")
-    whole = _sieved(source, touched, through=False).select("_id", "_text", F.lit(None).cast(cuts.schema["cuts"].dataType).alias("cuts"))
-    return map_arrow(joined.union(whole), cut, "doc_id long, n_words long, n_removed long, kept string")
+    return map_arrow(joined, cut, schema).union(map_arrow(source.select("_id", "_text", _row_hash().alias("h")), whole, schema))
