@@ -19,7 +19,7 @@ from threadloom.llm import queries as q
 from threadloom.llm.common import load_tokenizer
 from threadloom.llm.components import components
 from threadloom.llm.decontamination import contaminated, without_contaminated
-from threadloom.llm.embeddings import near_embeddings
+from threadloom.llm.embeddings import functions_for, near_embeddings, tables_for
 from threadloom.llm.packing import best_fit, pack
 from threadloom.llm.quality import with_quality
 from threadloom.llm.personal_data import find_personal_data, joined, without_personal_data
@@ -154,6 +154,28 @@ def test_near_embeddings(spark):
         got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in near_embeddings(frame, block=block).collect()}
         assert got == want
     assert near_embeddings(frame.limit(0)).count() == 0
+    twice = spark.createDataFrame([(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.1]), (2, [1.0, 0.1]), (3, [2.0]), (4, [3.0]), (None, [3.0])], "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in near_embeddings(twice).fillna(-1).collect())
+    assert got == [(-1, 0, -1, False), (1, 0, 1, True), (1, 1, 1, True), (2, 1, 1, False), (2, 1, 1, False), (3, 1, 3, True), (4, 1, 3, False)]
+
+
+@pytest.mark.parametrize("width", [64, 768])
+def test_near_embeddings_recall_at_the_least_cosine(spark, width):
+    """Pairs of cosine just above the threshold, whatever the width of the vectors."""
+    rng = np.random.default_rng(width)
+    a, b = rng.normal(size=(2, 250, width))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    near = 0.9001 * a + np.sqrt(1 - 0.9001**2) * b
+    frame = spark.createDataFrame([(n, x.tolist()) for n, x in enumerate(np.concatenate([a, near]))], "vec_id long, embedding array<double>")
+    found = near_embeddings(frame).filter("n_links = 1").count()
+    assert found >= 0.97 * 500
+
+
+def test_functions_follow_rows_and_tables_follow_width():
+    assert [functions_for(n, 64) for n in (1, 10_000, 50_000, 10**8)] == [1, 4, 4, 6]
+    assert tables_for(64, 3) < tables_for(384, 3) <= tables_for(1024, 3) < tables_for(1024, 4)
 
 
 def test_near_duplicates(spark, corpus):
