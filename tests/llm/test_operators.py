@@ -289,6 +289,23 @@ def test_short_texts_fill_bins_beside_long_ones(spark, short, long):
     assert len(used) <= -(-sum(sizes) // 2048) + 1
 
 
+def test_best_fit_ranks_hot_sizes_in_slices(spark):
+    """A third of all documents of one size: slices of few rows pack as the whole size does."""
+    sizes = [700] * 1000 + [5 + n % 900 for n in range(2000)]
+    frame = spark.createDataFrame(list(enumerate(sizes)), "id long, size long")
+    bins = []
+    for slice_rows in (90, 10_000):
+        places = defaultdict(list)
+        for r in best_fit(frame, slice_rows=slice_rows).collect():
+            places[r["bin"]].append((r["offset"], sizes[r["id"]]))
+        for held in places.values():
+            ends = [0, *(at + size for at, size in sorted(held))]
+            assert [at for at, _ in sorted(held)] == ends[:-1] and ends[-1] <= 2048
+        assert sum(map(len, places.values())) == len(sizes)
+        bins.append(len(places))
+    assert bins[0] == bins[1]
+
+
 PERSONAL = [
     (1, "a@b.co x@y z.q@@w.x.y"), (2, "1.2.3.4 256.1.1.1 1.2.3.4.5.6 00000000300.1.1.1"), (3, "4539 1488 0343 6467 and 4539148803436468 12345"),
     (4, "call +1 (988) 555-2485. or +12 +1 2 3 4 5 6 7 8"), (5, None), (6, ""), (7, "é +49 30 123456 mail: ab@cd.ef.gh. 10.0.0.255"), (8, "@" * 3000 + "a" * 5000), (9, "a.b@c.d@e.f"),

@@ -18,7 +18,7 @@ from threadloom.llm.word_pieces import WordPieces
 
 CAPACITY = 2048
 SEPARATOR = 0
-_BUCKETS = 16  # slices of one size that are ranked apart: the unit that one task sorts
+SLICE_ROWS = 50_000  # rows of one size that are ranked together: about what one task sorts at once
 
 
 class PieceIds(dict):
@@ -80,26 +80,31 @@ def token_pieces(docs: DataFrame, text: str = "text", tokenizer: str = TOKENIZER
     return map_arrow(docs, cut, schema)
 
 
-def _ranked_levels(items: DataFrame) -> DataFrame:
+def _ranked_levels(items: DataFrame, slice_rows: int) -> DataFrame:
     """Adds ``level``: the height at which a gap is pushed on, or a document taken off, the stack of
     one sweep from the largest size to the smallest, gaps before documents of the same size.
 
-    Rank in a size comes from slices, and the height before each slice from their counts: at most
-    2 x capacity x 16 numbers, whatever the corpus.
+    The height before each size comes from the counts, 2 x ``capacity`` numbers whatever the corpus.
+    A size is ranked in slices of some ``slice_rows`` rows, as many as its count asks for, and each
+    slice goes on from the rows of those before it.
     """
-    slices = ["kind", "size", "slice"]
-    counts = items.groupBy(*slices).agg(F.count(F.lit(1)).alias("n")).collect()
+    counts = items.groupBy("kind", "size").agg(F.count(F.lit(1)).alias("n")).collect()
     height, before = 0, []
-    for row in sorted(counts, key=lambda r: (-r["size"], r["kind"], r["slice"])):
-        before.append((row["kind"], row["size"], row["slice"], height))
+    for row in sorted(counts, key=lambda r: (-r["size"], r["kind"])):
+        before.append((row["kind"], row["size"], height, -(-row["n"] // slice_rows)))
         height += row["n"] if row["kind"] == 0 else -row["n"]
-    table = items.sparkSession.createDataFrame(before, "kind int, size long, slice int, height long")
-    rank = F.row_number().over(Window.partitionBy(*slices).orderBy("id", "slot")).cast("long")
+    heights = items.sparkSession.createDataFrame(before, "kind int, size long, height long, slices long")
+    parts = ["kind", "size", "slice"]
+    sliced = items.join(F.broadcast(heights), ["kind", "size"]).withColumn("slice", F.pmod(F.xxhash64("id", "slot"), "slices"))
+    earlier = Window.partitionBy("kind", "size").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = sliced.groupBy(*parts).agg(F.count(F.lit(1)).alias("n")).select(*parts, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
+    rank = F.row_number().over(Window.partitionBy(*parts).orderBy("id", "slot"))
     step = F.when(F.col("kind") == 0, F.col("height") + F.col("rank")).otherwise(F.col("height") - F.col("rank") + 1)
-    return items.withColumn("rank", rank).join(F.broadcast(table), slices).withColumn("level", step).drop("height", "rank")
+    ranked = sliced.withColumn("rank", rank).join(ahead, parts).withColumn("rank", F.col("rank") + F.col("base"))
+    return ranked.withColumn("level", step).drop("height", "rank", "base", "slices", "slice")
 
 
-def _sweep(items: DataFrame) -> DataFrame:
+def _sweep(items: DataFrame, slice_rows: int) -> DataFrame:
     """One round: every document takes the smallest gap that holds it and that no document before it
     took; every gap takes one document at most. Adds ``bin`` to documents that found one, and ``taken``,
     the length that came in, to gaps.
@@ -111,7 +116,7 @@ def _sweep(items: DataFrame) -> DataFrame:
     back, ahead = F.lag(F.struct("kind", "id")).over(near), F.lead(F.struct("kind", "size")).over(near)
     met, filled = (F.col("kind") == 1) & (F.col("back.kind") == 0), (F.col("kind") == 0) & (F.col("ahead.kind") == 1)
     return (
-        _ranked_levels(items)
+        _ranked_levels(items, slice_rows)
         .withColumns({"back": back, "ahead": ahead})
         .withColumns({"bin": F.when(met, F.col("back.id")), "taken": F.when(filled, F.col("ahead.size")).otherwise(0)})
         .drop("level", "back", "ahead")
@@ -143,7 +148,7 @@ def _needed(docs: np.ndarray, gaps: np.ndarray, capacity: int) -> int:
     return needed
 
 
-def best_fit(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+def best_fit(items: DataFrame, capacity: int = CAPACITY, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Packs ``items`` (id, size: 1 to ``capacity``; ids unique) into bins: (id, bin, offset).
 
     Rounds of sweeps over all open documents and gaps. Before each, as many bins are opened as the open
@@ -153,7 +158,6 @@ def best_fit(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     of which there are at most ``capacity``.
     """
     spark = items.sparkSession
-    slice_of = F.pmod(F.xxhash64("id", "slot"), F.lit(_BUCKETS)).cast("int")
     docs = items.select(F.lit(1).alias("kind"), "id", F.lit(0).cast("long").alias("slot"), F.col("size").cast("long"), F.lit(0).cast("long").alias("room"))
     placed = [docs.filter(F.col("size") >= capacity).select("id", F.col("id").alias("bin"), "size")]
     docs = docs.filter(F.col("size") < capacity)
@@ -171,7 +175,7 @@ def best_fit(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             .withColumn("slots", F.greatest(F.floor(F.col("room") / most), F.lit(1).cast("long")))
             .select(F.lit(0).alias("kind"), "id", F.explode(F.expr("sequence(1L, slots)")).alias("slot"), F.floor(F.col("room") / F.col("slots")).alias("size"), "room")
         )
-        swept = materialise(_sweep(docs.unionByName(offered).withColumn("slice", slice_of)))
+        swept = materialise(_sweep(docs.unionByName(offered), slice_rows))
         placed.append(swept.filter(F.col("bin").isNotNull()).select("id", "bin", "size"))
         docs = swept.filter((F.col("kind") == 1) & F.col("bin").isNull()).select("kind", "id", "slot", "size", "room")
         gaps = swept.filter("kind = 0").groupBy("id").agg((F.max("room") - F.sum("taken")).alias("room"))
