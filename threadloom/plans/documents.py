@@ -1,4 +1,4 @@
-"""Rendering, saved documents and model batches."""
+"""Rendering, saved documents and model batches."""
 
 from __future__ import annotations
 
@@ -88,6 +88,32 @@ def _(spark, sf_dir):
     return knowledge_base(spark, sf_dir)
 
 
+# A target that a user adds: two short documents with a heading, a stand-in and a list each.
+BRIEF = (
+    R.Fixed("brief.md", 1, ("# Brief", "", "{goal}"), ("goal",)),
+    R.Fixed("brief.md", 1, ("# Brief", "", "No goal yet."), ("!goal",)),
+    R.Fixed("brief.md", 2, ("", "Made with {stack}."), ("tech_stack",)),
+    R.Fixed("brief.md", 3, ("", "## To do", "")),
+    R.Listed("brief.md", 4, "task", "checkbox"),
+    R.Fixed("brief.md", 4, ("Nothing to do.",), ("!task",)),
+    R.Fixed("limits.md", 1, ("# Limits",), ("constraint",)),
+    R.Listed("limits.md", 2, "constraint", "bullet"),
+    R.Fixed("limits.md", 2, ("No limits.",), ("!constraint",)),
+)
+_BRIEF_PARTS = {
+    "brief.md": f"'# Brief' || {_N} || {_N} || {_or('max(text) FILTER (section = ' + quoted('goal') + ')', 'No goal yet.')} || coalesce({_N} || {_N} || 'Made with ' || {_agg('text', 'tech_stack', quoted(', '))} || '.', '') "
+    f"|| {_N} || {_N} || '## To do' || {_N} || {_N} || {_or(_agg(_CHECKBOX, 'task'), 'Nothing to do.')}",
+    "limits.md": f"coalesce('# Limits' || {_N} || {_agg(quoted('- ') + ' || text', 'constraint')}, 'No limits.')",
+}
+
+
+@query("e2_render_added_layout", f"WITH {_CTX}, docs AS (" + " UNION ALL ".join(
+    f"SELECT project_id, '{path}' AS rel_path, {body} AS body FROM ctx GROUP BY 1" for path, body in _BRIEF_PARTS.items()
+) + ") SELECT * FROM docs")
+def _(spark, sf_dir):
+    return R.render_documents(contexts(spark, sf_dir), BRIEF)
+
+
 @query("s17_write_documents_plan", f"WITH {_DOCS} SELECT project_id, rel_path FROM docs")
 def _(spark, sf_dir):
     return D.write_documents(knowledge_base(spark, sf_dir), "/nowhere", dry_run=True)
