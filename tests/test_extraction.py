@@ -32,6 +32,10 @@ def test_goal_falls_back_to_first_user_message(spark):
     assert texts(spark, ("assistant", "x"), section="goal") == [""]
 
 
+def test_goal_starts_with_one_capital(spark):
+    assert texts(spark, ("user", "create ßbetz"), section="goal") == ["ẞbetz"]
+
+
 def test_decision_last_occurrence_wins_at_first_place(spark):
     got = texts(spark, ("user", "Let's use Flask. Going with Redis"), ("user", "We decided to keep Flask"), section="decision")
     assert got == ["We decided to keep Flask", "Going with Redis"]
