@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from threadloom.functions.shipping import ship_package
 
 PART_BYTES = 4 << 20  # of terms that one automaton holds; its nodes take some fifty times that in a worker
+SHARED_BYTES = 16 << 20  # of term rows that every executor may hold; more of them are joined by shuffle
 _built: dict[str, object] = {}
 
 
@@ -61,6 +62,8 @@ def contained_terms(texts: DataFrame, terms: DataFrame, text: str, term: str = "
     distinct = terms.select(F.col(term).alias("_term")).filter("_term <> ''").distinct()
     size = distinct.agg(F.coalesce(F.sum(F.octet_length("_term") + 8), F.lit(0))).first()[0]
     parts = max(1, -(-size // part_bytes))
+    width = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in terms.columns), F.lit(16 * len(terms.columns)))
+    rows_size, empties = terms.agg(F.coalesce(F.sum(width), F.lit(0)), F.count_if(F.col(term) == "")).first()
     found = []
     for part in range(parts):
         held = distinct.filter(F.pmod(F.xxhash64("_term"), F.lit(parts)) == part)
@@ -70,7 +73,9 @@ def contained_terms(texts: DataFrame, terms: DataFrame, text: str, term: str = "
         hits = _with_matches(texts, text, words, "_found").withColumn("_number", F.explode("_found")).drop("_found")
         numbers = texts.sparkSession.createDataFrame(pa.table({"_number": pa.array(range(len(words)), pa.int32()), "_term": pa.array(words, pa.string())}))
         known = terms.join(numbers, F.col(term) == F.col("_term")).drop("_term")
-        found.append(hits.join(F.broadcast(known) if parts == 1 else known, "_number").drop("_number"))
+        found.append(hits.join(F.broadcast(known) if rows_size <= SHARED_BYTES else known, "_number").drop("_number"))
+    if found and not empties:
+        return reduce(DataFrame.unionByName, found)
     empty = terms.filter(F.col(term) == "")
     whole = texts.filter(F.col(text).isNotNull()).withColumn("_every", F.lit("")).join(empty, F.col("_every") == F.col(term)).drop("_every")
     return reduce(DataFrame.unionByName, [*found, whole])

@@ -66,19 +66,24 @@ def match_lexicon(
     )
 
 
-def match_terms(sentences: DataFrame, terms: DataFrame, keys: Sequence[str] = ("conv_id",)) -> DataFrame:
+def match_terms(
+    sentences: DataFrame, terms: DataFrame, keys: Sequence[str] = ("conv_id",), columns: Sequence[str] = ("category", "kw_ord", "keyword")
+) -> DataFrame:
     """The same hits for a lexicon kept as a table ``terms(category, kw_ord, keyword)`` of any length.
 
-    Neither the plan nor the work on a sentence grows with the number of terms.
+    Neither the plan nor the reading of a sentence grows with the number of terms, but every listing of a
+    keyword is a hit of its own. Where a keyword is listed many times and hits are only counted or
+    compared, gather its listings first, as ``term_ordinals`` does, and name the ``columns`` a hit takes along.
     """
     lowered = sentences.withColumn("_low", F.lower("sentence"))
-    return contained_terms(lowered, terms.select("category", "kw_ord", "keyword"), "_low").select(*keys, "msg_seq", "sent_ord", "sentence", "category", "kw_ord", "keyword")
+    return contained_terms(lowered, terms.select(*columns), "_low").select(*keys, "msg_seq", "sent_ord", "sentence", *columns)
 
 
 def term_ordinals(sentences: DataFrame, terms: DataFrame, keys: Sequence[str] = ("conv_id",)) -> DataFrame:
     """(keys, msg_seq, sent_ord, category, first_ord, last_ord): the first and the last listed term of each category in a sentence."""
-    hits = match_terms(sentences, terms, keys)
-    return hits.groupBy(*keys, "msg_seq", "sent_ord", "category").agg(F.min("kw_ord").alias("first_ord"), F.max("kw_ord").alias("last_ord"))
+    gathered = terms.groupBy("category", "keyword").agg(F.min("kw_ord").alias("first_ord"), F.max("kw_ord").alias("last_ord"))
+    hits = match_terms(sentences, gathered, keys, gathered.columns)
+    return hits.groupBy(*keys, "msg_seq", "sent_ord", "category").agg(F.min("first_ord").alias("first_ord"), F.max("last_ord").alias("last_ord"))
 
 
 # ---- candidates ----------------------------------------------------------------------------------

@@ -59,8 +59,9 @@ def part_terms(spark, sf_dir):
     "min(keyword) AS first_word FROM sent, terms WHERE contains(lower(sentence), keyword) GROUP BY ALL"
 ))
 def _(spark, sf_dir):
-    hits = X.match_terms(X.split_sentences(messages(spark, sf_dir)), part_terms(spark, sf_dir))
-    counted = hits.groupBy("conv_id", "msg_seq", "sent_ord", "category").agg(F.count(F.lit(1)).alias("hits"), F.sum("kw_ord").alias("ord_sum"), F.min("keyword").alias("first_word"))
+    listed = part_terms(spark, sf_dir).groupBy("category", "keyword").agg(F.count(F.lit(1)).alias("hits"), F.sum("kw_ord").alias("ord_sum"))
+    hits = X.match_terms(X.split_sentences(messages(spark, sf_dir)), listed, columns=listed.columns)
+    counted = hits.groupBy("conv_id", "msg_seq", "sent_ord", "category").agg(F.sum("hits").alias("hits"), F.sum("ord_sum").alias("ord_sum"), F.min("keyword").alias("first_word"))
     return counted.withColumn("sent_ord", F.col("sent_ord").cast("bigint"))
 
 
