@@ -145,3 +145,32 @@ def test_planning_does_not_grow_with_the_lexicon(spark):
     assert {r.kw_ord for r in hits.collect()} == {7, 77, 79, 799, 7999}
     ordinals = X.term_ordinals(sentences, terms).first()
     assert (ordinals.first_ord, ordinals.last_ord) == (7, 7999)
+
+
+def test_keywords_listed_many_times_meet_a_sentence_once(spark, monkeypatch):
+    """What is shared with executors is bounded, and ordinals join one row for each keyword of a category."""
+    joined = []
+
+    def counted(texts, terms, *args, **kwargs):
+        joined.append(terms.count())
+        return contained_terms(texts, terms, *args, **kwargs)
+
+    monkeypatch.setattr(X, "contained_terms", counted)
+    sentences = spark.createDataFrame([(1, 0, 0, "The cat and the dog"), (1, 0, 1, "nothing")], "conv_id INT, msg_seq INT, sent_ord INT, sentence STRING")
+    terms = spark.range(5000).select(F.lit("list").alias("category"), F.col("id").alias("kw_ord"), F.element_at(F.array(F.lit("cat"), F.lit("dog"), F.lit("cow")), (F.col("id") % 3 + 1).cast("int")).alias("keyword"))
+    assert [tuple(r) for r in X.term_ordinals(sentences, terms).collect()] == [(1, 0, 0, "list", 0, 4999)]
+    assert joined == [3]
+
+
+def test_rows_of_terms_are_shared_up_to_a_size(spark, monkeypatch):
+    from threadloom.functions import automaton
+
+    texts = spark.createDataFrame([(i, f"a cat {i}") for i in range(50)], "id INT, body STRING")
+    table = spark.range(200).select(F.col("id").alias("kw_ord"), F.lit("cat").alias("keyword"))
+    plans = {}
+    for size in (1 << 20, 100):
+        monkeypatch.setattr(automaton, "SHARED_BYTES", size)
+        hits = contained_terms(texts, table, "body")
+        assert hits.count() == 50 * 200
+        plans[size] = "ResolvedHint (strategy=broadcast)" in hits._jdf.queryExecution().analyzed().toString()
+    assert plans == {1 << 20: True, 100: False}
