@@ -155,3 +155,60 @@ def test_windows_of_hot_keys_equal_those_of_spark(spark, kind, monkeypatch):
         assert got.schema["started"].dataType.simpleString() == kind
         assert Counter(tuple(r) for r in got.select("path", "started", "ended", "entries").collect()) == want
     assert Z.session_windows(rows.limit(0)).count() == 0
+
+
+def test_state_of_a_session_is_read_by_pages(monkeypatch):
+    """Facts in doubling pages: emitted whole whatever the pages, with far fewer calls to the state than facts."""
+    import pandas as pd
+
+    calls = []
+
+    class Value:
+        kept = None
+
+        def exists(self):
+            return self.kept is not None
+
+        def get(self):
+            return self.kept
+
+        def update(self, value):
+            self.kept = value
+
+    class Map(dict):
+        def getValue(self, key):
+            calls.append(key)
+            return self.get(key)
+
+        def updateValue(self, key, value):
+            calls.append(key)
+            self[key] = value
+
+    class Handle:
+        timers: list = []
+        getValueState = staticmethod(lambda name, schema: Value())
+        getMapState = staticmethod(lambda name, key, value, ttl: Map())
+        listTimers = lambda self: iter(self.timers)
+        deleteTimer = lambda self, timer: self.timers.remove(timer)
+        registerTimer = lambda self, timer: self.timers.append(timer)
+
+    def rows(seqs):
+        given = [("change", f"/f{n % 500}", n, 0, f"v{n}", n) for n in seqs]
+        frame = pd.DataFrame(given, columns=["kind", "key", "seq", "pos", "value", "at_ms"])
+        return frame.assign(**{c: None for c in Z.ENTRY_FIELDS})
+
+    def emitted(page_facts):
+        monkeypatch.setattr(Z, "PAGE_FACTS", page_facts)
+        calls.clear()
+        digests = Z.SessionDigests("path", 10, True, None)
+        digests.init(Handle())
+        for start in (0, 300, 600):
+            list(digests.handleInputRows(("p",), iter([rows(range(start, start + 300))]), None))
+        out = list(digests.handleExpiredTimer(("p",), None, None))
+        assert all(len(page) <= 4 * page_facts for page in out)
+        return sorted((r.key, r.first_seq, r.last_seq, r.last_value, r.n) for r in pd.concat(out).itertuples())
+
+    want = sorted((f"/f{k}", k, k + 500 * (k < 400), f"v{k + 500 * (k < 400)}", 1 + (k < 400)) for k in range(500))
+    assert emitted(2000) == want
+    assert len(calls) < 10
+    assert emitted(16) == want
