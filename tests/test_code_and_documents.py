@@ -252,3 +252,10 @@ def test_history_batches_are_read_once(spark, tmp_path):
         H.commit_attempt(spark, folder, "two", attempt)
     H.append_batch(runs("h2", "h5", source="later"), folder, "two-b")
     assert seen() == [("h1", "claude"), ("h2", "claude"), ("h3", "claude"), ("h4", "claude"), ("h5", "later")]
+
+
+def test_files_of_one_small_table_use_all_cores(spark, tmp_path):
+    from threadloom.plans import code
+
+    spark.range(50).selectExpr("id AS p_partkey", "'green' AS p_name", "CAST(id AS INT) AS p_size").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    assert code.sources(spark, str(tmp_path)).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
