@@ -259,3 +259,13 @@ def test_files_of_one_small_table_use_all_cores(spark, tmp_path):
 
     spark.range(50).selectExpr("id AS p_partkey", "'green' AS p_name", "CAST(id AS INT) AS p_size").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
     assert code.sources(spark, str(tmp_path)).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_symbols_parse_each_file_once(spark, tmp_path):
+    from threadloom.operators import code_index
+    from threadloom.plans import code
+
+    spark.range(50).selectExpr("id AS p_partkey", "'green' AS p_name", "CAST(id AS INT) AS p_size").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    symbols = code_index.symbols_of(code.structure(spark, str(tmp_path)).filter("language = 'python'"))
+    # one for the parts and one for their tests; a filter on the array below the shuffle added one to each
+    assert symbols._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 2
