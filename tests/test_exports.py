@@ -166,3 +166,23 @@ def test_chatgpt_walk_is_linear(spark):
     mapping = {f"n{i}": node(f"n{i - 1}" if i else None, [f"n{i + 1}"] if i + 1 < n else [], "user", [str(i)]) for i in range(n)}
     got = turns(S.read_chatgpt_tree(files(spark, ("/a.json", [{"id": "d", "mapping": mapping}]))))
     assert [c for _, c in got] == [str(i) for i in range(n)]
+
+
+def test_landing_judges_payloads_once(spark, monkeypatch):
+    from threadloom.streaming import landing
+
+    bodies = ["{broken", '{"source": "other", "conversation": {"a": 1}}', '{"source": "claude"}',
+              '{"source": "claude", "conversation": {"uuid": "c", "chat_messages": [{"sender": "human", "text": "TODO: add a test"}]}}']
+    documents = spark.createDataFrame([(str(i), b) for i, b in enumerate(bodies)], "path STRING, value STRING")
+    items, rejects, plans = [], [], []
+
+    def messages_of(good):
+        plans.append(good._jdf.queryExecution().executedPlan().toString())
+        return payload_messages(good)
+
+    payload_messages = landing.payload_messages
+    monkeypatch.setattr(landing, "payload_messages", messages_of)
+    landing.landing_ingest(lambda df, n: items.extend(df.collect()), lambda df, n: rejects.extend(df.collect()))(documents, 0)
+    assert {r.conv_id for r in items} == {"c"}
+    assert sorted((r.path, r.error) for r in rejects) == [("0", "Invalid JSON"), ("1", "Unknown source 'other'"), ("2", "'conversation' field is required")]
+    assert "InMemoryTableScan" in plans[0]

@@ -15,7 +15,7 @@ from threadloom.plans import exports as E
 from threadloom.plans.registry import ORACLES as _EXTRACTED
 from threadloom.plans import sessions as L
 from threadloom.plans.inputs import LEXICON
-from threadloom.plans.registry import query, run_folder, table
+from threadloom.plans.registry import query, run_folder, table, texts
 from threadloom.streaming import idle_sessions as Z
 from threadloom.sources import sessions as S
 from threadloom.streaming import landing, upserts
@@ -134,7 +134,7 @@ def _(spark, sf_dir):
     ]
     body = F.element_at(F.array(*[F.lit(b) for b in bodies]), (F.col("l_linenumber") % 6 + 1).cast("int"))
     path = F.concat_ws("-", "l_orderkey", "l_linenumber")
-    table(spark, sf_dir, "lineitem").select(path.alias("path"), F.replace(body, F.lit("@"), path).alias("value")).write.parquet(f"{folder}/landing")
+    texts(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber").select(path.alias("path"), F.replace(body, F.lit("@"), path).alias("value")).write.parquet(f"{folder}/landing")
     stream = spark.readStream.schema("path STRING, value STRING").parquet(f"{folder}/landing")
 
     def keep(name: str):

@@ -15,10 +15,10 @@ from threadloom.sources import exports as S
 READERS = S.FILE_READERS
 
 
-def validate_payloads(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(good, rejects) of documents (path, value) with a body {source, conversation}.
+def judge_payloads(documents: DataFrame) -> DataFrame:
+    """(path, source, parse_as, content, error) of documents (path, value) with a body {source, conversation}.
 
-    Good rows are (path, source, parse_as, content): the conversation as an export with one entry.
+    Rows without an error hold the conversation as an export with one entry.
     A ChatGPT conversation that already has the sender/text form is read as such.
     """
     payload = T.json_value(F.col("value"))
@@ -34,17 +34,26 @@ def validate_payloads(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     # the raw text, because ChatGPT's tree needs its keys in document order and a VARIANT sorts them
     raw = F.get_json_object("value", "$.conversation")
     content = F.when(parse_as.isin("claude", "chatgpt"), F.concat(F.lit("["), raw, F.lit("]"))).otherwise(raw)
-    judged = (
+    return (
         documents.withColumn("_p", payload)
         .select(
             "path", "value", F.col("_p").isNotNull().alias("_json"),
             F.coalesce(F.try_variant_get("_p", "$.source", "string"), F.lit("claude")).alias("source"),
             F.to_json(F.try_variant_get("_p", "$.conversation", "variant")).alias("_conversation"),
         )
-        .withColumn("error", error)
+        .select("path", "source", error.alias("error"), parse_as.alias("parse_as"), content.alias("content"))
+        .select("path", "source", "parse_as", F.when(F.col("error").isNull(), F.col("content")).alias("content"), "error")
     )
-    good = judged.filter("error IS NULL").select("path", "source", parse_as.alias("parse_as"), content.alias("content"))
-    return good, judged.filter("error IS NOT NULL").select("path", "error")
+
+
+def split_payloads(judged: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(good, rejects) of judged payloads: (path, source, parse_as, content) and (path, error)."""
+    return judged.filter("error IS NULL").drop("error"), judged.filter("error IS NOT NULL").select("path", "error")
+
+
+def validate_payloads(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(good, rejects) of documents (path, value), see ``judge_payloads``."""
+    return split_payloads(judge_payloads(documents))
 
 
 def payload_messages(good: DataFrame) -> DataFrame:
@@ -66,10 +75,12 @@ def landing_ingest(
     """
 
     def run(documents: DataFrame, batch_id: int) -> None:
-        good, rejects = validate_payloads(documents)
+        judged = judge_payloads(documents).persist()  # read by every reader: each filter would parse the payloads again
+        good, rejects = split_payloads(judged)
         messages = payload_messages(good).persist()  # read for items and for rejects
         write_items(extract_items(messages, lexicon), batch_id)
         write_rejects(rejects.unionByName(S.silent_files(good, messages)), batch_id)
         messages.unpersist()
+        judged.unpersist()
 
     return run
