@@ -269,3 +269,14 @@ def test_symbols_parse_each_file_once(spark, tmp_path):
     symbols = code_index.symbols_of(code.structure(spark, str(tmp_path)).filter("language = 'python'"))
     # one for the parts and one for their tests; a filter on the array below the shuffle added one to each
     assert symbols._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 2
+
+
+def test_history_lines_and_answers_of_one_small_table_use_all_cores(spark, tmp_path):
+    from threadloom.plans import contexts, documents
+
+    events = "id AS event_id, id % 3 AS user_id, timestamp'2024-01-01' AS ts, 'view' AS event_type"
+    spark.range(50).selectExpr(*events.replace("timestamp'2024-01-01' AS ts", "timestamp_seconds(id) AS ts").split(", ")).coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    spark.range(50).selectExpr("id AS c_custkey", "'name' AS c_name", "'segment' AS c_mktsegment").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    assert contexts.history_lines(spark, str(tmp_path)).rdd.getNumPartitions() >= cores
+    assert documents.body_answers(spark, str(tmp_path)).rdd.getNumPartitions() >= cores

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from threadloom.functions import text as T
 from threadloom.functions.ordering import ord_of
+from threadloom.functions.storage import materialise
 from threadloom.operators import maintenance as N
 from threadloom.operators import merging as M
 from threadloom.plans.inputs import quoted
-from threadloom.plans.registry import query, run_folder, table
+from threadloom.plans.registry import query, run_folder, table, texts
 from threadloom.lexicons import TASK_STOP_WORDS
 from threadloom.sources import history as H
 
@@ -383,7 +384,7 @@ def history_lines(spark, sf_dir) -> DataFrame:
         .when(key % 10 == 9, F.replace(line, F.lit('{"run_id"'), F.lit('{"more": 1, "run_id"')))
         .otherwise(line)
     )
-    return table(spark, sf_dir, "events").select(key.alias("pos"), line.alias("line"))
+    return texts(spark, sf_dir, "events", "event_id", "user_id", "ts", "event_type").select(key.alias("pos"), line.alias("line"))
 
 
 _HISTORY = (
@@ -401,7 +402,7 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     """Three batches, appended again, by two jobs at once, after a failure, and once more as one batch: each run is read once."""
     folder = run_folder(spark) + "/history"
-    runs = H.parse_history(history_lines(spark, sf_dir)).withColumn("run_id", F.concat(F.lit("h_"), "pos"))
+    runs = materialise(H.parse_history(history_lines(spark, sf_dir)).withColumn("run_id", F.concat(F.lit("h_"), "pos")))  # written six times
     batches = [runs.filter(F.col("pos") % 3 == n) for n in range(3)]
     H.append_batch(batches[0], folder, "a/0")
     H.append_batch(batches[0], folder, "a/0")
