@@ -22,7 +22,7 @@ from threadloom.plans import contexts as C
 from threadloom.plans import sessions as P
 from threadloom.plans.contexts import NOW
 from threadloom.plans.inputs import LEXICON, SQL_MESSAGES, WS, messages, quoted, values
-from threadloom.plans.registry import query, table
+from threadloom.plans.registry import query, table, texts
 from threadloom.sources import documents as D
 from threadloom.sources import sessions as S
 from threadloom.sources import trees
@@ -354,7 +354,7 @@ def body_answers(spark, sf_dir) -> DataFrame:
         F.when(key % 4 == 0, F.concat(F.lit("```\n"), whole, F.lit("\n```"))).when(key % 4 == 1, F.concat(F.lit('{"overview": "'), "c_name", F.lit('", "risks": "'), F.left("c_mktsegment", F.lit(4))))
         .when(key % 4 == 2, F.concat(F.lit('{"overview": "'), "c_name", F.lit('", "ris'))).otherwise("no json at all")
     )
-    return table(spark, sf_dir, "customer").select("c_custkey", text.alias("text"))
+    return texts(spark, sf_dir, "customer", "c_custkey", "c_name", "c_mktsegment").select("c_custkey", text.alias("text"))
 
 
 _FIELD_ROWS = values((f,) for f in B.BODY_FIELDS)
