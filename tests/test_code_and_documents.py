@@ -280,3 +280,15 @@ def test_history_lines_and_answers_of_one_small_table_use_all_cores(spark, tmp_p
     cores = spark.sparkContext.defaultParallelism
     assert contexts.history_lines(spark, str(tmp_path)).rdd.getNumPartitions() >= cores
     assert documents.body_answers(spark, str(tmp_path)).rdd.getNumPartitions() >= cores
+
+
+def test_lines_are_numbered_once_and_items_only_where_shown(spark):
+    items, brief = context(spark, *FULL), (R.Listed("brief.md", 1, "task", "checkbox"), R.Listed("brief.md", 2, "constraint", "bullet"))
+
+    def plan(df):
+        return df._jdf.queryExecution().optimizedPlan().toString()
+
+    lines = R.document_lines(items, brief)
+    assert "row_number" not in plan(lines)
+    assert [r.line for r in lines.orderBy("place", "ord", "pos").collect()] == ["- [ ] Ship *(high priority)*", "- [x] Test", "- offline"]
+    assert "row_number" not in plan(D.read_knowledge_base(R.number_lines(R.document_lines(items))))

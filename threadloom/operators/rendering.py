@@ -153,7 +153,7 @@ def context_flags(items: DataFrame, keys: Sequence[str]) -> DataFrame:
 def document_lines(items: DataFrame, layout: Sequence[Fixed | Listed] = KNOWLEDGE_BASE, keys: Sequence[str] = ("project_id",)) -> DataFrame:
     """(keys, rel_path, place, ord, pos, line) of every document of every context."""
     keys = list(keys)
-    items = cut_lineage(items)  # read three times below
+    items = cut_lineage(items)  # read several times below
 
     def fixed(block: Fixed) -> list[Column]:
         present = F.lit(True)
@@ -163,20 +163,28 @@ def document_lines(items: DataFrame, layout: Sequence[Fixed | Listed] = KNOWLEDG
         filled = [F.replace(F.replace(F.lit(line), F.lit("{goal}"), F.col("_goal_text")), F.lit("{stack}"), F.col("_stack_text")) for line in block.lines]
         return [_line(block.doc, block.place, i, line, present) for i, line in enumerate(filled)]
 
-    def listed(block: Listed) -> list[Column]:
-        present = F.col("section") == block.section
-        if block.high_only:
-            present = present & (F.col("priority") == "high")
-        return [_line(block.doc, block.place, i, line, present) for i, line in enumerate(item_lines(block.form, F.col("_n")))]
+    blocks = [block for block in layout if isinstance(block, Listed)]
+    counted = {block.section for block in blocks if block.form == "adr"}  # only these lines show the number of their item
+
+    def listed(section: str) -> Column:
+        out = []
+        for block in (b for b in blocks if b.section == section):
+            present = F.col("priority") == "high" if block.high_only else F.lit(True)
+            out += [_line(block.doc, block.place, i, line, present) for i, line in enumerate(item_lines(block.form, F.col("_n")))]
+        return F.when(F.col("section") == section, F.array(*out))
+
+    def lines_of(rows: DataFrame, sections: Sequence[str]) -> DataFrame:
+        return rows.select(*keys, "ord", F.explode(F.coalesce(*[listed(s) for s in sections])).alias("l"))
 
     fixed_lines = [line for block in layout if isinstance(block, Fixed) for line in fixed(block)]
-    listed_lines = [line for block in layout if isinstance(block, Listed) for line in listed(block)]
-    numbered = number_rows(items, [*keys, "section"], ["ord"], ord_buckets(), "_n")
-    parts = [
-        context_flags(items, keys).select(*keys, ord_of().alias("ord"), F.explode(F.array(*fixed_lines)).alias("l")),
-        numbered.select(*keys, "ord", F.explode(F.array(*listed_lines)).alias("l")),
-    ]
-    lines = parts[0].unionByName(parts[1]).filter("l IS NOT NULL")
+    lines = context_flags(items, keys).select(*keys, ord_of().alias("ord"), F.explode(F.array(*fixed_lines)).alias("l"))
+    plain = sorted({block.section for block in blocks} - counted)
+    if plain:
+        lines = lines.unionByName(lines_of(items.filter(F.col("section").isin(plain)).withColumn("_n", F.lit(None).cast("bigint")), plain))
+    if counted:
+        own = items.filter(F.col("section").isin(*counted))
+        lines = lines.unionByName(lines_of(number_rows(own, [*keys, "section"], ["ord"], ord_buckets(), "_n"), sorted(counted)))
+    lines = lines.filter("l IS NOT NULL")
     return lines.select(*keys, "l.rel_path", "l.place", "ord", "l.pos", "l.line")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from threadloom.functions import text as T
 from threadloom.functions.ordering import carry_forward, ord_of
-from threadloom.functions.shuffles import lookup_join
+from threadloom.functions.shuffles import cut_lineage, lookup_join
 
 BACKLOG_TASK = (
     "STRUCT<id: STRING, title: STRING, description: STRING, phase: STRING, priority: STRING, done: BOOLEAN, tags: ARRAY<STRING>, added_at: STRING, done_at: STRING>"
@@ -104,7 +104,9 @@ def read_knowledge_base(docs: DataFrame, key: str = "project_id") -> DataFrame:
     Lines are read on their own where they can be; headings are carried to the lines below them across
     tasks, so a document may be of any length. A null body has no items.
     """
-    rows = document_rows(docs, key)
+    rows = document_rows(docs, key).filter(F.col("rel_path").isin(_OVERVIEW, _ARCHITECTURE, _DECISIONS, _CONSTRAINTS, _RISKS, _TASKS))
+    if "line" in docs.columns:
+        rows = cut_lineage(rows)  # every kind of item reads them below, and would number the lines again
     path, line, at = F.col("rel_path"), F.col("line"), F.struct("n", "sub")
     marked = F.lit(False)
     for name, marker in _EMPTY.items():
