@@ -212,3 +212,21 @@ def test_state_of_a_session_is_read_by_pages(monkeypatch):
     assert emitted(2000) == want
     assert len(calls) < 10
     assert emitted(16) == want
+
+
+def test_rendered_summaries_read_the_log_once(spark):
+    from threadloom.plans.catalog import QUERIES
+
+    rendered = QUERIES["b3_render_session_summary"](spark, "/root/testdata/sf0.001")
+    assert "Relation [" not in rendered._jdf.queryExecution().optimizedPlan().toString()  # all from facts and tasks that are cut
+
+
+def test_summary_of_matched_tasks(spark):
+    facts = A.session_facts(spark.createDataFrame(
+        [("a", 1, "assistant", None, None, None, None, '[{"type": "tool_use", "name": "Write", "input": {"file_path": "src/loader.py"}}]')],
+        "path STRING, seq INT, type STRING, session_id STRING, git_branch STRING, timestamp STRING, usage STRUCT<input_tokens: BIGINT, cache_creation_input_tokens: BIGINT, cache_read_input_tokens: BIGINT>, raw STRING",
+    ).withColumn("content", F.try_parse_json("raw")))
+    plans = spark.createDataFrame([("a", 0, "Write loader", "medium", False), ("a", 1, "Other thing", "high", False), ("b", 0, "No session", "medium", False)], "path STRING, ord INT, title STRING, priority STRING, done BOOLEAN")
+    tasks = A.match_plan_tasks(plans, A.file_changes(facts))
+    got = A.summarise_sessions(facts, tasks=tasks).collect()
+    assert got == A.summarise_sessions(facts, plans).collect() and [(r.tasks_completed, r.tasks_remaining, r.next_steps) for r in got] == [(1, 1, ["Complete: Other thing"])]

@@ -209,13 +209,15 @@ def _in_order(kind: str, limit: int, value: Column) -> Column:
     return F.transform(F.array_sort(listed), lambda x: x["v"])
 
 
-def summarise_sessions(facts: DataFrame, plans: DataFrame | None = None, key: str = "path") -> DataFrame:
+def summarise_sessions(facts: DataFrame, plans: DataFrame | None = None, key: str = "path", tasks: DataFrame | None = None) -> DataFrame:
     """One row per session. Lists that have no upper bound (file changes, tasks) stay tables of
     their own (``file_changes``, ``match_plan_tasks``); here they are counted.
 
-    ``plans`` is (key, ord, title, priority, done).
+    ``plans`` is (key, ord, title, priority, done). Where ``match_plan_tasks`` has matched them already,
+    pass its result as ``tasks`` instead.
     """
-    facts = cut_lineage(facts)  # a small digest of the logs, read several times below
+    if tasks is None:
+        facts = cut_lineage(facts)  # a small digest of the logs, read several times below
     listed = F.col("kind").isin("command", "decision")
     per_list = Window.partitionBy(key, "kind", F.when(listed, "").otherwise(F.col("key"))).orderBy("first_at")
     ranked = facts.withColumn("rank", F.row_number().over(per_list)).filter(F.col("rank") <= MAX_COMMANDS)
@@ -232,9 +234,10 @@ def summarise_sessions(facts: DataFrame, plans: DataFrame | None = None, key: st
         _in_order("command", MAX_COMMANDS, F.col("key")).alias("commands_run"),
         _in_order("decision", MAX_DECISIONS, F.col("key")).alias("decisions"),
     )
-    if plans is None:
-        plans = summary.select(key, F.lit(0).alias("ord"), F.lit("").alias("title"), F.lit("medium").alias("priority"), F.lit(False).alias("done")).limit(0)
-    tasks = match_plan_tasks(plans, file_changes(facts, [key]), key)
+    if tasks is None:
+        if plans is None:
+            plans = summary.select(key, F.lit(0).alias("ord"), F.lit("").alias("title"), F.lit("medium").alias("priority"), F.lit(False).alias("done")).limit(0)
+        tasks = match_plan_tasks(plans, file_changes(facts, [key]), key)
     counts = tasks.groupBy(key).agg(F.count_if("done").alias("tasks_completed"), F.count_if(~F.col("done")).alias("tasks_remaining"))
     steps = next_steps(tasks.filter("NOT done"), summary.select(key, "files_changed"), key)
     listed_steps = steps.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("ord", "step"))).alias("s"))

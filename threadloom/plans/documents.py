@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from threadloom.functions import text as T
 from threadloom.lexicons import EXCLUDED_DIRS
+from threadloom.functions.shuffles import cut_lineage
 from threadloom.functions.storage import run_folder
 from threadloom.functions.ordering import ord_of
 from threadloom.operators import extraction as X
@@ -252,10 +253,11 @@ _B3_DOC = " || ".join([
     f"SELECT f.path, {_B3_DOC} AS body FROM firsts f LEFT JOIN (SELECT path, arg_max({P._ACTION}, seq) AS last_action FROM e WHERE tool IS NOT NULL GROUP BY 1) l USING (path) LEFT JOIN usage u USING (path)"
 ))
 def _(spark, sf_dir):
-    facts = P.facts(spark, sf_dir)
-    plans, changes = P.plan_tasks(spark, sf_dir), A.file_changes(facts)
-    tasks = A.match_plan_tasks(plans, changes).join(facts.select("path").distinct(), "path", "left_semi")
-    summary = A.summarise_sessions(facts, plans)
+    facts = cut_lineage(P.facts(spark, sf_dir))  # the summary, the changes and the tasks are read off it
+    changes = A.file_changes(facts)
+    matched = cut_lineage(A.match_plan_tasks(P.plan_tasks(spark, sf_dir), changes))
+    tasks = matched.join(facts.select("path").distinct(), "path", "left_semi")
+    summary = A.summarise_sessions(facts, tasks=matched)
     return R.render_session_summary(summary, changes, tasks, NOW, project="loader").select("path", "body")
 
 
