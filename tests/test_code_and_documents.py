@@ -292,3 +292,18 @@ def test_lines_are_numbered_once_and_items_only_where_shown(spark):
     assert "row_number" not in plan(lines)
     assert [r.line for r in lines.orderBy("place", "ord", "pos").collect()] == ["- [ ] Ship *(high priority)*", "- [x] Test", "- offline"]
     assert "row_number" not in plan(D.read_knowledge_base(R.number_lines(R.document_lines(items))))
+
+
+def test_imports_are_sought_in_statements_alone(monkeypatch):
+    import ast
+
+    source = (
+        "import a\nx = [f(lambda: 1, *(y if y else z for y in q))]\ndef g():\n    import b\n    class K:\n        from .c import d\n"
+        "try:\n    import e\nexcept ValueError:\n    import h\nelse:\n    import i\nfinally:\n    import j\nif x: import k\nelif y:\n    import l\nelse:\n    import m\n"
+        "match x:\n    case 1:\n        import n\nwhile x:\n    import o\nelse:\n    import p\nwith x as y: import q\nasync def r():\n    async for s in t:\n        import u\ntry:\n    import v\nexcept* TypeError:\n    import w\n"
+    )
+    asked, judge = [], C._imports
+    want = [i for node in ast.walk(ast.parse(source)) for i in judge(node)]
+    monkeypatch.setattr(C, "_imports", lambda node: asked.append(node) or judge(node))
+    assert C._parse_python(source)["imports"] == want and len(want) == 17
+    assert not any(isinstance(node, (ast.expr, ast.arguments)) for node in asked)
