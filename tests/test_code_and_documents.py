@@ -307,3 +307,44 @@ def test_imports_are_sought_in_statements_alone(monkeypatch):
     monkeypatch.setattr(C, "_imports", lambda node: asked.append(node) or judge(node))
     assert C._parse_python(source)["imports"] == want and len(want) == 17
     assert not any(isinstance(node, (ast.expr, ast.arguments)) for node in asked)
+
+
+def test_contents_are_built_after_the_deal_and_kept_in_columns(spark, tmp_path):
+    from threadloom.plans import code
+
+    spark.range(200).selectExpr("id AS p_partkey", "'green' AS p_name", "CAST(id AS INT) AS p_size").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    plan = code.sources(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Filter" in plan and "Filter" not in plan.partition("Repartition")[2]
+    found = code.index(spark, str(tmp_path))
+    assert "symbols" not in found.listed._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tests_and_imports_are_settled_without_sorting_texts(spark, index):
+    tests = C.map_test_files(index.listed, index.listed.select("repo_id", "path"))
+    assert rows(tests, "path", "test_file") == [("src/auth.py", "tests/test_auth.py"), ("web/app.ts", "web/app.test.ts")]
+    for frame in (tests, C.classify_imports(index.structure, index.listed)):
+        assert "SortAggregate" not in frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_imports_meet_files_in_one_join(spark):
+    files = spark.createDataFrame([("r", "pkg/A.py"), ("r", "pkg/__init__.py"), ("r", "pkg/sub/b.py"), ("r", "m.py")], "repo_id STRING, path STRING")
+    imports = spark.createDataFrame(
+        [("r", "m.py", i, "internal") for i in ("pkg", "pkg.sub", "pkg.A", ".m", "pkg.gone", "pkg")], "repo_id STRING, path STRING, import STRING, kind STRING"
+    )
+    edges = C.resolve_imports(files, imports)
+    assert rows(edges, "src", "dst") == [("m.py", "pkg/A.py"), ("m.py", "pkg/__init__.py"), ("m.py", "pkg/sub/b.py")]
+    assert edges._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+
+
+def test_plain_signatures_are_written_without_unparse(monkeypatch):
+    import ast
+
+    plain = "class A(Base, other.Kind): pass\ndef f(a, b: x.y) -> z: pass\nasync def g(): pass\n"
+    odd = "class B(f(1), (1).real, *c, metaclass=m): pass\ndef h(a, b: 'x\\ny', c: (1, 2), d: (q := 1)) -> a[1:2]: pass\ndef i(a, /, b=1, *c, d, **e): pass\ndef j[T](a: T): pass\n"
+    got = [s["signature"] for s in C._parse_python(plain + odd)["symbols"]]
+    assert got == [
+        "class A(Base, other.Kind)", "def f(a, b: x.y) -> z", "async def g()", "class B(f(1), 1 .real, *c)",
+        "def h(a, b: 'x\\ny', c: (1, 2), d: (q := 1)) -> a[1:2]", "def i(a, /, b=1, *c, d, **e)", "def j[T](a: T)",
+    ]
+    monkeypatch.setattr(ast, "unparse", lambda node: 1 / 0)
+    assert [s["signature"] for s in C._parse_python(plain)["symbols"]] == got[:3]
