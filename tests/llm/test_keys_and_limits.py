@@ -110,3 +110,40 @@ def test_large_index_joins_places_without_words(spark, monkeypatch):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     joins = [line for line in plan.split("\n") if "Project [seed" in line and "hit_id" in line]
     assert joins and not any("words" in line for line in joins)
+
+
+def _exchanges(node):
+    """(name and keys, rows written) of the exchanges of a plan that ran."""
+    name = node.nodeName()
+    if name == "Exchange":
+        yield node.simpleString(1000), node.metrics().apply("shuffleRecordsWritten").value()
+    inner = [node.executedPlan()] if name == "AdaptiveSparkPlan" else [node.plan()] if name.endswith("QueryStage") else []
+    for child in inner or [node.children().apply(i) for i in range(node.children().size())]:
+        yield from _exchanges(child)
+
+
+def test_large_index_shuffles_few_places(spark, monkeypatch):
+    rng = random.Random(4)
+    items = [" ".join(f"w{rng.randrange(5000)}" for _ in range(30)) for _ in range(12)]
+    rows = [(n, " ".join(f"w{rng.randrange(5000)}" for _ in range(200)) + " " + items[n % 12][:90 if n < 12 else 0]) for n in range(100)]
+    bench = spark.createDataFrame([*enumerate(items)], "item_id long, text string")
+    monkeypatch.setattr(decontamination, "BROADCAST_BYTES", 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        found = contaminated(frame(spark, rows), bench)
+        assert {(r["_id"], r["item_id"]) for r in found.collect()} == {(n, n) for n in range(12)}
+        by_seed = [n for keys, n in _exchanges(found._jdf.queryExecution().executedPlan()) if "hashpartitioning(seed" in keys]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    asked = 3 * 200 * len(rows)  # masks and places
+    assert len(by_seed) == 2 and sum(by_seed) < asked / 20
+
+
+@pytest.mark.parametrize("rows", [0, 1, 70, 3000])
+def test_sieve_keeps_all_that_the_index_holds(spark, rows):
+    index = spark.range(rows).select(F.xxhash64("id").alias("seed"))
+    asked = spark.range(-20_000, rows).select("id", F.xxhash64("id").alias("seed"))
+    kept = {r["id"] for r in decontamination.sieved(asked, index, rows).select("id").collect()}
+    assert kept >= set(range(rows)) and len(kept) - rows <= 60
+    crowded = {r["id"] for r in decontamination.sieved(asked, index, 1).select("id").collect()}  # a sieve too small for them
+    assert crowded >= set(range(rows))
