@@ -139,6 +139,23 @@ def test_large_index_shuffles_few_places(spark, monkeypatch):
     assert len(by_seed) == 2 and sum(by_seed) < asked / 20
 
 
+def test_pipeline_stage_with_large_index_shuffles_few_places(spark, monkeypatch, tmp_path):
+    rng = random.Random(5)
+    items = [" ".join(f"w{rng.randrange(5000)}" for _ in range(30)) for _ in range(9)]
+    rows = [(n, " ".join(f"w{rng.randrange(5000)}" for _ in range(200)) + " " + (items[n % 9] if n < 18 else "")) for n in range(90)] + [(90, None), (91, ""), (None, items[2]), (None, "kept")]
+    spark.createDataFrame([*enumerate(items), (None, items[1])], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = frame(spark, rows)
+    monkeypatch.setattr(decontamination, "BROADCAST_BYTES", 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        kept = corpus_pipeline.drop_contaminated(spark, docs, str(tmp_path))
+        assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["text"] or "") for r in kept.collect()) == sorted([(-1, "kept"), (90, ""), (91, ""), *rows[18:90]])
+        by_seed = [n for keys, n in _exchanges(kept._jdf.queryExecution().executedPlan()) if "hashpartitioning(seed" in keys]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(by_seed) == 2 and sum(by_seed) < 3 * 200 * 90 / 10
+
+
 @pytest.mark.parametrize("rows", [0, 1, 70, 3000])
 def test_sieve_keeps_all_that_the_index_holds(spark, rows):
     index = spark.range(rows).select(F.xxhash64("id").alias("seed"))
